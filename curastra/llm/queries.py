@@ -10,6 +10,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from .ngram_join import similar_groups
 from .suffix_dedup import dedup_passages
 
 
@@ -22,8 +23,13 @@ def op1_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dedup_passages(docs, length=100, keep_text=False).select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
 
 
+def op6_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return similar_groups(_table(spark, sf_dir, "documents").select("doc_id", "text"), words=4, percent=85)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_suffix_dedup": op1_suffix_dedup,
+    "op6_ngram_join": op6_ngram_join,
 }
 
 ORACLES: dict[str, str] = {}
