@@ -10,10 +10,18 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from .bpe import encode_decode
 from .ngram_join import similar_groups
 from .suffix_dedup import dedup_passages
 
 
+def tokenizer_path(name: str) -> str:
+    """Where a public vocabulary file is on every machine."""
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -27,9 +35,15 @@ def op6_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return similar_groups(_table(spark, sf_dir, "documents").select("doc_id", "text"), words=4, percent=85)
 
 
+def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    return encode_decode(docs, tokenizer_path("byte_bpe_50k.json"), with_ids=False).select("doc_id", "n_tokens", "ids_sha256", "decoded_sha256")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_suffix_dedup": op1_suffix_dedup,
     "op6_ngram_join": op6_ngram_join,
+    "op10_bpe": op10_bpe,
 }
 
 ORACLES: dict[str, str] = {}
