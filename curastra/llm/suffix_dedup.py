@@ -39,8 +39,9 @@ TRIGGER = 32
 PLACE_BITS = 22
 #: Bytes hashed at a time; less than 2 ** PLACE_BITS.
 BLOCK = 3_000_000
-#: Different phrases at one trigger, over which they are dealt out by string.
-CROWDED = 512
+#: Different phrases at one trigger, over which they are dealt out by string; a task sorts
+#: that many phrases at a time, of up to 69 strings of 100 bytes.
+CROWDED = 4096
 #: Rows of the parse that are resolved at a time.
 ROWS = 200_000
 
@@ -280,7 +281,7 @@ def _suffix_array(length: int):
             held = table if held is None else pa.concat_tables([held, table])
             g = held.column("g").to_numpy()
             cut = int(np.searchsorted(g, g[-1], side="left")) if len(g) else 0
-            if cut >= 4 * CROWDED:
+            if cut >= CROWDED:
                 yield decide(held.slice(0, cut))
                 held = held.slice(cut)
         if held is not None and held.num_rows:
@@ -309,12 +310,16 @@ def _by_string(length: int):
                     x ^= x >> np.uint64(32)
                     keep.append((x * _ODD[4]).view(np.int64))
             g, e = np.concatenate(g), np.concatenate(e)
-            ord_, meta = ord_[row], _pack(_lo(meta[row]) + at, _tag(meta[row]), 0, 0)
-            o = np.lexsort((meta, ord_, e, g))
-            g, e, ord_, meta = g[o], e[o], ord_[o], meta[o]
-            _, later = _firsts(g, e, ord_, meta)
-            g = np.where(later, ord_ * np.int64(0x2545F4914F6CDD1D) + meta, g)
-            yield _batch(_PARSE_FIELDS, g, e, ord_, meta, np.where(later, _REPEAT, _SEEK).astype(np.int32))
+            o_ord, o_meta = ord_[row], _pack(_lo(meta[row]) + at, _tag(meta[row]), 0, 0)
+            o = np.lexsort((o_meta, o_ord, e, g))
+            g, e, o_ord, o_meta = g[o], e[o], o_ord[o], o_meta[o]
+            _, later = _firsts(g, e, o_ord, o_meta)
+            seek = ~later
+            yield _batch(_PARSE_FIELDS, g[seek], e[seek], o_ord[seek], o_meta[seek], np.full(int(seek.sum()), _SEEK, dtype=np.int32))
+            # strings that repeat within the batch are known to; neighbours go as one row
+            phrase, runs = _runs(row[o[later]], at[o[later]], meta)
+            own = ord_[phrase]
+            yield _batch(_PARSE_FIELDS, own * np.int64(0x2545F4914F6CDD1D) + runs, runs, own, runs, np.full(len(runs), _REPEAT, dtype=np.int32))
 
     return run
 
