@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from .bpe import encode_decode
 from .ngram_join import similar_groups
+from .packing import pack
 from .suffix_dedup import dedup_passages
 
 
@@ -40,9 +41,15 @@ def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encode_decode(docs, tokenizer_path("byte_bpe_50k.json"), with_ids=False).select("doc_id", "n_tokens", "ids_sha256", "decoded_sha256")
 
 
+def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    return pack(docs, tokenizer_path("word_bpe_49k.json"), capacity=2048, end_id=1, with_ids=False).drop("ids")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_suffix_dedup": op1_suffix_dedup,
     "op6_ngram_join": op6_ngram_join,
+    "op8_packing": op8_packing,
     "op10_bpe": op10_bpe,
 }
 

@@ -173,9 +173,8 @@ def _parse(length: int):
     return run
 
 
-def _resolve(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _resolve(crowded: int):
     """Rows sorted by (g, e, ord, meta): repeats, and first phrases of triggers that have several."""
-    held, rows = [], 0
 
     def decide(cols, last: bool):
         g, e, ord_, meta, kind = cols
@@ -190,20 +189,24 @@ def _resolve(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             new, later = _firsts(g, e, ord_, meta)
             group = np.cumsum(np.append(True, g[1:] != g[:-1])) - 1
             several = np.bincount(group[new])[group]
-            kind = np.where(later, _REPEAT, np.where(several > CROWDED, _CROWD, _PHRASE)).astype(np.int32)
+            kind = np.where(later, _REPEAT, np.where(several > crowded, _CROWD, _PHRASE)).astype(np.int32)
             keep = later | (several > 1)
             out.append((g[keep], ord_[keep], meta[keep], kind[keep]))
         return _batch(["g", "ord", "meta", "kind"], *(np.concatenate(x) for x in zip(*out, strict=True))), rest
 
-    for batch in batches:
-        held.append([batch.column(k).to_numpy(zero_copy_only=False) for k in _PARSE_FIELDS])
-        rows += batch.num_rows
-        if rows >= ROWS:
-            done, rest = decide([np.concatenate(x) for x in zip(*held, strict=True)], False)
-            held, rows = [rest], 0  # a trigger's rows stay together
-            yield done
-    if held and sum(len(x[0]) for x in held):
-        yield decide([np.concatenate(x) for x in zip(*held, strict=True)], True)[0]
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, rows = [], 0
+        for batch in batches:
+            held.append([batch.column(k).to_numpy(zero_copy_only=False) for k in _PARSE_FIELDS])
+            rows += batch.num_rows
+            if rows >= ROWS:
+                done, rest = decide([np.concatenate(x) for x in zip(*held, strict=True)], False)
+                held, rows = [rest], 0  # a trigger's rows stay together
+                yield done
+        if held and sum(len(x[0]) for x in held):
+            yield decide([np.concatenate(x) for x in zip(*held, strict=True)], True)[0]
+
+    return run
 
 
 def _strings(length: int):
@@ -324,21 +327,21 @@ def _by_string(length: int):
     return run
 
 
-def repeats(docs: DataFrame, length: int = 100, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def repeats(docs: DataFrame, length: int = 100, id_col: str = "doc_id", text_col: str = "text", crowded: int = CROWDED) -> DataFrame:
     """Runs of string starts that also start earlier: rows (ord, meta), see ``_pack``."""
     keyed = _keyed(docs, id_col, text_col)
     parse = keyed.select("ord", "tag", "text").mapInArrow(_parse(length), _PARSE)
     sorted_ = parse.repartition("g").sortWithinPartitions("g", "e", "ord", "meta")
-    found = materialize(sorted_.mapInArrow(_resolve, "g long, ord long, meta long, kind int"), "parse")
+    found = materialize(sorted_.mapInArrow(_resolve(crowded), "g long, ord long, meta long, kind int"), "parse")
     whole = found.where(F.col("kind") == _REPEAT).select("ord", "meta")
 
     wants = found.where(F.col("kind") >= _PHRASE).groupBy("ord").agg(F.collect_list(F.struct(F.col("g"), F.col("ord"), F.col("meta"))).alias("wants"), F.max("kind").alias("kind"))
     with_text = keyed.select("ord", "text").join(wants.select("ord", "wants"), "ord").withColumn("tag", _tag_of("text"))
     dictionary = materialize(with_text.mapInArrow(_strings(length), "g long, ord long, meta long, phrase binary"), "dictionary")
-    crowded = found.where(F.col("kind") == _CROWD).select("g").distinct()
-    plain = dictionary.join(crowded, "g", "left_anti").repartition("g").sortWithinPartitions("g").mapInArrow(_suffix_array(length), "ord long, meta long")
-    crowd = dictionary.join(crowded, "g", "left_semi").select("ord", "meta", "phrase").mapInArrow(_by_string(length), _PARSE)
-    crowd = crowd.repartition("g").sortWithinPartitions("g", "e", "ord", "meta").mapInArrow(_resolve, "g long, ord long, meta long, kind int")
+    hot = found.where(F.col("kind") == _CROWD).select("g").distinct()
+    plain = dictionary.join(hot, "g", "left_anti").repartition("g").sortWithinPartitions("g").mapInArrow(_suffix_array(length), "ord long, meta long")
+    crowd = dictionary.join(hot, "g", "left_semi").select("ord", "meta", "phrase").mapInArrow(_by_string(length), _PARSE)
+    crowd = crowd.repartition("g").sortWithinPartitions("g", "e", "ord", "meta").mapInArrow(_resolve(crowded), "g long, ord long, meta long, kind int")
     return whole.unionByName(plain).unionByName(crowd.where(F.col("kind") == _REPEAT).select("ord", "meta"))
 
 
@@ -384,7 +387,7 @@ def _cut(length: int, with_text: bool):
     return run
 
 
-def dedup_passages(docs: DataFrame, length: int = 100, id_col: str = "doc_id", text_col: str = "text", keep_text: bool = True) -> DataFrame:
+def dedup_passages(docs: DataFrame, length: int = 100, id_col: str = "doc_id", text_col: str = "text", keep_text: bool = True, crowded: int = CROWDED) -> DataFrame:
     """Remove every byte covered by a string of ``length`` bytes that also starts earlier.
 
     Earlier means a smaller id, or the same id and an earlier start; both are judged on the
@@ -399,7 +402,7 @@ def dedup_passages(docs: DataFrame, length: int = 100, id_col: str = "doc_id", t
     """
     names = ["n_bytes", "n_removed", "n_spans", "kept_sha256", "kept"]
     others = [c for c in docs.columns if c not in (id_col, text_col, *names)]
-    runs = repeats(docs, length, id_col, text_col).groupBy("ord").agg(F.collect_list("meta").alias("runs"))
+    runs = repeats(docs, length, id_col, text_col, crowded).groupBy("ord").agg(F.collect_list("meta").alias("runs"))
     rows = docs.select(order_key(docs[id_col]).alias("ord"), docs[text_col].cast("string").alias("text"), F.struct(*(docs[c] for c in others), F.lit(0).alias("_")).alias("rest"))
     joined = rows.join(runs, "ord", "left").withColumn("tag", _tag_of("text"))
     rest = joined.schema["rest"].dataType.simpleString()
