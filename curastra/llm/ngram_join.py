@@ -12,9 +12,11 @@
    one component, and the last, complete walk only looks at pairs of different components.
    So a group of near copies costs a number of pairs linear in its size.
 
-Candidates pass a parity sketch, a lower bound of the symmetric difference, and are then
-verified on whole sets. Of the pairs that would link the same components, only a spanning
-forest is verified, and again until no pair is left that is neither linked nor refuted.
+Candidates pass a parity sketch, a lower bound of the symmetric difference; whole sets are
+fetched for those that pass only. Links that the sketch makes likely take part in the
+walks at once; a spanning forest of them is verified afterwards, then all pairs between
+components. Where a likely link is refuted, its group's pairs are walked again. So in the
+end each candidate pair is in one component, or refuted by its sketches or whole sets.
 """
 
 from __future__ import annotations
@@ -282,7 +284,9 @@ def _sketched(percent: int):
             differ = np.bitwise_count(bits[0] ^ bits[1]).sum(axis=1, dtype=np.int64)
             na, nb = (batch.column(k).to_numpy(zero_copy_only=False) for k in ("na", "nb"))
             keep = na + nb - 2 * _need(na, nb, percent) >= differ
-            yield pa.RecordBatch.from_arrays([batch.column(k).filter(pa.array(keep)) for k in ("a", "b")], names=["a", "b"])
+            apart = -SKETCH / 2 * np.log1p(-np.minimum(2 * differ / SKETCH, 0.999))  # the likely symmetric difference
+            likely = (na + nb - apart) / (na + nb + apart)
+            yield pa.RecordBatch.from_arrays([*(batch.column(k).filter(pa.array(keep)) for k in ("a", "b")), pa.array(likely[keep])], names=["a", "b", "likely"])
 
     return run
 
@@ -317,9 +321,10 @@ def _verify(percent: int):
 
 
 def _thin(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Candidates (a, b, ca, cb): of those that join the same components, a forest's."""
+    """Candidates (a, b, likely, ca, cb): of those that join the same components, a forest of the likeliest."""
     for frame in frames:
         if len(frame):
+            frame = frame.sort_values(["likely", "a", "b"], ascending=[False, True, True])
             lo, hi = np.minimum(frame["ca"], frame["cb"]), np.maximum(frame["ca"], frame["cb"])
             frame = frame.assign(lo=lo, hi=hi).drop_duplicates(["lo", "hi"])
             parent: dict[int, int] = {}
@@ -357,47 +362,64 @@ def links(docs: DataFrame, words: int, percent: int, id_col: str, text_col: str)
     shared = materialize(index.repartition("token").sortWithinPartitions("token", "n", "node").mapInArrow(_shared, "token long, n long, node long, pos long"), "index")
     release(spark)
 
-    indexed = shared.select("node").distinct()
-    wanted = materialize(described.where("prefix is not null").select("ord", "node", "n", "sketch").join(indexed, "node", "left_semi").groupBy("node").agg(F.min("ord").alias("ord"), F.first("n").alias("n"), F.first("sketch").alias("sketch")), "wanted")
-    sets = materialize(text.join(wanted.select("ord", "node"), "ord").mapInArrow(_whole_sets(words), "node long, set binary").dropDuplicates(["node"]), "whole")
-    release(spark)
+    sketch = materialize(described.where("prefix is not null").join(shared.select("node").distinct(), "node", "left_semi").groupBy("node").agg(F.min("ord").alias("ord"), F.first("n").alias("n"), F.first("sketch").alias("sketch")), "sketches")
 
     def candidates(mode: str, label: DataFrame) -> DataFrame:
-        # distinct pairs of different components over the sketch's bound
+        # distinct pairs of different components within the sketch's bound, with the likely similarity
         walked = shared.join(label, "node", "left").select("token", "n", "node", "pos", F.coalesce("comp", "node").alias("comp"), F.coalesce("deg", F.lit(0)).alias("deg"))
         pairs = walked.repartition("token").sortWithinPartitions("token", "n", "node").mapInArrow(_walk(mode, percent), "a long, b long").distinct()
-        both = _pair(_pair(pairs, wanted, {"n": "na", "sketch": "sa"}, "a"), wanted, {"n": "nb", "sketch": "sb"}, "b")
-        return materialize(both.select("a", "b", "na", "nb", "sa", "sb").mapInArrow(_sketched(percent), "a long, b long"), "pairs")
+        both = _pair(_pair(pairs, sketch, {"n": "na", "sketch": "sa"}, "a"), sketch, {"n": "nb", "sketch": "sb"}, "b")
+        return materialize(both.select("a", "b", "na", "nb", "sa", "sb").mapInArrow(_sketched(percent), "a long, b long, likely double"), "pairs")
 
-    def judged(pairs: DataFrame, label: DataFrame) -> DataFrame:
-        # verdicts (a, b, ok) for enough of the pairs that join different components
+    def across(pairs: DataFrame, label: DataFrame) -> DataFrame:
+        # those that join different components, which are named
         at = label.select("node", "comp")
         named = pairs.join(at.select(F.col("node").alias("a"), F.col("comp").alias("ca")), "a", "left").join(at.select(F.col("node").alias("b"), F.col("comp").alias("cb")), "b", "left")
-        named = named.select("a", "b", F.coalesce("ca", "a").alias("ca"), F.coalesce("cb", "b").alias("cb")).where("ca <> cb")
-        thin = named.repartition(F.least("ca", "cb")).mapInPandas(_thin, "a long, b long")
-        both = _pair(_pair(thin, sets, {"set": "sa"}, "a"), sets, {"set": "sb"}, "b")
-        return materialize(both.select("a", "b", "sa", "sb").mapInArrow(_verify(percent), "a long, b long, ok boolean"), "verdicts")
+        return named.select("a", "b", "likely", F.coalesce("ca", "a").alias("ca"), F.coalesce("cb", "b").alias("cb")).where("ca <> cb")
+
+    def spanning(pairs: DataFrame) -> DataFrame:
+        return pairs.repartition(F.least("ca", "cb")).mapInPandas(_thin, "a long, b long")
 
     def labelled(edges: DataFrame) -> DataFrame:
         degree = edges.select(F.explode(F.array("a", "b")).alias("node")).groupBy("node").agg(F.count("*").alias("deg"))
         return components(edges).withColumnRenamed("component", "comp").join(degree, "node", "left")
 
     label = spark.createDataFrame([], "node long, comp long, deg long")
-    linked = spark.createDataFrame([], "a long, b long")
-    refuted = spark.createDataFrame([], "a long, b long")
-    for mode in ("chain", "hub", "all"):
-        pairs = candidates(mode, label)
-        while True:
-            verdicts = judged(pairs.join(refuted, ["a", "b"], "left_anti"), label)
-            if verdicts.isEmpty():
-                break
-            refuted = refuted.unionByName(verdicts.where("not ok").select("a", "b"))
-            if not verdicts.where("ok").isEmpty():
-                linked = linked.unionByName(verdicts.where("ok").select("a", "b"))
-                label = labelled(linked)
-            if mode != "all":
-                break
-        release(spark)
+    likely = None
+    for mode in ("chain", "hub"):
+        new = across(candidates(mode, label).where(F.col("likely") >= percent / 100), label)
+        likely = new if likely is None else likely.unionByName(new)
+        label = labelled(likely)
+    # from here on, likely links have to be confirmed and all other pairs are looked at
+    alone = likely.select("a", "b", "likely", F.col("a").alias("ca"), F.col("b").alias("cb"))
+    tree = materialize(spanning(alone), "tree")
+    pairs = candidates("all", label)
+    release(spark)
+    wanted = tree.unionByName(pairs.select("a", "b")).select(F.explode(F.array("a", "b")).alias("node")).distinct()
+    owner = sketch.join(wanted, "node", "left_semi").select("ord", "node")
+    sets = materialize(text.join(owner, "ord").mapInArrow(_whole_sets(words), "node long, set binary"), "whole")
+    release(spark)
+
+    def verdicts(pairs: DataFrame) -> DataFrame:
+        both = _pair(_pair(pairs.select("a", "b"), sets, {"set": "sa"}, "a"), sets, {"set": "sb"}, "b")
+        return materialize(both.select("a", "b", "sa", "sb").mapInArrow(_verify(percent), "a long, b long, ok boolean"), "verdicts")
+
+    confirmed = verdicts(tree)
+    linked = confirmed.where("ok")
+    label = labelled(linked)
+    judged = verdicts(spanning(across(pairs, label)))
+    linked = linked.unionByName(judged.where("ok"))
+    label = labelled(linked)
+    rest = verdicts(across(pairs, label).join(judged, ["a", "b"], "left_anti"))
+    if not rest.where("ok").isEmpty():
+        linked = linked.unionByName(rest.where("ok"))
+        label = labelled(linked)
+    refuted = confirmed.where("not ok")
+    if not refuted.isEmpty():  # pairs inside groups that were only likely
+        refuted = refuted.unionByName(judged.where("not ok")).unionByName(rest.where("not ok"))
+        inner = verdicts(across(candidates("all", label), label).join(refuted, ["a", "b"], "left_anti"))
+        if not inner.where("ok").isEmpty():
+            label = labelled(linked.unionByName(inner.where("ok")))
     return described.select("ord", "node", "n"), label.select("node", F.col("comp"))
 
 
