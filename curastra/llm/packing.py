@@ -15,11 +15,15 @@ from __future__ import annotations
 
 import heapq
 import os
+import re
 import zlib
+from array import array
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+import regex
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -32,8 +36,10 @@ GROUP = 160
 FINE_EVERY = 4
 #: Smallest of the fine pieces, in tokens.
 FINEST = 8
-#: White-space-delimited words that a worker remembers; then it forgets all and starts anew.
-REMEMBERED = 400_000
+#: Pre-tokens that a worker remembers; then it forgets all and starts anew.
+REMEMBERED = 1_000_000
+#: The vocabulary's pre-tokens.
+PRETOKEN = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 #: Characters whose words are looked up together.
 CHARS = 1_000_000
 
@@ -97,10 +103,12 @@ def fine(length: int) -> list[int]:
 
 
 class WordTokenizer:
-    """Ids of texts, word by word.
+    """Ids of texts, piece by piece.
 
     The vocabulary's pre-tokenizer drops white space and no pre-token holds any, so the ids
-    of a text are those of its words in order; words repeat, and are remembered.
+    of a text are those of its pre-tokens in order. These repeat and are remembered; new ones
+    go to the library. Texts of plain Latin letters, which its normalizer only lower-cases,
+    are cut into pre-tokens here; all others only at white space, the rest by the library.
     """
 
     def __init__(self, path: str):
@@ -112,20 +120,37 @@ class WordTokenizer:
         self.library.no_padding()
         self.known: dict[str, bytes] = {}
         self.blanks = str.maketrans("\t\n\r", "   ")
+        self.odd = re.compile("[^\t\n\r -~\u00a1-\u012f\u0131-\u024f]|<\\|").search
+        self.pieces = regex.compile(PRETOKEN).findall
+
+    def cut(self, text: str) -> list[str]:
+        return text.translate(self.blanks).split(" ") if self.odd(text) else self.pieces(text.lower())
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """Packed little-endian unsigned 32-bit ids of each text."""
-        words = [t.translate(self.blanks).split(" ") for t in texts]
+        cut = [self.cut(t) for t in texts]
         known = self.known
-        new = list({w for own in words for w in own}.difference(known))
+        distinct = set(chain.from_iterable(cut))
+        new = distinct.difference(known)
         if new:
             if len(known) + len(new) > REMEMBERED:
                 known.clear()
-                new = list({w for own in words for w in own})
-            for w, e in zip(new, self.library.encode_batch_fast(new, add_special_tokens=False), strict=True):
-                known[w] = np.array(e.ids, dtype="<u4").tobytes()
+                new = distinct
+            pieces = list(new)
+            for w, e in zip(pieces, self.library.encode_batch_fast(pieces, add_special_tokens=False), strict=True):
+                known[w] = array("I", e.ids).tobytes()
         look = known.__getitem__
-        return [b"".join(map(look, own)) for own in words]
+        return [b"".join(map(look, own)) for own in cut]
+
+
+#: Tokenizers of this worker by path; what one task has remembered serves the next.
+_READY: dict[str, WordTokenizer] = {}
+
+
+def _tokenizer(path: str) -> WordTokenizer:
+    if path not in _READY:
+        _READY[path] = WordTokenizer(path)
+    return _READY[path]
 
 
 _NAMES = ["ord", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset", "ids"]
@@ -133,7 +158,7 @@ _NAMES = ["ord", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "o
 
 def _pack(path: str, capacity: int, end_id: int, with_ids: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tokenizer = WordTokenizer(path)
+        tokenizer = _tokenizer(path)
         end = end_id.to_bytes(4, "little")
         sequence = TaskContext.get().partitionId() << 33
         cols: list[list] = [[] for _ in _NAMES]
