@@ -11,6 +11,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from .bpe import encode_decode
+from .embedding_neardup import near_vectors
 from .ngram_join import similar_groups
 from .packing import pack
 from .suffix_dedup import dedup_passages
@@ -32,6 +33,10 @@ def op1_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dedup_passages(docs, length=100, keep_text=False).select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
 
 
+def op2_embedding_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_vectors(_table(spark, sf_dir, "embeddings").select("vec_id", "embedding"), threshold=0.95)
+
+
 def op6_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return similar_groups(_table(spark, sf_dir, "documents").select("doc_id", "text"), words=4, percent=85)
 
@@ -48,6 +53,7 @@ def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_suffix_dedup": op1_suffix_dedup,
+    "op2_embedding_neardup": op2_embedding_neardup,
     "op6_ngram_join": op6_ngram_join,
     "op8_packing": op8_packing,
     "op10_bpe": op10_bpe,
