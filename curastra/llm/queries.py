@@ -15,6 +15,7 @@ from .embedding_neardup import near_vectors
 from .ngram_join import similar_groups
 from .packing import pack
 from .suffix_dedup import dedup_passages
+from .url_filter import filter_urls, parse_rules
 
 
 def tokenizer_path(name: str) -> str:
@@ -46,6 +47,16 @@ def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encode_decode(docs, tokenizer_path("byte_bpe_50k.json"), with_ids=False).select("doc_id", "n_tokens", "ids_sha256", "decoded_sha256")
 
 
+#: The production rules.
+BLOCK = ["com/en/", "example.net/de/8", "org/es/"]
+ALLOW = ["example.com/en/7", "net/de/"]
+
+
+def op7_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rules = parse_rules("block", BLOCK) + parse_rules("allow", ALLOW)
+    return filter_urls(_table(spark, sf_dir, "pages").select("page_id", "url"), rules)
+
+
 def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
     return pack(docs, tokenizer_path("word_bpe_49k.json"), capacity=2048, end_id=1, with_ids=False).drop("ids")
@@ -55,6 +66,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_suffix_dedup": op1_suffix_dedup,
     "op2_embedding_neardup": op2_embedding_neardup,
     "op6_ngram_join": op6_ngram_join,
+    "op7_url_filter": op7_url_filter,
     "op8_packing": op8_packing,
     "op10_bpe": op10_bpe,
 }
