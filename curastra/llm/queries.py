@@ -10,6 +10,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from . import license_scan
 from .bpe import encode_decode
 from .embedding_neardup import near_vectors
 from .ngram_join import similar_groups
@@ -38,6 +39,10 @@ def op2_embedding_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_vectors(_table(spark, sf_dir, "embeddings").select("vec_id", "embedding"), threshold=0.95)
 
 
+def op3_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return license_scan.scan_licenses(_table(spark, sf_dir, "documents").select("doc_id", "text")).drop("text")
+
+
 def op6_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return similar_groups(_table(spark, sf_dir, "documents").select("doc_id", "text"), words=4, percent=85)
 
@@ -65,10 +70,13 @@ def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_suffix_dedup": op1_suffix_dedup,
     "op2_embedding_neardup": op2_embedding_neardup,
+    "op3_license_scan": op3_license_scan,
     "op6_ngram_join": op6_ngram_join,
     "op7_url_filter": op7_url_filter,
     "op8_packing": op8_packing,
     "op10_bpe": op10_bpe,
 }
 
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {
+    "op3_license_scan": license_scan.oracle(),
+}
