@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from . import license_scan
 from .bpe import encode_decode
+from .fingerprint import compare_with_next
 from .embedding_neardup import near_vectors
 from .ngram_join import similar_groups
 from .packing import pack
@@ -43,6 +44,10 @@ def op3_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return license_scan.scan_licenses(_table(spark, sf_dir, "documents").select("doc_id", "text")).drop("text")
 
 
+def op5_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return compare_with_next(_table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 def op6_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return similar_groups(_table(spark, sf_dir, "documents").select("doc_id", "text"), words=4, percent=85)
 
@@ -71,6 +76,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_suffix_dedup": op1_suffix_dedup,
     "op2_embedding_neardup": op2_embedding_neardup,
     "op3_license_scan": op3_license_scan,
+    "op5_fingerprint": op5_fingerprint,
     "op6_ngram_join": op6_ngram_join,
     "op7_url_filter": op7_url_filter,
     "op8_packing": op8_packing,
