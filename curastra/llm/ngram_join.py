@@ -32,11 +32,14 @@ from pyspark.sql import functions as F
 
 from .common import components, materialize, order_key, release, text_buffer
 
-#: Bits of the parity sketch.
-SKETCH = 2048
+#: Bits of the parity sketches: the power of two over four times the set's size, within these.
+SKETCHES = 512, 65536
 #: A shingle in more than this share of all documents is ordered last. There are at most
-#: (mean shingles of a document) / COMMON such shingles, whatever the number of documents.
-COMMON = 1 / 500
+#: (mean shingles of a document) / COMMON such shingles, whatever the number of documents:
+#: 8 bytes each, 20 MB for documents of 500 words that share nothing else.
+COMMON = 1 / 5000
+#: How far neighbours in an index list are looked at in the first walk.
+REACH = 8
 #: Bytes of text hashed at a time, index rows walked at a time.
 BLOCK, ROWS = 4_000_000, 200_000
 
@@ -118,7 +121,7 @@ def _count_common(words: int):
             if not sets:
                 continue
             token, n = np.unique(np.concatenate(sets), return_counts=True)
-            keep = n >= max(3, len(sets) * COMMON / 2)
+            keep = n >= max(2, len(sets) * COMMON / 2)
             yield pa.RecordBatch.from_arrays([pa.array(token[keep].astype(np.int64)), pa.array(n[keep])], names=["token", "n"])
 
     return run
@@ -139,10 +142,22 @@ def _node(s: np.ndarray) -> int:
 
 
 def _sketch(s: np.ndarray) -> bytes:
-    odd = np.bincount((s & np.uint64(SKETCH - 1)).astype(np.int64), minlength=SKETCH) & 1
+    """For each residue of the hashes, whether an odd number of the set has it."""
+    bits = min(max(1 << (4 * len(s)).bit_length(), SKETCHES[0]), SKETCHES[1])
+    odd = np.bincount((s & np.uint64(bits - 1)).astype(np.int64), minlength=bits) & 1
     return np.packbits(odd.astype(np.uint8)).tobytes()
 
 
+def _apart(x: bytes, y: bytes) -> tuple[int, int]:
+    """(bits that differ, bits) of two sketches; the longer one is folded."""
+    x, y = (np.frombuffer(v, dtype=np.uint8) for v in (x, y))
+    while len(x) != len(y):
+        if len(x) < len(y):
+            x, y = y, x
+        x = x[: len(x) // 2] ^ x[len(x) // 2 :]
+    return int(np.bitwise_count(x ^ y).sum(dtype=np.int64)), 8 * len(x)
+
+
 def _describe(words: int, percent: int, common: np.ndarray):
     """Per document: its set's id and size; once in a batch for a set its prefix and sketch."""
 
@@ -229,7 +244,7 @@ def _meetings(mode, every, head, token, n, deg, percent):
         i = i[i + k < len(token)]
         i = i[(token[i + k] == token[i]) & (100 * n[i] >= percent * n[i + k])]  # the list's rest is larger still
         yield i, i + k
-        if mode == "chain":
+        if mode == "chain" and k == REACH:
             i = every[head != every]
             yield head[i], i
             return
@@ -280,11 +295,10 @@ def _sketched(percent: int):
         for batch in batches:
             if not batch.num_rows:
                 continue
-            bits = [np.frombuffer(b"".join(batch.column(k).to_pylist()), dtype=np.uint8).reshape(-1, SKETCH // 8) for k in ("sa", "sb")]
-            differ = np.bitwise_count(bits[0] ^ bits[1]).sum(axis=1, dtype=np.int64)
+            differ, bits = np.array([_apart(x, y) for x, y in zip(batch.column("sa").to_pylist(), batch.column("sb").to_pylist(), strict=True)]).T
             na, nb = (batch.column(k).to_numpy(zero_copy_only=False) for k in ("na", "nb"))
             keep = na + nb - 2 * _need(na, nb, percent) >= differ
-            apart = -SKETCH / 2 * np.log1p(-np.minimum(2 * differ / SKETCH, 0.999))  # the likely symmetric difference
+            apart = -bits / 2 * np.log1p(-np.minimum(2 * differ / bits, 0.999))  # the likely symmetric difference
             likely = (na + nb - apart) / (na + nb + apart)
             yield pa.RecordBatch.from_arrays([*(batch.column(k).filter(pa.array(keep)) for k in ("a", "b")), pa.array(likely[keep])], names=["a", "b", "likely"])
 
@@ -320,6 +334,9 @@ def _verify(percent: int):
     return run
 
 
+_ACROSS = "a long, b long, likely double, ca long, cb long"
+
+
 def _thin(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     """Candidates (a, b, likely, ca, cb): of those that join the same components, a forest of the likeliest."""
     for frame in frames:
@@ -342,7 +359,7 @@ def _thin(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
                 if x != y:
                     parent[max(x, y)] = min(x, y)
             frame = frame[keep]
-        yield frame[["a", "b"]]
+        yield frame[["a", "b", "likely", "ca", "cb"]]
 
 
 def _pair(df: DataFrame, other: DataFrame, cols: dict[str, str], key: str) -> DataFrame:
@@ -378,7 +395,8 @@ def links(docs: DataFrame, words: int, percent: int, id_col: str, text_col: str)
         return named.select("a", "b", "likely", F.coalesce("ca", "a").alias("ca"), F.coalesce("cb", "b").alias("cb")).where("ca <> cb")
 
     def spanning(pairs: DataFrame) -> DataFrame:
-        return pairs.repartition(F.least("ca", "cb")).mapInPandas(_thin, "a long, b long")
+        # a forest of each task's pairs, then of those that meet by component
+        return pairs.mapInPandas(_thin, _ACROSS).repartition(F.least("ca", "cb")).mapInPandas(_thin, _ACROSS).select("a", "b")
 
     def labelled(edges: DataFrame) -> DataFrame:
         degree = edges.select(F.explode(F.array("a", "b")).alias("node")).groupBy("node").agg(F.count("*").alias("deg"))
