@@ -52,59 +52,76 @@ def plan(rows: int, threshold: float) -> tuple[int, int]:
     return k, max(1, math.ceil(math.log(1 - RECALL) / math.log(1 - near**k)))
 
 
-def _unit(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    """(rows that can be compared, their unit vectors) of a list column; all of one dimension."""
-    n = len(column)
-    ok = np.asarray(column.is_valid()).copy()
-    size = np.diff(np.asarray(column.offsets))
-    if not n or not ok.any():
-        return np.zeros(0, dtype=np.int64), np.zeros((0, 1))
-    flat = column.values.to_numpy(zero_copy_only=False).astype(np.float64)
-    rows = np.flatnonzero(ok & (size > 0))
-    out = []
-    keep = []
-    for dim in np.unique(size[rows]).tolist():
-        own = rows[size[rows] == dim]
-        x = flat[(np.asarray(column.offsets)[own][:, None] + np.arange(dim)[None, :])]
-        good = np.isfinite(x).all(axis=1)
-        x = x / np.maximum(np.abs(np.where(good[:, None], x, 1)).max(axis=1, keepdims=True), np.finfo(float).tiny)
-        norm = np.sqrt((np.where(good[:, None], x, 0) ** 2).sum(axis=1))
-        good &= norm > 0
-        keep.append(own[good])
-        out.append(x[good] / norm[good][:, None])
-    return keep, out
-
-
-def _hash(k: int, tables: int, seed: int):
-    """One row for each vector and table: key, all the vector's keys, the unit vector."""
+class Tables:
+    """The hash tables' projections for vectors of one dimension."""
+
+    def __init__(self, dim: int, k: int, tables: int, seed: int):
+        rng = np.random.default_rng([seed, dim])
+        self.shape = (tables, k)
+        self.along = rng.standard_normal((dim, k * tables))
+        self.offset = rng.uniform(0, STEP, k * tables)
+        self.mix = rng.integers(1, 2**62, (tables, k), dtype=np.int64) | 1
+        self.salt = np.arange(tables) * np.int64(0x51D7348D2F9B6C15) + dim
+
+    def keys(self, unit: np.ndarray) -> np.ndarray:
+        """A row of keys, one for each table, for each unit vector."""
+        cell = np.floor((unit @ self.along + self.offset) / STEP).astype(np.int64).reshape(len(unit), *self.shape)
+        keys = (cell * self.mix[None]).sum(axis=2) + self.salt[None]
+        keys ^= keys >> 29
+        return keys * np.int64(0x2545F4914F6CDD1D)
+
+
+class Hasher:
+    """Unit vectors and keys of packed vectors of any dimensions."""
+
+    def __init__(self, k: int, tables: int, seed: int, kind: str):
+        self.plan, self.kind, self.ready = (k, tables, seed), np.dtype(kind), {}
+
+    def units(self, raw: np.ndarray, dim: int) -> np.ndarray:
+        x = raw.view(self.kind).astype(np.float64).reshape(-1, dim)
+        x = x / np.abs(x).max(axis=1, keepdims=True)
+        return x / np.sqrt((x * x).sum(axis=1))[:, None]
+
+    def keys(self, unit: np.ndarray) -> np.ndarray:
+        dim = unit.shape[1]
+        if dim not in self.ready:
+            self.ready[dim] = Tables(dim, *self.plan)
+        return self.ready[dim].keys(unit)
+
+
+def _packed(kind: str):
+    """Vectors as bytes; null stays null."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            column = batch.column("embedding")
+            at = np.asarray(column.offsets)
+            flat = column.values.to_numpy(zero_copy_only=False).astype(kind)
+            ok = np.asarray(column.is_valid())
+            raw = [flat[at[i] : at[i + 1]].tobytes() if ok[i] else None for i in range(batch.num_rows)]
+            yield pa.RecordBatch.from_arrays([batch.column("ord"), pa.array(raw, pa.binary())], names=["ord", "raw"])
+
+    return run
+
+
+def _hash(hasher: Hasher):
+    """A row (key, table, node) for each vector and table."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             node = batch.column("node").to_numpy(zero_copy_only=False)
-            weight = batch.column("weight").to_numpy(zero_copy_only=False)
-            rows, units = _unit(batch.column("embedding"))
-            for own, x in zip(rows, units, strict=True):
-                if not len(own):
-                    continue
-                rng = np.random.default_rng([seed, x.shape[1]])
-                a = rng.standard_normal((x.shape[1], k * tables))
-                b = rng.uniform(0, STEP, k * tables)
-                mix = rng.integers(1, 2**62, (tables, k), dtype=np.int64) | 1
-                cell = np.floor((x @ a + b) / STEP).astype(np.int64).reshape(len(own), tables, k)
-                with np.errstate(over="ignore"):
-                    keys = (cell * mix[None]).sum(axis=2) + np.arange(tables)[None] * np.int64(0x51D7348D2F9B6C15)
-                    keys ^= keys >> 29
-                    keys *= np.int64(0x2545F4914F6CDD1D)
-                m = len(own)
-                raw = [v.tobytes() for v in x]
-                all_keys = [v.tobytes() for v in keys]
-                for t in range(tables):
-                    yield pa.RecordBatch.from_arrays([pa.array(keys[:, t]), pa.array(np.full(m, t, dtype=np.int32)), pa.array(node[own]), pa.array(weight[own]), pa.array(raw, pa.binary()), pa.array(all_keys, pa.binary())], names=["key", "tab", "node", "weight", "unit", "keys"])
+            raw, start, size = text_buffer(batch.column("raw"))
+            for length in np.unique(size).tolist():
+                own = np.flatnonzero(size == length)
+                data = np.concatenate([raw[a : a + length] for a in start[own].tolist()])
+                keys = hasher.keys(hasher.units(data, length // hasher.kind.itemsize))
+                tab = np.tile(np.arange(keys.shape[1], dtype=np.int32), len(own))
+                yield pa.RecordBatch.from_arrays([pa.array(keys.ravel()), pa.array(tab), pa.array(np.repeat(node[own], keys.shape[1]))], names=["key", "tab", "node"])
 
     return run
 
 
-def _compare(threshold: float, tables: int):
+def _compare(threshold: float, hasher: Hasher):
     """Units of work: links of each vector (weighted) as kind 0, forest edges as kind 1."""
 
     def links(x, y, kx, ky, t):
@@ -146,15 +163,19 @@ def _compare(threshold: float, tables: int):
             rest = batch.slice(int(start[-1]))
             start, end = start[:-1], end[:-1]
         t, side, node, weight = (batch.column(c).to_numpy() for c in ("tab", "side", "node", "weight"))
-        raw, at, size = text_buffer(batch.column("unit").chunk(0))
-        all_keys = np.frombuffer(b"".join(batch.column("keys").to_pylist()), dtype=np.int64).reshape(-1, tables)
+        raw, at, size = text_buffer(batch.column("raw").chunk(0))
         out = []
-        for s, e in zip(start.tolist(), end.tolist(), strict=True):
-            if e - s > 1 and (size[s:e] == size[s]).all():
-                x = raw[at[s] : at[e - 1] + size[s]].tobytes()
-                done = work(int(t[s]), side[s:e], node[s:e], weight[s:e], np.frombuffer(x, dtype=np.float64).reshape(e - s, -1), all_keys[s:e])
-                if done is not None:
-                    out.append(done)
+        for length in np.unique(size).tolist():  # a unit's vectors have one dimension; else its key came about by chance
+            rows = np.flatnonzero(size == length)
+            data = np.concatenate([raw[a : a + length] for a in at[rows].tolist()])
+            x = hasher.units(data, length // hasher.kind.itemsize)
+            keys = hasher.keys(x)
+            for s, e in zip(np.searchsorted(rows, start).tolist(), np.searchsorted(rows, end).tolist(), strict=True):
+                if e - s > 1:
+                    own = rows[s:e]
+                    done = work(int(t[own[0]]), side[own], node[own], weight[own], x[s:e], keys[s:e])
+                    if done is not None:
+                        out.append(done)
         if not out:
             return None, rest
         kind, a, b = (np.concatenate(c) for c in zip(*out, strict=True))
@@ -187,23 +208,27 @@ def near_vectors(vectors: DataFrame, threshold: float = 0.95, id_col: str = "vec
     and ``kept`` is true for the null row only.
     """
     spark = vectors.sparkSession
-    array = vectors[vector_col].cast("array<double>")
-    bad = F.coalesce(F.size(array) <= 0, F.lit(True)) | F.exists(array, lambda v: v.isNull() | F.isnan(v) | (F.abs(v) == float("inf"))) | ~F.exists(array, lambda v: v != 0)
-    rows = vectors.select(order_key(vectors[id_col]).alias("ord"), F.when(~F.coalesce(bad, F.lit(True)), array).alias("embedding"))
-    rows = rows.withColumn("node", F.when(F.col("embedding").isNotNull(), F.xxhash64("embedding", F.lit(1))))
-    members = materialize(rows.select("ord", "node"), "members")
-    distinct = materialize(rows.where("node is not null").groupBy("node").agg(F.first("embedding").alias("embedding"), F.count("*").alias("weight")), "vectors")
+    single = vectors.schema[vector_col].dataType.simpleString() == "array<float>"
+    array = vectors[vector_col] if single else vectors[vector_col].cast("array<double>")
+    fine = (F.size(array) > 0) & F.forall(array, lambda v: v.isNotNull() & ~F.isnan(v) & (F.abs(v) != float("inf"))) & F.exists(array, lambda v: v != 0)
+    kind = "<f4" if single else "<f8"
+    rows = vectors.select(order_key(vectors[id_col]).alias("ord"), F.when(F.coalesce(fine, F.lit(False)), array).alias("embedding"))
+    members = materialize(rows.mapInArrow(_packed(kind), "ord long, raw binary").withColumn("node", F.when(F.col("raw").isNotNull(), F.xxhash64("raw"))), "members")
+    distinct = materialize(members.where("node is not null").groupBy("node").agg(F.first("raw").alias("raw"), F.count("*").alias("weight")), "vectors")
     k, tables = plan(distinct.count(), threshold)
+    hasher = Hasher(k, tables, seed, kind)
 
-    hashed = materialize(distinct.mapInArrow(_hash(k, tables, seed), "key long, tab int, node long, weight long, unit binary, keys binary"), "hashed")
+    hashed = materialize(distinct.select("node", "raw").mapInArrow(_hash(hasher), "key long, tab int, node long"), "hashed")
     crowd = hashed.groupBy("key").agg(F.count("*").alias("m")).where("m > 1")
     blocks = F.ceil(F.col("m") / BLOCK).cast("int")
     placed = hashed.join(crowd, "key").withColumn("blocks", blocks).withColumn("own", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
     # the units (p, q) with p <= q of a key; a row of block x takes part in all with p = x or q = x
     placed = placed.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    unit = placed.select("key", "tab", "node", "weight", "unit", "keys", F.least("own", "other").alias("p"), F.greatest("own", "other").alias("q"), F.when(F.col("own") == F.col("other"), 2).when(F.col("own") < F.col("other"), 0).otherwise(1).alias("side"))
-    dealt = unit.repartition("key", "p", "q").sortWithinPartitions("key", "p", "q", "node")
-    found = materialize(dealt.mapInArrow(_compare(threshold, tables), "kind int, a long, b long"), "links")
+    side = F.when(F.col("own") == F.col("other"), 2).when(F.col("own") < F.col("other"), 0).otherwise(1)
+    unit = placed.select("key", "tab", "node", F.least("own", "other").alias("p"), F.greatest("own", "other").alias("q"), side.alias("side"))
+    dealt = unit.join(distinct, "node").repartition("key", "p", "q").sortWithinPartitions("key", "p", "q", "node")
+    found = materialize(dealt.select("key", "p", "q", "tab", "side", "node", "weight", "raw").mapInArrow(_compare(threshold, hasher), "kind int, a long, b long"), "links")
+    members = members.select("ord", "node")
 
     count = found.where("kind = 0").groupBy(F.col("a").alias("node")).agg(F.sum("b").alias("linked"))
     label = components(found.where("kind = 1").select("a", "b"))
