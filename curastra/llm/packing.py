@@ -19,7 +19,6 @@ import re
 import zlib
 from array import array
 from collections.abc import Iterator
-from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -28,6 +27,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .bpe import byte_letters
 from .common import id_of, order_key
 
 #: Windows that are filled together.
@@ -36,12 +36,12 @@ GROUP = 160
 FINE_EVERY = 4
 #: Smallest of the fine pieces, in tokens.
 FINEST = 8
-#: Pre-tokens that a worker remembers; then it forgets all and starts anew.
-REMEMBERED = 1_000_000
+#: Words, and pre-tokens, that a worker remembers; then it forgets all and starts anew.
+REMEMBERED = 600_000
+#: Longer ones (in characters) are not remembered.
+LONG = 64
 #: The vocabulary's pre-tokens.
 PRETOKEN = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
-#: Characters whose words are looked up together.
-CHARS = 1_000_000
 
 
 def differencing(sizes: list[int], windows: int) -> np.ndarray:
@@ -102,13 +102,29 @@ def fine(length: int) -> list[int]:
     return [*out, length]
 
 
+class _Memo(dict):
+    """A dict that computes what it lacks and forgets all when it is full."""
+
+    def __init__(self, compute):
+        self.compute = compute
+
+    def __missing__(self, key: str) -> bytes:
+        value = self.compute(key)
+        if len(key) <= LONG:
+            if len(self) >= REMEMBERED:
+                self.clear()
+            self[key] = value
+        return value
+
+
 class WordTokenizer:
-    """Ids of texts, piece by piece.
+    """Ids of texts, word by word.
 
     The vocabulary's pre-tokenizer drops white space and no pre-token holds any, so the ids
-    of a text are those of its pre-tokens in order. These repeat and are remembered; new ones
-    go to the library. Texts of plain Latin letters, which its normalizer only lower-cases,
-    are cut into pre-tokens here; all others only at white space, the rest by the library.
+    of a text are those of its words in order. Words repeat and are remembered. A new word
+    of plain Latin letters, which the normalizer only lower-cases, is cut into pre-tokens,
+    which repeat even more; only new ones are given to the library's model. A word with
+    other characters goes to the library as it is.
     """
 
     def __init__(self, path: str):
@@ -118,29 +134,25 @@ class WordTokenizer:
         self.library = Tokenizer.from_file(path)
         self.library.no_truncation()
         self.library.no_padding()
-        self.known: dict[str, bytes] = {}
+        self.model = self.library.model
+        self.letters = byte_letters()
         self.blanks = str.maketrans("\t\n\r", "   ")
-        self.odd = re.compile("[^\t\n\r -~\u00a1-\u012f\u0131-\u024f]|<\\|").search
-        self.pieces = regex.compile(PRETOKEN).findall
-
-    def cut(self, text: str) -> list[str]:
-        return text.translate(self.blanks).split(" ") if self.odd(text) else self.pieces(text.lower())
-
-    def encode(self, texts: list[str]) -> list[bytes]:
-        """Packed little-endian unsigned 32-bit ids of each text."""
-        cut = [self.cut(t) for t in texts]
-        known = self.known
-        distinct = set(chain.from_iterable(cut))
-        new = distinct.difference(known)
-        if new:
-            if len(known) + len(new) > REMEMBERED:
-                known.clear()
-                new = distinct
-            pieces = list(new)
-            for w, e in zip(pieces, self.library.encode_batch_fast(pieces, add_special_tokens=False), strict=True):
-                known[w] = array("I", e.ids).tobytes()
-        look = known.__getitem__
-        return [b"".join(map(look, own)) for own in cut]
+        self.odd = re.compile("[^!-~\u00a1-\u012f\u0131-\u024f]|<\\|").search
+        self.cut = regex.compile(PRETOKEN).findall
+        self.words, self.pieces = _Memo(self._word), _Memo(self._piece)
+
+    def _piece(self, piece: str) -> bytes:
+        own = piece if piece.isascii() else "".join(map(self.letters.__getitem__, piece.encode()))
+        return array("I", [t.id for t in self.model.tokenize(own)]).tobytes()
+
+    def _word(self, word: str) -> bytes:
+        if self.odd(word):
+            return array("I", self.library.encode(word, add_special_tokens=False).ids).tobytes()
+        return b"".join(map(self.pieces.__getitem__, self.cut(word.lower())))
+
+    def encode(self, text: str) -> bytes:
+        """Packed little-endian unsigned 32-bit ids of a text."""
+        return b"".join(map(self.words.__getitem__, text.translate(self.blanks).split(" ")))
 
 
 #: Tokenizers of this worker by path; what one task has remembered serves the next.
@@ -191,33 +203,26 @@ def _pack(path: str, capacity: int, end_id: int, with_ids: bool):
 
         for batch in batches:
             texts, ids = batch.column("text").to_pylist(), batch.column("ord").to_pylist()
-            i = 0
-            while i < len(texts):
-                j, chars = i, 0
-                while j < len(texts) and (j == i or chars + len(texts[j] or "") <= CHARS):
-                    chars += len(texts[j] or "")
-                    j += 1
-                for ord_, data in zip(ids[i:j], tokenizer.encode([t or "" for t in texts[i:j]]), strict=True):
-                    data += end
-                    tokens = len(data) // 4
-                    at = 0
-                    while tokens - at >= capacity:
-                        crc, own = piece(data, at, at + capacity)
-                        put(ord_, at, capacity, crc, tokens, sequence, 0, own)
-                        sequence += 1
-                        at += capacity
-                    if at < tokens:
-                        total += tokens - at
-                        for length in fine(tokens - at) if ord_ % FINE_EVERY == 0 else [tokens - at]:
-                            crc, own = piece(data, at, at + length)
-                            held.append((ord_, at, length, crc, tokens, own))
-                            at += length
-                        # windows can be filled to about two tokens; wait until that is what is left
-                        if total >= GROUP * capacity and (-total) % capacity <= 2 * GROUP or total >= 2 * GROUP * capacity:
-                            flush()
-                            if len(cols[0]) >= 10_000:
-                                yield batch_of()
-                i = j
+            for ord_, text in zip(ids, texts, strict=True):
+                data = tokenizer.encode(text or "") + end
+                tokens = len(data) // 4
+                at = 0
+                while tokens - at >= capacity:
+                    crc, own = piece(data, at, at + capacity)
+                    put(ord_, at, capacity, crc, tokens, sequence, 0, own)
+                    sequence += 1
+                    at += capacity
+                if at < tokens:
+                    total += tokens - at
+                    for length in fine(tokens - at) if ord_ % FINE_EVERY == 0 else [tokens - at]:
+                        crc, own = piece(data, at, at + length)
+                        held.append((ord_, at, length, crc, tokens, own))
+                        at += length
+                    # windows can be filled to about two tokens; wait until that is what is left
+                    if total >= GROUP * capacity and (-total) % capacity <= 2 * GROUP or total >= 2 * GROUP * capacity:
+                        flush()
+                        if len(cols[0]) >= 10_000:
+                            yield batch_of()
         if held:
             flush()
         if cols[0]:
