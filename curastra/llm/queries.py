@@ -16,6 +16,7 @@ from .fingerprint import compare_with_next
 from .embedding_neardup import near_vectors
 from .ngram_join import similar_groups
 from .packing import pack
+from .quality import classify, train
 from .suffix_dedup import dedup_passages
 from .url_filter import filter_urls, parse_rules
 
@@ -44,6 +45,11 @@ def op3_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return license_scan.scan_licenses(_table(spark, sf_dir, "documents").select("doc_id", "text")).drop("text")
 
 
+def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents")
+    return classify(docs, train(docs, _table(spark, sf_dir, "labels"))).select("doc_id", "text_score", "meta_score", "score", "accepted")
+
+
 def op5_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
     return compare_with_next(_table(spark, sf_dir, "documents").select("doc_id", "text"))
 
@@ -76,6 +82,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_suffix_dedup": op1_suffix_dedup,
     "op2_embedding_neardup": op2_embedding_neardup,
     "op3_license_scan": op3_license_scan,
+    "op4_quality": op4_quality,
     "op5_fingerprint": op5_fingerprint,
     "op6_ngram_join": op6_ngram_join,
     "op7_url_filter": op7_url_filter,
