@@ -10,7 +10,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import license_scan
+from . import license_scan, preference
 from .bpe import encode_decode
 from .fingerprint import compare_with_next
 from .embedding_neardup import near_vectors
@@ -58,6 +58,12 @@ def op6_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return similar_groups(_table(spark, sf_dir, "documents").select("doc_id", "text"), words=4, percent=85)
 
 
+def op9_preference(spark: SparkSession, sf_dir: str) -> DataFrame:
+    turns = preference.turns_of(_table(spark, sf_dir, "conversations"))
+    new, swapped = preference.swapped_answers(turns)
+    return preference.format_preferences(turns.unionByName(new), preference.pair_by_opening(turns).unionByName(swapped))
+
+
 def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
     return encode_decode(docs, tokenizer_path("byte_bpe_50k.json"), with_ids=False).select("doc_id", "n_tokens", "ids_sha256", "decoded_sha256")
@@ -87,9 +93,11 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op6_ngram_join": op6_ngram_join,
     "op7_url_filter": op7_url_filter,
     "op8_packing": op8_packing,
+    "op9_preference": op9_preference,
     "op10_bpe": op10_bpe,
 }
 
 ORACLES: dict[str, str] = {
     "op3_license_scan": license_scan.oracle(),
+    "op9_preference": preference.oracle(),
 }
