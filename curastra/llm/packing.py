@@ -221,7 +221,7 @@ def _pack(path: str, capacity: int, end_id: int, with_ids: bool):
                     # windows can be filled to about two tokens; wait until that is what is left
                     if total >= GROUP * capacity and (-total) % capacity <= 2 * GROUP or total >= 2 * GROUP * capacity:
                         flush()
-                        if len(cols[0]) >= 10_000:
+                        if len(cols[0]) >= 10_000 or with_ids:
                             yield batch_of()
         if held:
             flush()
