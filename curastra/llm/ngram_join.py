@@ -34,6 +34,8 @@ from .common import components, materialize, order_key, release, text_buffer
 
 #: Bits of the parity sketches: the power of two over four times the set's size, within these.
 SKETCHES = 512, 65536
+#: Bits of the sketch in an index list: enough to tell unrelated sets of up to 1400 shingles apart.
+MINI = 512
 #: A shingle in more than this share of all documents is ordered last. There are at most
 #: (mean shingles of a document) / COMMON such shingles, whatever the number of documents:
 #: 8 bytes each, 20 MB for documents of 500 words that share nothing else.
@@ -148,6 +150,12 @@ def _sketch(s: np.ndarray) -> bytes:
     return np.packbits(odd.astype(np.uint8)).tobytes()
 
 
+def _mini(s: np.ndarray) -> bytes:
+    """The sketch of fixed size that goes along in index lists."""
+    odd = np.bincount((s & np.uint64(MINI - 1)).astype(np.int64), minlength=MINI) & 1
+    return np.packbits(odd.astype(np.uint8)).tobytes()
+
+
 def _apart(x: bytes, y: bytes) -> tuple[int, int]:
     """(bits that differ, bits) of two sketches; the longer one is folded."""
     x, y = (np.frombuffer(v, dtype=np.uint8) for v in (x, y))
@@ -165,15 +173,15 @@ def _describe(words: int, percent: int, common: np.ndarray):
         for batch in batches:
             n = batch.num_rows
             node, size = [None] * n, [0] * n
-            prefix, sketch, seen = [None] * n, [None] * n, set()
+            prefix, sketch, mini, seen = [None] * n, [None] * n, [None] * n, set()
             for i, s in shingle_sets(*text_buffer(batch.column("text")), words):
                 node[i], size[i] = _node(s), len(s)
                 if node[i] not in seen:
                     seen.add(node[i])
-                    sketch[i] = _sketch(s)
+                    sketch[i], mini[i] = _sketch(s), _mini(s)
                     prefix[i] = _ordered(s, common)[: len(s) - (percent * len(s) + 99) // 100 + 1].tobytes()
-            names = ["ord", "node", "n", "prefix", "sketch"]
-            yield pa.RecordBatch.from_arrays([batch.column("ord"), pa.array(node, pa.int64()), pa.array(size, pa.int64()), pa.array(prefix, pa.binary()), pa.array(sketch, pa.binary())], names=names)
+            names = ["ord", "node", "n", "prefix", "sketch", "mini"]
+            yield pa.RecordBatch.from_arrays([batch.column("ord"), pa.array(node, pa.int64()), pa.array(size, pa.int64()), pa.array(prefix, pa.binary()), pa.array(sketch, pa.binary()), pa.array(mini, pa.binary())], names=names)
 
     return run
 
@@ -193,11 +201,18 @@ def _postings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([pa.array(x[s]) for x in (tokens, n, node, pos)], names=["token", "n", "node", "pos"])
 
 
+def _values(column: pa.Array) -> np.ndarray:
+    """Numbers as they are, sketches as rows of 64-bit words."""
+    if pa.types.is_binary(column.type) or pa.types.is_large_binary(column.type):
+        return np.frombuffer(b"".join(column.to_pylist()), dtype=np.uint64).reshape(len(column), -1)
+    return column.to_numpy(zero_copy_only=False)
+
+
 def _lists(batches: Iterator[pa.RecordBatch], names: list[str]) -> Iterator[list[np.ndarray]]:
     """Columns of whole index lists, about ROWS rows at a time; rows come sorted by token."""
     held, rows = [], 0
     for batch in batches:
-        held.append([batch.column(k).to_numpy(zero_copy_only=False) for k in names])
+        held.append([_values(batch.column(k)) for k in names])
         rows += batch.num_rows
         if rows >= ROWS:
             cols = [np.concatenate(x) for x in zip(*held, strict=True)]
@@ -254,12 +269,15 @@ def _walk(mode: str, percent: int):
     """Candidate pairs of the lists: along neighbours, against each list's hub, or all."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for token, n, node, pos, comp, deg in _lists(batches, ["token", "n", "node", "pos", "comp", "deg"]):
+        for token, n, node, pos, comp, deg, mini in _lists(batches, ["token", "n", "node", "pos", "comp", "deg", "mini"]):
             left = n - pos - 1
 
-            def able(i, j, n=n, comp=comp, left=left):
+            def able(i, j, n=n, comp=comp, left=left, mini=mini):
                 lo, hi = np.minimum(n[i], n[j]), np.maximum(n[i], n[j])
-                return (comp[i] != comp[j]) & (100 * lo >= percent * hi) & (1 + np.minimum(left[i], left[j]) >= _need(lo, hi, percent))
+                need = _need(lo, hi, percent)
+                ok = np.flatnonzero((comp[i] != comp[j]) & (100 * lo >= percent * hi) & (1 + np.minimum(left[i], left[j]) >= need))
+                differ = np.bitwise_count(mini[i[ok]] ^ mini[j[ok]]).sum(axis=1, dtype=np.int64)
+                return ok[lo[ok] + hi[ok] - 2 * need[ok] >= differ]
 
             head = np.maximum.accumulate(np.where(np.append(True, token[1:] != token[:-1]), np.arange(len(token)), 0))
             every = np.arange(len(token))
@@ -374,16 +392,17 @@ def links(docs: DataFrame, words: int, percent: int, id_col: str, text_col: str)
     counted = text.select("text").mapInArrow(_count_common(words), "token long, n long").groupBy("token").agg(F.sum("n").alias("n"))
     common = np.sort(np.array([r.token for r in counted.where(F.col("n") > F.lit(rows * COMMON)).select("token").collect()], dtype=np.int64).view(np.uint64))
 
-    described = materialize(text.mapInArrow(_describe(words, percent, common), "ord long, node long, n long, prefix binary, sketch binary"), "sets")
+    described = materialize(text.mapInArrow(_describe(words, percent, common), "ord long, node long, n long, prefix binary, sketch binary, mini binary"), "sets")
     index = described.where("prefix is not null").select("node", "n", "prefix").mapInArrow(_postings, "token long, n long, node long, pos long")
     shared = materialize(index.repartition("token").sortWithinPartitions("token", "n", "node").mapInArrow(_shared, "token long, n long, node long, pos long"), "index")
     release(spark)
 
-    sketch = materialize(described.where("prefix is not null").join(shared.select("node").distinct(), "node", "left_semi").groupBy("node").agg(F.min("ord").alias("ord"), F.first("n").alias("n"), F.first("sketch").alias("sketch")), "sketches")
+    sketch = materialize(described.where("prefix is not null").join(shared.select("node").distinct(), "node", "left_semi").groupBy("node").agg(F.min("ord").alias("ord"), F.first("n").alias("n"), F.first("sketch").alias("sketch"), F.first("mini").alias("mini")), "sketches")
 
     def candidates(mode: str, label: DataFrame) -> DataFrame:
         # distinct pairs of different components within the sketch's bound, with the likely similarity
-        walked = shared.join(label, "node", "left").select("token", "n", "node", "pos", F.coalesce("comp", "node").alias("comp"), F.coalesce("deg", F.lit(0)).alias("deg"))
+        walked = shared.join(sketch.select("node", "mini"), "node").join(label, "node", "left")
+        walked = walked.select("token", "n", "node", "pos", F.coalesce("comp", "node").alias("comp"), F.coalesce("deg", F.lit(0)).alias("deg"), "mini")
         pairs = walked.repartition("token").sortWithinPartitions("token", "n", "node").mapInArrow(_walk(mode, percent), "a long, b long").distinct()
         both = _pair(_pair(pairs, sketch, {"n": "na", "sketch": "sa"}, "a"), sketch, {"n": "nb", "sketch": "sb"}, "b")
         return materialize(both.select("a", "b", "na", "nb", "sa", "sb").mapInArrow(_sketched(percent), "a long, b long, likely double"), "pairs")
