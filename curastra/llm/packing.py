@@ -36,8 +36,8 @@ GROUP = 160
 FINE_EVERY = 4
 #: Smallest of the fine pieces, in tokens.
 FINEST = 8
-#: Words, and pre-tokens, that a worker remembers; then it forgets all and starts anew.
-REMEMBERED = 600_000
+#: Words, and pre-tokens, that a worker remembers before it begins anew; as many older ones are kept.
+REMEMBERED = 500_000
 #: Longer ones (in characters) are not remembered.
 LONG = 64
 #: The vocabulary's pre-tokens.
@@ -103,15 +103,18 @@ def fine(length: int) -> list[int]:
 
 
 class _Memo(dict):
-    """A dict that computes what it lacks and forgets all when it is full."""
+    """A dict that computes what it lacks; when full, it keeps what it had as a second choice."""
 
     def __init__(self, compute):
-        self.compute = compute
+        self.compute, self.before = compute, {}
 
     def __missing__(self, key: str) -> bytes:
-        value = self.compute(key)
+        value = self.before.get(key)
+        if value is None:
+            value = self.compute(key)
         if len(key) <= LONG:
             if len(self) >= REMEMBERED:
+                self.before = dict(self)
                 self.clear()
             self[key] = value
         return value
@@ -136,7 +139,6 @@ class WordTokenizer:
         self.library.no_padding()
         self.model = self.library.model
         self.letters = byte_letters()
-        self.blanks = str.maketrans("\t\n\r", "   ")
         self.odd = re.compile("[^!-~\u00a1-\u012f\u0131-\u024f]|<\\|").search
         self.cut = regex.compile(PRETOKEN).findall
         self.words, self.pieces = _Memo(self._word), _Memo(self._piece)
@@ -152,7 +154,8 @@ class WordTokenizer:
 
     def encode(self, text: str) -> bytes:
         """Packed little-endian unsigned 32-bit ids of a text."""
-        return b"".join(map(self.words.__getitem__, text.translate(self.blanks).split(" ")))
+        spaced = text.replace("\n", " ").replace("\t", " ").replace("\r", " ")  # much faster than translate
+        return b"".join(map(self.words.__getitem__, spaced.split(" ")))
 
 
 #: Tokenizers of this worker by path; what one task has remembered serves the next.
