@@ -89,7 +89,7 @@ def round_half_even(value: Column, digits: int = 4) -> Column:
 
 
 def slug(text: Column) -> Column:
-    """Lower-cased, other characters than a-z and 0-9 as hyphens, one hyphen less at each end."""
+    """Lower-cased, runs of other characters than a-z and 0-9 as a hyphen, none at the ends."""
     return F.regexp_replace(F.regexp_replace(F.lower(text), "[^a-z0-9]+", "-"), "^-|-$", "")
 
 

@@ -57,7 +57,7 @@ def read_lines(spark: SparkSession, path: str) -> DataFrame:
 
     A file's lines are numbered within the file; a file is one row of the reader.
     """
-    files = spark.read.option("wholetext", True).text(path).select(F.col("_metadata.file_path").alias("path"), F.col("value"))
+    files = spark.read.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("path"), F.col("value"))
     lines = files.select("path", F.posexplode(F.split("value", "\r?\n")).alias("at", "text"))
     return lines.select("path", (F.col("at") + 1).alias("line"), "text").where(F.trim("text") != "")
 
@@ -127,5 +127,5 @@ def keeps(path: Column, purpose: str) -> Column:
 
 def task_ids(spark: SparkSession, paths: list[str], pattern: str = r"\b(H\d{1,2}_[A-Z_]+)\b") -> DataFrame:
     """Distinct task ids that occur in source files."""
-    text = spark.read.option("wholetext", True).text(paths)
+    text = spark.read.text(paths, wholetext=True)
     return text.select(F.explode(F.regexp_extract_all("value", F.lit(pattern), F.lit(1))).alias("task_id")).distinct()
