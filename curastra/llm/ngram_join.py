@@ -43,7 +43,7 @@ COMMON = 1 / 5000
 #: How far neighbours in an index list are looked at in the first walk.
 REACH = 8
 #: Bytes of text hashed at a time, index rows walked at a time.
-BLOCK, ROWS = 4_000_000, 200_000
+BLOCK, ROWS = 1_000_000, 100_000
 
 _M = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93)]
 _TOP = np.uint64(1 << 63)

@@ -31,8 +31,8 @@ _WORD = re.compile(r"[^\W_]+|[^\w\s]")
 class Settings:
     """What bounds the training; it doesn't grow with the tables."""
 
-    labelled: int = 5_000  #: labelled documents used for training and calibration
-    pool: int = 3_000  #: unlabelled documents that may get pseudo-labels
+    labelled: int = 3_000  #: labelled documents used for training and calibration
+    pool: int = 2_000  #: unlabelled documents that may get pseudo-labels
     words: int = 20_000  #: words of the text view
     rounds: int = 4
     per_round: int = 200  #: pseudo-labels a view gives in a round

@@ -38,12 +38,12 @@ TRIGGER = 32
 #: Low bits of the sort key that hold a position; the rest is the rolling hash.
 PLACE_BITS = 22
 #: Bytes hashed at a time; less than 2 ** PLACE_BITS.
-BLOCK = 3_000_000
+BLOCK = 1_000_000
 #: Different phrases at one trigger, over which they are dealt out by string; a task sorts
 #: that many phrases at a time, of up to 69 strings of 100 bytes.
 CROWDED = 4096
 #: Rows of the parse that are resolved at a time.
-ROWS = 200_000
+ROWS = 100_000
 
 _ODD = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F, 0xE7037ED1A0B428DB)]
 _PLACE = np.uint64(2**PLACE_BITS - 1)
