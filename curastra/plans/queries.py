@@ -167,14 +167,22 @@ e AS (SELECT a.doc_id AS l, b.doc_id AS r, count(*) / (any_value(a.n) + any_valu
   HAVING count(*) / (any_value(a.n) + any_value(b.n) - count(*)) >= 0.88)"""
 
 
-def _near(spark: SparkSession, sf_dir: str) -> DataFrame:
+def _near(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     docs = table(spark, sf_dir, "documents")
-    return similarity.edges(docs.select(F.col("doc_id").alias("seq"), text.tokens(F.col("text")).alias("tokens")), 0.88)
+    members, sets = similarity.classes(docs.select(F.col("doc_id").alias("seq"), text.tokens(F.col("text")).alias("tokens")))
+    return members, components.stored(similarity.edges(sets, 0.88))
 
 
-@query(f"WITH {_EDGES} SELECT l, r, score FROM e")
+@query(f"""WITH {_EDGES}, c AS (SELECT doc_id, min(doc_id) OVER (PARTITION BY list_sort(t)) AS cls FROM d)
+SELECT l, r, score FROM e WHERE l IN (SELECT cls FROM c) AND r IN (SELECT cls FROM c)""")
 def near_dup_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _near(spark, sf_dir)
+    """Pairs of different token sets, named by their first documents."""
+    return _near(spark, sf_dir)[1].select("l", "r", "score")
+
+
+@query(f"WITH {_EDGES} SELECT doc_id, min(doc_id) OVER (PARTITION BY list_sort(t)) AS cls FROM d")
+def token_set_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _near(spark, sf_dir)[0].select(F.col("seq").alias("doc_id"), "cls")
 
 
 @query(f"""WITH RECURSIVE {_EDGES},
@@ -185,7 +193,7 @@ x AS (SELECT unnest(rej) AS doc_id FROM g WHERE k = (SELECT count(*) FROM p))
 SELECT doc_id, doc_id NOT IN (SELECT doc_id FROM x) AS accepted FROM documents""")
 def near_dup_greedy(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("seq"), F.lit(True).alias("ok"))
-    return similarity.resolve(rows, components.stored(_near(spark, sf_dir))).select(F.col("seq").alias("doc_id"), "accepted")
+    return similarity.resolve(rows, [_near(spark, sf_dir)]).select(F.col("seq").alias("doc_id"), "accepted")
 
 
 @query(f"""
@@ -194,8 +202,7 @@ k AS (SELECT doc_id, ok, sum(CASE WHEN ok THEN 1 ELSE 0 END) OVER (PARTITION BY
 SELECT doc_id, ok AND n <= 4 AS accepted FROM k""")
 def family_cap(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = _gated(spark, sf_dir).select(F.col("doc_id").alias("seq"), "source", (F.size("reasons") == 0).alias("ok"))
-    none = spark.createDataFrame([], "l long, r long")
-    return similarity.resolve(rows, none, family="source", cap=4).select(F.col("seq").alias("doc_id"), "accepted")
+    return similarity.resolve(rows, family="source", cap=4).select(F.col("seq").alias("doc_id"), "accepted")
 
 
 @query(f"SELECT doc_id, sha256({_STRIP.format('text')}) AS digest, row_number() OVER (PARTITION BY sha256({_STRIP.format('text')}) ORDER BY doc_id) > 1 AS exact_duplicate FROM documents")
@@ -217,7 +224,7 @@ SELECT g AS source, min(m) AS family FROM c GROUP BY g""")
 def family_components(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select(F.concat_ws("-", "source", F.col("doc_id") % 4).alias("source"), F.explode(F.split("text", "\n")).alias("line"))
     lines = docs.where(F.trim("line") != "").select("source", text.digest(F.trim("line")).alias("d"))
-    return components.families(lines, "source", "d", shared=3, threshold=0.02)[1]
+    return similarity.families(lines, "source", "d", shared=3, threshold=0.02)[1]
 
 
 # --- order -------------------------------------------------------------------------------

@@ -114,40 +114,69 @@ def test_resolve_is_a_sequential_pass(spark, seed, cap):
     near = {(a, b) for a in range(n) for b in range(a + 1, n) if r.random() < 0.03}
     df = spark.createDataFrame(rows, "seq long, family string, ok boolean")
     pairs = spark.createDataFrame([*near], "l long, r long")
-    got = {x.seq for x in similarity.resolve(df, pairs, family="family", cap=cap).where("accepted").collect()}
+    single = df.select("seq", F.col("seq").alias("cls"))
+    got = {x.seq for x in similarity.resolve(df, [(single, pairs)], family="family", cap=cap).where("accepted").collect()}
     assert got == _sequential(rows, near, cap)
 
 
+@pytest.mark.parametrize("seed,cap", [(5, None), (6, 2)])
+def test_resolve_with_classes(spark, seed, cap):
+    """Copies, rows without tokens and rejected firsts of a class."""
+    r = random.Random(seed)
+    sets = [sorted(r.sample("abcdefgh", r.choice([0, 4, 5, 6, 7, 8]))) for _ in range(90)]
+    rows = [(i, r.choice("xy"), r.random() < 0.7) for i in range(90)]
+    near = set()
+    for j in range(90):
+        for i in range(j):
+            a, b = set(sets[i]), set(sets[j])
+            if (len(a & b) / len(a | b) if a | b else 1.0) >= 0.8:
+                near.add((i, j))
+    tokens = spark.createDataFrame([(i, s) for i, s in enumerate(sets)], "seq long, tokens array<string>")
+    members, distinct = similarity.classes(tokens)
+    pairs = components.stored(similarity.edges(distinct, 0.8))
+    df = spark.createDataFrame(rows, "seq long, family string, ok boolean")
+    out = similarity.resolve(df, [(members, pairs)], family="family", cap=cap)
+    accepted = {x.seq for x in out.where("accepted").collect()}
+    assert accepted == _sequential(rows, near, cap)
+    best = {x.seq: (x.nearest, round(x.score, 9)) for x in similarity.nearest_accepted(members, pairs, out.where("accepted")).collect()}
+    for j in range(90):
+        found = [(len(set(sets[i]) & set(sets[j])) / len(set(sets[i]) | set(sets[j])) if sets[i] or sets[j] else 1.0, -i) for i in accepted if (i, j) in near]
+        assert best.get(j) == ((-max(found)[1], round(max(found)[0], 9)) if found else None)
+
+
 def test_rejected_rows_shadow_nobody(spark):
     df = spark.createDataFrame([(i, True) for i in range(3)], "seq long, ok boolean")
     chain = spark.createDataFrame([(0, 1), (1, 2)], "l long, r long")
-    assert {x.seq for x in similarity.resolve(df, chain).where("accepted").collect()} == {0, 2}
+    single = df.select("seq", F.col("seq").alias("cls"))
+    assert {x.seq for x in similarity.resolve(df, [(single, chain)]).where("accepted").collect()} == {0, 2}
 
 
 @pytest.mark.parametrize("threshold", [0.5, 0.8, 0.88])
 def test_edges_against_all_pairs(spark, threshold):
     r = random.Random(5)
     sets = [[str(x) for x in r.sample(range(14), r.randint(0, 9))] for _ in range(60)]
-    sets += [sets[3], [], []]
+    sets += [sets[3], list(reversed(sets[3])), [], []]
     df = spark.createDataFrame([(i, s) for i, s in enumerate(sets)], "seq long, tokens array<string>")
-    got = {(x.l, x.r): x.score for x in similarity.edges(df, threshold).collect()}
+    members, distinct = similarity.classes(df)
+    first = {}
+    cls = {i: first.setdefault(frozenset(s), i) for i, s in enumerate(sets)}
+    assert {x.seq: x.cls for x in members.collect()} == cls
+    got = {(x.l, x.r): (x.shared, x.score) for x in similarity.edges(distinct, threshold).collect()}
     want = {}
-    for i, a in enumerate(sets):
-        for j in range(i + 1, len(sets)):
-            both, union = len(set(a) & set(sets[j])), len(set(a) | set(sets[j]))
-            if union and both / union >= threshold:
-                want[i, j] = both / union
-    bare = [i for i, s in enumerate(sets) if not s]
-    want |= {(bare[0], b): 1.0 for b in bare[1:]}
+    for a, i in first.items():
+        for b, j in first.items():
+            if i < j and a | b and len(a & b) / len(a | b) >= threshold:
+                want[i, j] = (len(a & b), len(a & b) / len(a | b))
     assert got == want
 
 
 def test_families_are_transitive(spark):
-    files = [("b", x) for x in "12345"] + [("a", x) for x in "345678"] + [("c", x) for x in "678"] + [("z", "9")]
+    files = [("b", x) for x in "12345"] + [("a", x) for x in "345678"] + [("c", x) for x in "678"] + [("z", "9")] + [("e", x) for x in "678"] + [("y", "9")]
     df = spark.createDataFrame(files, "g string, d string")
-    pairs, family = components.families(df, "g", "d", shared=3, threshold=0.3)
-    assert {(r.l, r.r, r.shared_files) for r in pairs.collect()} == {("a", "b", 3), ("a", "c", 3)}
-    assert {r.g: r.family for r in family.collect()} == {"a": "a", "b": "a", "c": "a", "z": "z"}
+    pairs, family = similarity.families(df, "g", "d", shared=3, threshold=0.3)
+    found = {(r.l, r.r, r.shared_files) for r in pairs.collect()}
+    assert ("a", "b", 3) in found and ("c", "e", 3) in found and len(found) == 3  # one of c and e stands for both
+    assert {r.g: r.family for r in family.collect()} == {"a": "a", "b": "a", "c": "a", "e": "a", "y": "y", "z": "z"}
 
 
 def test_components_on_random_graphs(spark):
@@ -354,3 +383,30 @@ def test_extraction_and_review_stages(spark):
     named = curation.group_families(repos.drop("family_id"), files).collect()
     assert {x.family_id for x in named} == {"github-family:o/a", "github-family:o/b"}
     assert text is not None
+
+
+def test_first_version_is_a_sequential_pass(spark):
+    import hashlib
+    import re
+
+    r = random.Random(21)
+    rows, reviews = [], []
+    for i in range(40):
+        t = " ".join(r.sample(["a", "b", "c", "d", "e", "F", "g"], r.choice([0, 5, 6, 7]))) + r.choice(["", " ", "\n"])
+        rows.append((i, f"s{i}", f"h{i}", t))
+        if i % 6:
+            reviews.append((f"s{i}", 1, f"h{i}" if i % 11 else "old", "pass" if i % 7 else "fail", "pass", "pass", i % 13 != 0))
+    got = {x.seq: x for x in curation.finalize_first_version(spark.createDataFrame(rows, "seq long, sample_id string, content_sha256 string, target string"), spark.createDataFrame(reviews, "sample_id string, seq long, target_sha256 string, alignment string, granularity_match string, solvability string, parse_valid boolean")).collect()}
+    known, hashes, accepted = {x[0]: x for x in reviews}, set(), []
+    for i, sid, h, t in rows:
+        v = known.get(sid)
+        why = ["INDEPENDENT_REVIEW_INVALID"] if v is None or not v[6] else ["INDEPENDENT_REVIEW_TARGET_MISMATCH"] if v[2] != h else ["INDEPENDENT_REVIEW_FAILED"] if v[3] != "pass" else []
+        digest, toks = hashlib.sha256(t.strip().encode()).hexdigest(), set(re.findall(r"[a-z_$][a-z0-9_$]*|\d+", t.lower()))
+        scores = [len(toks & o) / len(toks | o) if toks | o else 1.0 for o in accepted]
+        why += ["EXACT_DUPLICATE_TARGET"] if digest in hashes else []
+        why += ["NEAR_DUPLICATE_TARGET"] if max(scores, default=0) >= 0.8 else []
+        assert got[i].reasons == why, (i, t)
+        assert max(scores, default=0) < 0.8 or got[i].score == round(max(scores), 4)
+        if not why:
+            hashes.add(digest)
+            accepted.append(toks)
