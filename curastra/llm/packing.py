@@ -31,11 +31,11 @@ from .bpe import byte_letters
 from .common import id_of, order_key
 
 #: Windows that are filled together.
-GROUP = 160
+GROUP = 320
 #: Whole remainders, of which one is cut finely.
 FINE_EVERY = 4
 #: Smallest of the fine pieces, in tokens.
-FINEST = 8
+FINEST = 4
 #: Words, and pre-tokens, that a worker remembers before it begins anew; as many older ones are kept.
 REMEMBERED = 500_000
 #: Longer ones (in characters) are not remembered.
@@ -148,6 +148,11 @@ class WordTokenizer:
         return array("I", [t.id for t in self.model.tokenize(own)]).tobytes()
 
     def _word(self, word: str) -> bytes:
+        if word.isascii() or not self.odd(word):  # most new words are letters, or letters and a stop
+            if word.isalpha():
+                return self.pieces[word.lower()]
+            if word.endswith((",", ".")) and word[:-1].isalpha():
+                return self.pieces[word[:-1].lower()] + self.pieces[word[-1]]
         if self.odd(word):
             return array("I", self.library.encode(word, add_special_tokens=False).ids).tobytes()
         return b"".join(map(self.pieces.__getitem__, self.cut(word.lower())))
@@ -221,8 +226,8 @@ def _pack(path: str, capacity: int, end_id: int, with_ids: bool):
                         crc, own = piece(data, at, at + length)
                         held.append((ord_, at, length, crc, tokens, own))
                         at += length
-                    # windows can be filled to about two tokens; wait until that is what is left
-                    if total >= GROUP * capacity and (-total) % capacity <= 2 * GROUP or total >= 2 * GROUP * capacity:
+                    # windows can be filled to about three tokens; wait until that is what is left
+                    if total >= GROUP * capacity and (-total) % capacity <= 3 * GROUP or total >= 2 * GROUP * capacity:
                         flush()
                         if len(cols[0]) >= 10_000 or with_ids:
                             yield batch_of()
