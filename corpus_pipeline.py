@@ -25,8 +25,8 @@ def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 
 
 def ngram_jaccard_join(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of similar documents the one with the smallest id stays, once."""
-    groups = similar_groups(docs, words=4, percent=85)
+    """Of each group of documents alike to 0.8 in five-word shingles the smallest id stays, once."""
+    groups = similar_groups(docs, words=5, percent=80)
     first = groups.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("first")).distinct()
     kept = docs.join(first, docs["doc_id"].eqNullSafe(first["first"]), "left_semi")
     again = F.row_number().over(Window.partitionBy("doc_id", F.xxhash64("text")).orderBy("doc_id"))  # repeated rows

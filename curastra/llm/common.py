@@ -20,6 +20,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+#: Edges of a graph that one task may hold (16 bytes each).
+FEW = 100_000
 #: Stands for a null id wherever ids are ordered: nulls come first and equal each other.
 NULL_ID = -(2**63)
 
@@ -120,31 +122,39 @@ def _forests(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         yield forest(pd.concat(kept))
 
 
+def _solve(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """All edges of a small graph: the component of each node."""
+    kept = list(frames)
+    tree = forest(pd.concat(kept)) if sum(map(len, kept)) else pd.DataFrame({"a": [], "b": []}, dtype="int64")
+    roots = np.unique(tree["b"].to_numpy())
+    yield pd.DataFrame({"node": np.append(tree["a"], roots), "component": np.append(tree["b"], roots)})
+
+
 def components(edges: DataFrame) -> DataFrame:
     """Connected components of undirected edges (a, b) of longs: rows (node, component).
 
-    Each round hooks every node to its smallest neighbour, renames the edges' ends and
-    drops those that became loops. Minima have map-side partial aggregates, so a hub with
-    a third of all edges doesn't meet in one task; edges shrink geometrically.
+    Tasks reduce their edges to forests. While more than ``FEW`` edges are left, a round hooks
+    every node to its smallest neighbour, renames the edges' ends and drops those that became
+    loops. Minima have map-side partial aggregates, so a hub with a third of all edges doesn't
+    meet in one task; edges shrink geometrically. The last ``FEW`` edges are one task's work.
     Empty edges give an empty result; repeated edges and loops change nothing.
     """
-    spark = edges.sparkSession
     pairs = edges.where("a <> b").select(F.col("a").cast("long"), F.col("b").cast("long"))
     left = materialize(pairs.mapInPandas(_forests, "a long, b long"), "edges")
     label = None
-    while not left.isEmpty():
+    while left.count() > FEW:
         both = left.select("a", "b").unionByName(left.select(F.col("b").alias("a"), F.col("a").alias("b")))
         hook = materialize(both.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("m")).select("node", F.least("node", "m").alias("up")), "hooks")
-        if label is None:
-            label = hook.select("node", F.col("up").alias("component"))
-        else:
-            up = hook.select(F.col("node").alias("component"), "up")
-            label = label.join(up, "component", "left").select("node", F.coalesce("up", "component").alias("component"))
+        label = hook.select("node", F.col("up").alias("component")) if label is None else _renamed(label, hook.select("node", F.col("up").alias("to")))
         label = materialize(label, "labels")
         one = left.join(hook.select(F.col("node").alias("a"), F.col("up").alias("x")), "a")
         two = one.join(hook.select(F.col("node").alias("b"), F.col("up").alias("y")), "b")
         moved = two.where("x <> y").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"))
         left = materialize(moved.mapInPandas(_forests, "a long, b long"), "edges")
-    if label is None:
-        return spark.createDataFrame([], "node long, component long")
-    return label
+    last = materialize(left.coalesce(1).mapInPandas(_solve, "node long, component long"), "labels")
+    return last if label is None else materialize(_renamed(label, last.withColumnRenamed("component", "to")), "labels")
+
+
+def _renamed(label: DataFrame, to: DataFrame) -> DataFrame:
+    """Components renamed by rows (node, to)."""
+    return label.join(to.withColumnRenamed("node", "component"), "component", "left").select("node", F.coalesce("to", "component").alias("component"))

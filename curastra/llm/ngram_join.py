@@ -122,9 +122,14 @@ def _count_common(words: int):
             sets = [s for _, s in shingle_sets(*text_buffer(batch.column("text")), words)]
             if not sets:
                 continue
-            token, n = np.unique(np.concatenate(sets), return_counts=True)
-            keep = n >= max(2, len(sets) * COMMON / 2)
-            yield pa.RecordBatch.from_arrays([pa.array(token[keep].astype(np.int64)), pa.array(n[keep])], names=["token", "n"])
+            least = max(2, len(sets) * COMMON / 2)
+            token = np.concatenate(sets)
+            del sets
+            token.sort()  # in place: the tokens of a batch are much of a worker's memory
+            start = np.flatnonzero(np.append(True, token[1:] != token[:-1]))
+            n = np.diff(np.append(start, len(token)))
+            keep = n >= least
+            yield pa.RecordBatch.from_arrays([pa.array(token[start[keep]].astype(np.int64)), pa.array(n[keep])], names=["token", "n"])
 
     return run
 
@@ -460,7 +465,7 @@ def links(docs: DataFrame, words: int, percent: int, id_col: str, text_col: str)
     return described.select("ord", "node", "n"), label.select("node", F.col("comp"))
 
 
-def similar_groups(docs: DataFrame, words: int = 4, percent: int = 85, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def similar_groups(docs: DataFrame, words: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Groups of documents with Jaccard similarity of at least ``percent`` in 100, exactly.
 
     A-Z are lower-cased; words are runs of other bytes than blanks (tab to carriage return,

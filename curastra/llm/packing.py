@@ -37,7 +37,7 @@ FINE_EVERY = 4
 #: Smallest of the fine pieces, in tokens.
 FINEST = 4
 #: Words, and pre-tokens, that a worker remembers before it begins anew; as many older ones are kept.
-REMEMBERED = 500_000
+REMEMBERED = 150_000
 #: Longer ones (in characters) are not remembered.
 LONG = 64
 #: The vocabulary's pre-tokens.

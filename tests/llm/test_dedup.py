@@ -102,8 +102,8 @@ def brute_groups(rows, words, percent):
     return sorted(((rows[k][0], len(sets[k]), None if least[root(k)] == -(2**63) else least[root(k)]) for k in range(len(rows))), key=repr)
 
 
-@pytest.mark.parametrize("seed", [1, 2])
-def test_groups_against_brute_force(frame, seed):
+@pytest.mark.parametrize("seed,words,percent", [(1, 4, 85), (2, 5, 80)])
+def test_groups_against_brute_force(frame, seed, words, percent):
     r = random.Random(seed)
     vocabulary = [f"w{k}" for k in range(400)]
     base = [[r.choice(vocabulary) for _ in range(r.randint(20, 90))] for _ in range(12)]
@@ -115,8 +115,8 @@ def test_groups_against_brute_force(frame, seed):
         rows.append((i, " ".join(w).replace("w1", "W1")))
     rows += [(200, None), (201, ""), (202, " \n\t "), (203, "one two"), (204, "ONE\ttwo"), (205, "one two three"), (206, rows[0][1]), (206, rows[0][1]), (207, "\u00a0x \u2003y z a b"), (None, rows[1][1]), (None, "quite alone here now")]
     rows += [(300 + k, " ".join(vocabulary[:60]) + f" tail{k}") for k in range(60)]  # a large group
-    got = similar_groups(frame(rows)).collect()
-    assert sorted(((x.doc_id, x.n_shingles, x.component_id) for x in got), key=repr) == brute_groups(rows, 4, 85)
+    got = similar_groups(frame(rows), words, percent).collect()
+    assert sorted(((x.doc_id, x.n_shingles, x.component_id) for x in got), key=repr) == brute_groups(rows, words, percent)
 
 
 def test_groups_of_nothing(frame):
@@ -133,12 +133,14 @@ def test_star_of_copies_is_one_group(frame):
         for j in range(3):
             w[(k * 5 + j * 47) % 200] = f"n{k}x{j}"
         rows.append((k, " ".join(w)))
-    got = similar_groups(frame(rows)).collect()
+    got = similar_groups(frame(rows), 4, 85).collect()
     assert sorted((x.doc_id, x.n_shingles, x.component_id) for x in got) == sorted(brute_groups(rows, 4, 85))
     assert {x.component_id for x in got} == {0}
 
 
-def test_components(spark):
+@pytest.mark.parametrize("few", [0, 20, 100_000])
+def test_components(spark, monkeypatch, few):
+    monkeypatch.setattr("curastra.llm.common.FEW", few)
     r = random.Random(8)
     edges = [(r.randrange(300), r.randrange(300)) for _ in range(200)] + [(k, k + 1) for k in range(1000, 1100)]
     parent = {}

@@ -26,7 +26,7 @@ def test_stages_against_brute_force(spark, tmp_path):
     assert sum(i in kept for i, q in labels.items() if q == 1) >= 0.9 * sum(labels.values())  # learnt from 81 labels
 
     rows = sorted((r.doc_id, r.text) for r in good.collect())
-    want = {c for _, _, c in brute_groups(rows, 4, 85)}
+    want = {c for _, _, c in brute_groups(rows, 5, 80)}
     left = sorted((r.doc_id, r.text) for r in first.collect())
     assert [i for i, _ in left] == sorted(want)
 
