@@ -13,7 +13,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import code, records, text
-from ..operators import chat, components, freeze, gates, joins, metrics, ordering, similarity
+from ..operators import chat, components, freeze, gates, integrity, joins, metrics, ordering, similarity
+from ..operators import records as rows_of
 from . import curation
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -89,7 +90,7 @@ def reason_histogram(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("SELECT CASE WHEN n_chars < 0 THEN 1 END AS n, NULL::VARCHAR AS \"check\" FROM documents WHERE false")
-def integrity(spark: SparkSession, sf_dir: str) -> DataFrame:
+def integrity_checks(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     return gates.violations(docs, ("id", F.col("doc_id").isNotNull()), ("length", F.length("text") == F.col("n_chars")))
 
@@ -196,6 +197,19 @@ def near_dup_greedy(spark: SparkSession, sf_dir: str) -> DataFrame:
     return similarity.resolve(rows, [_near(spark, sf_dir)]).select(F.col("seq").alias("doc_id"), "accepted")
 
 
+@query(f"""WITH RECURSIVE {_EDGES},
+p AS (SELECT r AS c, list(l) AS ps, row_number() OVER (ORDER BY r) AS k FROM e GROUP BY r),
+g(k, rej) AS (SELECT 0::BIGINT, coalesce((SELECT list(doc_id) FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels WHERE quality = 1)), CAST([] AS BIGINT[])) UNION ALL
+  SELECT p.k, CASE WHEN NOT list_contains(rej, c) AND len(list_filter(ps, lambda z: NOT list_contains(rej, z))) > 0 THEN list_append(rej, c) ELSE rej END FROM g JOIN p ON p.k = g.k + 1),
+x AS (SELECT unnest(rej) AS doc_id FROM g WHERE k = (SELECT count(*) FROM p))
+SELECT doc_id, doc_id NOT IN (SELECT doc_id FROM x) AS accepted FROM documents""")
+def near_dup_reviewed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same pass where documents without a good label are rejected and shadow nobody."""
+    good = table(spark, sf_dir, "labels").where("quality = 1").select(F.col("doc_id").alias("seq"), F.lit(True).alias("ok"))
+    rows = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("seq")).join(good, "seq", "left")
+    return similarity.resolve(rows, [_near(spark, sf_dir)]).select(F.col("seq").alias("doc_id"), "accepted")
+
+
 @query(f"""
 WITH g AS (SELECT doc_id, source, len(list_filter([{_GATES}], lambda r: r IS NOT NULL)) = 0 AS ok FROM documents),
 k AS (SELECT doc_id, ok, sum(CASE WHEN ok THEN 1 ELSE 0 END) OVER (PARTITION BY source ORDER BY doc_id) AS n FROM g)
@@ -447,6 +461,36 @@ def review_parse(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("id", "r.alignment", "r.granularity_match", "r.solvability", "r.parse_mode", "r.parse_valid")
 
 
+@query("SELECT regexp_extract(url, '://([^/?#]*)', 1) AS repo, count(*) AS eligible_files, sum(length(html))::BIGINT AS source_bytes FROM pages GROUP BY 1")
+def file_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = table(spark, sf_dir, "pages").select(F.regexp_extract("url", "://([^/?#]*)", 1).alias("repo"), F.length("html").alias("length"))
+    return integrity.file_totals(pages)
+
+
+@query("""SELECT doc_id, CASE WHEN doc_id % 5 = 1 THEN 'fail' WHEN doc_id % 5 = 3 THEN 'not_assessable' ELSE 'pass' END AS alignment,
+  CASE WHEN doc_id % 5 = 2 THEN 'fail' WHEN doc_id % 5 = 3 THEN 'not_assessable' ELSE 'pass' END AS granularity_match,
+  CASE WHEN doc_id % 5 IN (1, 2, 3) THEN 'reject' ELSE 'accept' END AS decision FROM documents""")
+def audit_decisions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", F.lit("").alias("review"))
+    kind = F.when(F.col("doc_id") % 5 == 1, "ALIGNMENT").when(F.col("doc_id") % 5 == 2, "GRANULARITY_OR_SOLVABILITY").when(F.col("doc_id") % 5 == 3, "TRUNCATED")
+    told = docs.select("doc_id", kind.alias("issue"), F.lit("n").alias("notes")).where("issue is not null")
+    return rows_of.apply_decisions(docs, told, "doc_id").select("doc_id", "review.alignment", "review.granularity_match", "review.decision")
+
+
+_CALLS = [(1, '{"tool":"read_file","path":"a"}'), (2, '{"tool":"read_file","path":"a","x":1}'), (3, '{"tool":"run_command","command":"node","args":["x"],"timeoutMs":30001}'), (4, '{"tool":"run_command","command":"node","args":["x"]}'), (5, "no")]
+
+
+@query("SELECT * FROM (VALUES (1, true), (2, false), (3, false), (4, true), (5, false)) t(id, valid)")
+def tool_calls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _inline(spark, _CALLS, "id int, call string").select("id", records.valid_tool_call(F.col("call")).alias("valid"))
+
+
+@query("SELECT doc_id, list_sort(list_distinct([CASE WHEN contains(text, chr(10)) THEN 'LINES' END, CASE WHEN n_chars > 1000 THEN 'LONG' END]))[1] AS first_reason FROM documents")
+def first_reason(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = gates.sorted_reasons(gates.reasons(("LINES", F.col("text").contains("\n")), ("LONG", F.col("n_chars") > 1000)))
+    return table(spark, sf_dir, "documents").select("doc_id", F.get(found, F.lit(0)).alias("first_reason"))
+
+
 # --- releases, whole pipeline ------------------------------------------------------------
 
 
