@@ -13,7 +13,8 @@ BUILD_SCRIPTS = ["build", "build:prod", "compile", "bundle"]
 OTHER_SCRIPTS = ["test", "lint", "format", "dev", "serve", "start", "preview"]
 #: Names of licence files in order.
 LICENSE_FILES = ["LICENSE", "LICENSE.md", "LICENSE.txt", "LICENCE", "LICENCE.md", "COPYING"]
-#: The checks of a review.
+#: The reason given where labels were recovered; the checks of a review.
+RECOVERED = "reviewer output truncated after explicit labels"
 CHECKS = ["alignment", "granularity_match", "solvability"]
 #: Longest time a command may take.
 MAX_TIMEOUT_MS = 30_000
@@ -60,7 +61,7 @@ def parse_review(raw: Column) -> Column:
     all_there = label[0].isNotNull() & label[1].isNotNull() & label[2].isNotNull()
     mode = F.when(object_.isNotNull(), "json").when(all_there, "recovered_explicit_labels").otherwise("invalid")
     value = [F.coalesce(F.when(mode == "json", j).when(mode == "recovered_explicit_labels", x), F.lit("invalid")) for j, x in zip(from_json, label, strict=True)]
-    reason = F.when(mode == "json", F.coalesce(F.get_json_object(object_, "$.reason"), F.lit(""))).when(mode == "recovered_explicit_labels", "reviewer output truncated after explicit labels").otherwise("")
+    reason = F.when(mode == "json", F.coalesce(F.get_json_object(object_, "$.reason"), F.lit(""))).when(mode == "recovered_explicit_labels", RECOVERED).otherwise("")
     valid = value[0].isin("pass", "fail") & value[1].isin("pass", "fail") & value[2].isin("pass", "fail")
     return F.struct(*(v.alias(c) for v, c in zip(value, CHECKS, strict=True)), reason.alias("reason"), mode.alias("parse_mode"), valid.alias("parse_valid"))
 

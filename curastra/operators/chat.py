@@ -5,8 +5,18 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-#: The label that a trainer ignores.
+#: The label that a trainer ignores; the paragraphs of a repair request around
+#: the request and the evaluation.
 IGNORED = -100
+REPAIR = {
+    "continue": "Continue working in the existing task workspace.",
+    "number": "This is evaluator-guided repair %d of at most %d.",
+    "inspect": "Inspect the existing files and fix the implementation so the original request passes.",
+    "leave": "Do not modify or replace the external evaluator; it is outside your workspace.",
+    "request": "Original request:",
+    "result": "External evaluator result:",
+    "check": "Run the relevant allowed build or test command and inspect its Observation before finishing.",
+}
 
 
 def messages_of(turns: DataFrame, conv: str = "conv_id", turn: str = "turn", role: str = "role", text: str = "text", most: int | None = None) -> DataFrame:
@@ -47,7 +57,7 @@ def masked(prompt_ids: Column, full_ids: Column, max_length: int) -> Column:
     rest = F.when(n < F.size(kept), F.slice(kept, n + 1, F.greatest(F.size(kept) - n, F.lit(0)))).otherwise(F.array().cast("array<int>"))
     labels = F.concat(F.array_repeat(F.lit(IGNORED), n), rest)
     prefix = F.slice(full_ids, F.lit(1), F.size(prompt_ids)) == prompt_ids
-    error = F.when(~prefix, "prompt is not a prefix").when(~F.exists(labels, lambda x: x != IGNORED), "max_length masks the entire response")
+    error = F.when(~prefix, "the prompt is no prefix").when(~F.exists(labels, lambda x: x != IGNORED), "nothing of the response is left")
     return F.struct(kept.alias("input_ids"), F.array_repeat(F.lit(1), F.size(kept)).alias("attention_mask"), labels.alias("labels"), error.alias("error"))
 
 
@@ -58,15 +68,6 @@ def code_points(text: Column) -> Column:
 
 def repair_request(request: Column, evaluation: Column, number: Column, most: Column) -> Column:
     """What an agent is asked after a failed evaluation (a JSON string)."""
-    return F.concat_ws(
-        "\n\n",
-        F.lit("Continue working in the existing task workspace."),
-        F.concat(F.lit("This is evaluator-guided repair "), number.cast("string"), F.lit(" of at most "), most.cast("string"), F.lit(".")),
-        F.lit("Inspect the existing files and fix the implementation so the original request passes."),
-        F.lit("Do not modify or replace the external evaluator; it is outside your workspace."),
-        F.lit("Original request:"),
-        request,
-        F.lit("External evaluator result:"),
-        evaluation,
-        F.lit("Run the relevant allowed build or test command and inspect its Observation before finishing."),
-    )
+    part = {name: F.lit(text) for name, text in REPAIR.items()} | {"number": F.format_string(REPAIR["number"], number, most)}
+    order = [part["continue"], part["number"], part["inspect"], part["leave"], part["request"], request, part["result"], evaluation, part["check"]]
+    return F.concat_ws("\n\n", *order)

@@ -390,7 +390,7 @@ def chat_render(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("""WITH c AS (SELECT conv_id, string_agg('<|im_start|>' || role || chr(10) || text || '<|im_end|>' || chr(10), '' ORDER BY turn, role, text) AS whole,
   arg_min('<|im_start|>' || role || chr(10) || text || '<|im_end|>' || chr(10), turn) || '<|im_start|>assistant' || chr(10) AS prompt FROM conversations GROUP BY conv_id HAVING count(*) <= 64),
 n AS (SELECT conv_id, least(length(whole), 512) AS n, length(prompt) AS p, starts_with(whole, prompt) AS ok FROM c)
-SELECT conv_id, n AS n_ids, greatest(n - p, 0) AS n_labels, CASE WHEN NOT ok THEN 'prompt is not a prefix' WHEN n <= p THEN 'max_length masks the entire response' END AS error FROM n""")
+SELECT conv_id, n AS n_ids, greatest(n - p, 0) AS n_labels, CASE WHEN NOT ok THEN 'the prompt is no prefix' WHEN n <= p THEN 'nothing of the response is left' END AS error FROM n""")
 def response_mask(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = chat.messages_of(table(spark, sf_dir, "conversations"), most=64)
     prompt = chat.code_points(chat.render(F.slice("messages", 1, 1), opened=True))

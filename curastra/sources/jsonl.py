@@ -63,9 +63,9 @@ def read_lines(spark: SparkSession, path: str) -> DataFrame:
 
 
 def parse_lines(lines: DataFrame, schema: str) -> DataFrame:
-    """Lines with their ``record``, and ``error`` ("path:line: invalid JSON") where there is none."""
+    """Lines with their ``record``, and ``error`` ("path:line: no JSON") where there is none."""
     bad = F.try_parse_json("text").isNull()
-    where = F.concat(F.col("path"), F.lit(":"), F.col("line").cast("string"), F.lit(": invalid JSON"))
+    where = F.concat(F.col("path"), F.lit(":"), F.col("line").cast("string"), F.lit(": no JSON"))
     return lines.select("path", "line", "text", F.when(~bad, F.from_json("text", schema)).alias("record"), F.when(bad, where).alias("error"))
 
 
@@ -85,14 +85,14 @@ def read_chat_samples(lines: DataFrame) -> DataFrame:
     at = F.concat(F.col("path"), F.lit(":"), F.col("line").cast("string"), F.lit(": "))
     m = F.col("record.messages")
     error = F.when(F.col("error").isNotNull(), F.col("error"))
-    error = error.when(F.coalesce(F.col("sample_id"), F.lit("")) == "", F.concat(at, F.lit("missing sample_id")))
-    error = error.when(F.struct("path", "line") != F.col("first"), F.concat(at, F.lit("duplicate sample_id "), F.col("sample_id")))
-    error = error.when(F.coalesce(F.size(m), F.lit(0)) != 2, F.concat(at, F.lit("expected exactly user and assistant messages")))
+    error = error.when(F.coalesce(F.col("sample_id"), F.lit("")) == "", F.concat(at, F.lit("no id")))
+    error = error.when(F.struct("path", "line") != F.col("first"), F.concat(at, F.lit("id seen before")))
+    error = error.when(F.coalesce(F.size(m), F.lit(0)) != 2, F.concat(at, F.lit("not one question and one answer")))
     for i, role in enumerate(("user", "assistant")):
-        error = error.when(~F.get(m, F.lit(i))["role"].eqNullSafe(F.lit(role)), F.concat(at, F.lit(f"message {i} must have role {role}")))
-        error = error.when(strip(F.coalesce(F.get(m, F.lit(i))["content"], F.lit(""))) == "", F.concat(at, F.lit(f"message {i} has empty content")))
+        error = error.when(~F.get(m, F.lit(i))["role"].eqNullSafe(F.lit(role)), F.concat(at, F.lit(f"not from {role} in place {i}")))
+        error = error.when(strip(F.coalesce(F.get(m, F.lit(i))["content"], F.lit(""))) == "", F.concat(at, F.lit(f"no text from {role}")))
     for gate in CHECKS:
-        error = error.when(~F.col(f"record.metadata.quality.{gate}").eqNullSafe(F.lit("pass")), F.concat(at, F.lit(f"accepted sample failed {gate}")))
+        error = error.when(~F.col(f"record.metadata.quality.{gate}").eqNullSafe(F.lit("pass")), F.concat(at, F.lit(f"{gate} not passed")))
     return rows.select("path", "line", "sample_id", m.alias("messages"), error.alias("error"))
 
 

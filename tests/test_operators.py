@@ -250,7 +250,7 @@ def test_masks(spark):
     df = spark.createDataFrame([(0, [1, 2], [1, 2, 3, 4]), (1, [1, 2, 3], [1, 2, 3, 4]), (2, [9], [1, 2]), (3, [1, 2], [1, 2])], "i int, p array<int>, f array<int>")
     got = {r.i: r.m for r in df.select("i", chat.masked(F.col("p"), F.col("f"), 3).alias("m")).collect()}
     assert got[0].labels == [-100, -100, 3] and got[0].attention_mask == [1, 1, 1] and got[0].error is None
-    assert got[1].error.startswith("max_length") and got[2].error == "prompt is not a prefix" and got[3].error.startswith("max_length")
+    assert got[1].error.startswith("nothing") and got[2].error == "the prompt is no prefix" and got[3].error.startswith("nothing")
 
 
 def test_freeze(spark):
@@ -328,7 +328,7 @@ def test_jsonl_and_streaming(spark, tmp_path):
     good = '{"sample_id":"%s","messages":[{"role":"user","content":"q"},{"role":"assistant","content":"%s"}],"metadata":{"quality":{"alignment":"pass","granularity_match":"pass","solvability":"pass"}}}'
     path.write_text("\r\n".join([good % ("a", "x"), "", "{bad", good % ("a", "y"), good % ("b", " "), '{"sample_id":""}', good.replace('"solvability":"pass"', '"solvability":"fail"') % ("c", "z")]))
     got = {r.line: r.error and r.error.split(": ", 1)[1] for r in jsonl.read_chat_samples(jsonl.read_lines(spark, str(path))).collect()}
-    assert got == {1: None, 3: "invalid JSON", 4: "duplicate sample_id a", 5: "message 1 has empty content", 6: "missing sample_id", 7: "accepted sample failed solvability"}
+    assert got == {1: None, 3: "no JSON", 4: "id seen before", 5: "no text from assistant", 6: "no id", 7: "solvability not passed"}
     assert jsonl.read_jsonl_or_empty(spark, str(tmp_path / "none.jsonl"), "a int").count() == 0
     with pytest.raises(Exception, match="(?i)malformed|failfast"):
         jsonl.read_jsonl(spark, str(path), "sample_id string").collect()
