@@ -47,35 +47,41 @@ def test_small_functions(spark):
     assert (row.r, row.b, row.j, row.c) == (0.0312, 8.0, 1.0, 0.0)
 
 
+def _visible(rest):
+    """(brackets outside of strings and comments, what never ends)."""
+    out = ""
+    while rest:
+        if rest.startswith("//"):
+            rest = rest.partition("\n")[2]
+        elif rest.startswith("/*"):
+            _, found, rest = rest[2:].partition("*/")
+            if not found:
+                return out, "comment"
+        elif rest[0] in "'\"`":
+            quote, rest = rest[0], rest[1:]
+            while rest and rest[0] != quote:
+                rest = rest[2 if rest[0] == "\\" else 1 :]
+            if not rest:
+                return out, "string"
+            rest = rest[1:]
+        else:
+            out += rest[0] if rest[0] in "()[]{}" else ""
+            rest = rest[1:]
+    return out, None
+
+
 def _delimiters(source):
-    """Character by character: what is wrong with brackets, strings and comments."""
-    stack, mode, i = [], None, 0
-    while i < len(source):
-        two = source[i : i + 2]
-        c = source[i]
-        if mode == "//":
-            mode = None if c == "\n" else mode
-        elif mode == "/*":
-            if two == "*/":
-                mode, i = None, i + 1
-        elif mode:
-            if c == "\\":
-                i += 1
-            elif c == mode:
-                mode = None
-        elif two in ("//", "/*"):
-            mode, i = two, i + 1
-        elif c in "'\"`":
-            mode = c
-        elif c in "([{":
-            stack.append(c)
-        elif c in ")]}":
-            if not stack or stack.pop() != {")": "(", "]": "[", "}": "{"}[c]:
-                return f"unbalanced delimiter {c}"
-        i += 1
-    if stack:
-        return "unclosed delimiter"
-    return "unclosed comment" if mode == "/*" else "unclosed string" if mode and mode != "//" else None
+    """What is wrong, by taking away matching neighbours."""
+    brackets, never = _visible(source)
+    for k in range(len(brackets)):  # the first closing bracket that matches nothing
+        left = brackets[: k + 1]
+        while (less := left.replace("()", "").replace("[]", "").replace("{}", "")) != left:
+            left = less
+        if any(c in ")]}" for c in left):
+            return f"unbalanced delimiter {brackets[k]}"
+        if k == len(brackets) - 1 and left:
+            return "unclosed delimiter"
+    return f"unclosed {never}" if never else None
 
 
 def test_delimiters_against_a_plain_lexer():
