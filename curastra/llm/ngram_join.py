@@ -395,7 +395,8 @@ def links(docs: DataFrame, words: int, percent: int, id_col: str, text_col: str)
     text = docs.select(order_key(docs[id_col]).alias("ord"), docs[text_col].cast("string").alias("text"))
     rows = text.count()
     counted = text.select("text").mapInArrow(_count_common(words), "token long, n long").groupBy("token").agg(F.sum("n").alias("n"))
-    common = np.sort(np.array([r.token for r in counted.where(F.col("n") > F.lit(rows * COMMON)).select("token").collect()], dtype=np.int64).view(np.uint64))
+    found = counted.where(F.col("n") > F.lit(rows * COMMON)).select("token").toArrow()  # 8 bytes each, see COMMON
+    common = np.sort(found.column("token").to_numpy().astype(np.int64).view(np.uint64))
 
     described = materialize(text.mapInArrow(_describe(words, percent, common), "ord long, node long, n long, prefix binary, sketch binary, mini binary"), "sets")
     index = described.where("prefix is not null").select("node", "n", "prefix").mapInArrow(_postings, "token long, n long, node long, pos long")
