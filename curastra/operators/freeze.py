@@ -34,8 +34,11 @@ def manifest(samples: DataFrame, audits: DataFrame, files: DataFrame, name: str,
     data = samples.agg(F.count("*").alias("samples"), F.countDistinct(family).alias("families"))
     audit = audits.agg(F.count("*").alias("reviewed"), F.count_if(decision == "accept").alias("audit_accepted"), F.count_if(decision == "reject").alias("audit_rejected"))
     bound = files.agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("path", "sha256")))).alias("sha256"))
-    out = data.crossJoin(audit).crossJoin(bound)  # single rows
-    out = out.crossJoin(hist(granularity).withColumnRenamed("m", "granularity")).crossJoin(hist(category).withColumnRenamed("m", "category"))
+    parts = [data, audit, bound, hist(granularity).withColumnRenamed("m", "granularity"), hist(category).withColumnRenamed("m", "category")]
+    out, *more = (p.withColumn("_one", F.lit(1)) for p in parts)  # each has one row
+    for p in more:
+        out = out.join(p, "_one")
+    out = out.drop("_one")
     return out.select(F.lit("1.0").alias("schema_version"), F.lit(name).alias("freeze_name"), "*")
 
 

@@ -264,6 +264,10 @@ def test_freeze(spark):
         freeze.verify(old, old.where("path = 'a'"), {"audits": 3}, {"audits": 4})
     settings = spark.createDataFrame([("v2", 5, True)], "name string, n int, flag boolean")
     assert [r[0] for r in freeze.failed_requirements(settings, name="v2", n=6, flag=True).collect()] == ["n"]
+    samples = spark.createDataFrame([("f1", "G1", "card"), ("f1", "G2", "card"), ("f2", "G1", "tower")], "f string, g string, c string")
+    audits = spark.createDataFrame([("accept",), ("reject",), ("reject",)], "d string")
+    row = freeze.manifest(samples, audits, old, "m", F.col("f"), F.col("g"), F.col("c"), F.col("d")).first()
+    assert (row.samples, row.families, row.reviewed, row.audit_rejected, row.granularity, row.category, row.sha256) == (3, 2, 3, 2, {"G1": 2, "G2": 1}, {"card": 2, "tower": 1}, {"a": "1", "b": "2"})
     assert freeze.same_sets(df, df) and not freeze.same_sets(df, df.distinct())
 
 
