@@ -25,7 +25,6 @@ import pyarrow as pa
 import regex
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
 from .bpe import byte_letters
 from .common import id_of, order_key
