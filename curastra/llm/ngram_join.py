@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import components, materialize, order_key, release, text_buffer
+from .common import components, materialize, order_key, release, text_buffer, tidy
 
 #: Bits of the parity sketches: the power of two over four times the set's size, within these.
 SKETCHES = 512, 65536
@@ -394,13 +394,13 @@ def links(docs: DataFrame, words: int, percent: int, id_col: str, text_col: str)
     spark = docs.sparkSession
     text = docs.select(order_key(docs[id_col]).alias("ord"), docs[text_col].cast("string").alias("text"))
     rows = text.count()
-    counted = text.select("text").mapInArrow(_count_common(words), "token long, n long").groupBy("token").agg(F.sum("n").alias("n"))
+    counted = text.select("text").mapInArrow(tidy(_count_common(words)), "token long, n long").groupBy("token").agg(F.sum("n").alias("n"))
     found = counted.where(F.col("n") > F.lit(rows * COMMON)).select("token").toArrow()  # 8 bytes each, see COMMON
     common = np.sort(found.column("token").to_numpy().astype(np.int64).view(np.uint64))
 
-    described = materialize(text.mapInArrow(_describe(words, percent, common), "ord long, node long, n long, prefix binary, sketch binary, mini binary"), "sets")
-    index = described.where("prefix is not null").select("node", "n", "prefix").mapInArrow(_postings, "token long, n long, node long, pos long")
-    shared = materialize(index.repartition("token").sortWithinPartitions("token", "n", "node").mapInArrow(_shared, "token long, n long, node long, pos long"), "index")
+    described = materialize(text.mapInArrow(tidy(_describe(words, percent, common)), "ord long, node long, n long, prefix binary, sketch binary, mini binary"), "sets")
+    index = described.where("prefix is not null").select("node", "n", "prefix").mapInArrow(tidy(_postings), "token long, n long, node long, pos long")
+    shared = materialize(index.repartition("token").sortWithinPartitions("token", "n", "node").mapInArrow(tidy(_shared), "token long, n long, node long, pos long"), "index")
     release(spark)
 
     sketch = materialize(described.where("prefix is not null").join(shared.select("node").distinct(), "node", "left_semi").groupBy("node").agg(F.min("ord").alias("ord"), F.first("n").alias("n"), F.first("sketch").alias("sketch"), F.first("mini").alias("mini")), "sketches")
@@ -409,9 +409,11 @@ def links(docs: DataFrame, words: int, percent: int, id_col: str, text_col: str)
         # distinct pairs of different components within the sketch's bound, with the likely similarity
         walked = shared.join(sketch.select("node", "mini"), "node").join(label, "node", "left")
         walked = walked.select("token", "n", "node", "pos", F.coalesce("comp", "node").alias("comp"), F.coalesce("deg", F.lit(0)).alias("deg"), "mini")
-        pairs = walked.repartition("token").sortWithinPartitions("token", "n", "node").mapInArrow(_walk(mode, percent), "a long, b long").distinct()
+        pairs = walked.repartition("token").sortWithinPartitions("token", "n", "node").mapInArrow(tidy(_walk(mode, percent)), "a long, b long").distinct()
         both = _pair(_pair(pairs, sketch, {"n": "na", "sketch": "sa"}, "a"), sketch, {"n": "nb", "sketch": "sb"}, "b")
-        return materialize(both.select("a", "b", "na", "nb", "sa", "sb").mapInArrow(_sketched(percent), "a long, b long, likely double"), "pairs")
+        out = materialize(both.select("a", "b", "na", "nb", "sa", "sb").mapInArrow(_sketched(percent), "a long, b long, likely double"), "pairs")
+        release(spark)
+        return out
 
     def across(pairs: DataFrame, label: DataFrame) -> DataFrame:
         # those that join different components, which are named
@@ -437,15 +439,16 @@ def links(docs: DataFrame, words: int, percent: int, id_col: str, text_col: str)
     alone = likely.select("a", "b", "likely", F.col("a").alias("ca"), F.col("b").alias("cb"))
     tree = materialize(spanning(alone), "tree")
     pairs = candidates("all", label)
-    release(spark)
     wanted = tree.unionByName(pairs.select("a", "b")).select(F.explode(F.array("a", "b")).alias("node")).distinct()
     owner = sketch.join(wanted, "node", "left_semi").select("ord", "node")
-    sets = materialize(text.join(owner, "ord").mapInArrow(_whole_sets(words), "node long, set binary"), "whole")
+    sets = materialize(text.join(owner, "ord").mapInArrow(tidy(_whole_sets(words)), "node long, set binary"), "whole")
     release(spark)
 
     def verdicts(pairs: DataFrame) -> DataFrame:
         both = _pair(_pair(pairs.select("a", "b"), sets, {"set": "sa"}, "a"), sets, {"set": "sb"}, "b")
-        return materialize(both.select("a", "b", "sa", "sb").mapInArrow(_verify(percent), "a long, b long, ok boolean"), "verdicts")
+        out = materialize(both.select("a", "b", "sa", "sb").mapInArrow(tidy(_verify(percent)), "a long, b long, ok boolean"), "verdicts")
+        release(spark)
+        return out
 
     confirmed = verdicts(tree)
     linked = confirmed.where("ok")

@@ -27,7 +27,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 
 from .bpe import byte_letters
-from .common import id_of, order_key
+from .common import id_of, order_key, tidy
 
 #: Windows that are filled together.
 GROUP = 320
@@ -251,5 +251,5 @@ def pack(docs: DataFrame, vocabulary: str, capacity: int = 2048, end_id: int = 1
     """
     rows = docs.select(order_key(docs[id_col]).alias("ord"), docs[text_col].cast("string").alias("text"))
     kinds = "ord long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, ids array<int>"
-    out = rows.mapInArrow(_pack(vocabulary, capacity, end_id, with_ids), kinds)
+    out = rows.mapInArrow(tidy(_pack(vocabulary, capacity, end_id, with_ids)), kinds)
     return out.select(id_of("ord").alias(id_col), "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset", "ids")

@@ -24,6 +24,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import tidy
+
 _WORD = re.compile(r"[^\W_]+|[^\w\s]")
 
 
@@ -247,5 +249,5 @@ def classify(docs: DataFrame, model: Model | None, text_col: str = "text") -> Da
             yield pa.RecordBatch.from_arrays(cols, names=["rest", *new])
 
     kinds = ", ".join(f"{c} {k}" for c, k in new.items())
-    out = rows.mapInArrow(run, f"rest {rows.schema['rest'].dataType.simpleString()}, {kinds}")
+    out = rows.mapInArrow(tidy(run), f"rest {rows.schema['rest'].dataType.simpleString()}, {kinds}")
     return out.select(*(F.col("rest")[c].alias(c) for c in others), *new)

@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import id_of, materialize, order_key, sliding_min, text_buffer
+from .common import id_of, materialize, order_key, release, sliding_min, text_buffer, tidy
 
 #: Bytes of a trigger window; five doublings of the rolling hash.
 TRIGGER = 32
@@ -330,18 +330,20 @@ def _by_string(length: int):
 def repeats(docs: DataFrame, length: int = 100, id_col: str = "doc_id", text_col: str = "text", crowded: int = CROWDED) -> DataFrame:
     """Runs of string starts that also start earlier: rows (ord, meta), see ``_pack``."""
     keyed = _keyed(docs, id_col, text_col)
-    parse = keyed.select("ord", "tag", "text").mapInArrow(_parse(length), _PARSE)
+    parse = keyed.select("ord", "tag", "text").mapInArrow(tidy(_parse(length)), _PARSE)
     sorted_ = parse.repartition("g").sortWithinPartitions("g", "e", "ord", "meta")
-    found = materialize(sorted_.mapInArrow(_resolve(crowded), "g long, ord long, meta long, kind int"), "parse")
+    found = materialize(sorted_.mapInArrow(tidy(_resolve(crowded)), "g long, ord long, meta long, kind int"), "parse")
+    release(docs.sparkSession)
     whole = found.where(F.col("kind") == _REPEAT).select("ord", "meta")
 
     wants = found.where(F.col("kind") >= _PHRASE).groupBy("ord").agg(F.collect_list(F.struct(F.col("g"), F.col("ord"), F.col("meta"))).alias("wants"), F.max("kind").alias("kind"))
     with_text = keyed.select("ord", "text").join(wants.select("ord", "wants"), "ord").withColumn("tag", _tag_of("text"))
-    dictionary = materialize(with_text.mapInArrow(_strings(length), "g long, ord long, meta long, phrase binary"), "dictionary")
+    dictionary = materialize(with_text.mapInArrow(tidy(_strings(length)), "g long, ord long, meta long, phrase binary"), "dictionary")
+    release(docs.sparkSession)
     hot = found.where(F.col("kind") == _CROWD).select("g").distinct()
-    plain = dictionary.join(hot, "g", "left_anti").repartition("g").sortWithinPartitions("g").mapInArrow(_suffix_array(length), "ord long, meta long")
-    crowd = dictionary.join(hot, "g", "left_semi").select("ord", "meta", "phrase").mapInArrow(_by_string(length), _PARSE)
-    crowd = crowd.repartition("g").sortWithinPartitions("g", "e", "ord", "meta").mapInArrow(_resolve(crowded), "g long, ord long, meta long, kind int")
+    plain = dictionary.join(hot, "g", "left_anti").repartition("g").sortWithinPartitions("g").mapInArrow(tidy(_suffix_array(length)), "ord long, meta long")
+    crowd = dictionary.join(hot, "g", "left_semi").select("ord", "meta", "phrase").mapInArrow(tidy(_by_string(length)), _PARSE)
+    crowd = crowd.repartition("g").sortWithinPartitions("g", "e", "ord", "meta").mapInArrow(tidy(_resolve(crowded)), "g long, ord long, meta long, kind int")
     return whole.unionByName(plain).unionByName(crowd.where(F.col("kind") == _REPEAT).select("ord", "meta"))
 
 
@@ -406,5 +408,5 @@ def dedup_passages(docs: DataFrame, length: int = 100, id_col: str = "doc_id", t
     rows = docs.select(order_key(docs[id_col]).alias("ord"), docs[text_col].cast("string").alias("text"), F.struct(*(docs[c] for c in others), F.lit(0).alias("_")).alias("rest"))
     joined = rows.join(runs, "ord", "left").withColumn("tag", _tag_of("text"))
     rest = joined.schema["rest"].dataType.simpleString()
-    cut = joined.mapInArrow(_cut(length, keep_text), f"ord long, rest {rest}, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept string")
+    cut = joined.mapInArrow(tidy(_cut(length, keep_text)), f"ord long, rest {rest}, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept string")
     return cut.select(id_of("ord").alias(id_col), *(F.col("rest")[c].alias(c) for c in others), *names)
