@@ -51,13 +51,21 @@ def release(spark: SparkSession) -> None:
     spark.sparkContext._jvm.System.gc()
 
 
-def tidy(run: Callable) -> Callable:
+#: What this worker remembers between tasks, by operator: a function that forgets it.
+MEMOS: dict[str, Callable[[], None]] = {}
+
+
+def tidy(run: Callable, memo: str | None = None) -> Callable:
     """A function for ``mapInArrow`` that gives freed memory back to the system after its task.
 
     Workers serve many tasks of all kinds; what the allocators keep from one would add up.
+    A worker that turns to another operator forgets what it remembers for the last one.
     """
 
     def wrapped(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for name, forget in MEMOS.items():
+            if name != memo:
+                forget()
         yield from run(batches)
         gc.collect()
         pa.default_memory_pool().release_unused()

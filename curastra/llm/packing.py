@@ -27,7 +27,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 
 from .bpe import byte_letters
-from .common import id_of, order_key, tidy
+from .common import MEMOS, id_of, order_key, tidy
 
 #: Windows that are filled together.
 GROUP = 320
@@ -36,7 +36,7 @@ FINE_EVERY = 4
 #: Smallest of the fine pieces, in tokens.
 FINEST = 4
 #: Words, and pre-tokens, that a worker remembers before it begins anew; as many older ones are kept.
-REMEMBERED = 150_000
+REMEMBERED = 500_000
 #: Longer ones (in characters) are not remembered.
 LONG = 64
 #: The vocabulary's pre-tokens.
@@ -164,6 +164,7 @@ class WordTokenizer:
 
 #: Tokenizers of this worker by path; what one task has remembered serves the next.
 _READY: dict[str, WordTokenizer] = {}
+MEMOS["packing"] = _READY.clear
 
 
 def _tokenizer(path: str) -> WordTokenizer:
@@ -251,5 +252,5 @@ def pack(docs: DataFrame, vocabulary: str, capacity: int = 2048, end_id: int = 1
     """
     rows = docs.select(order_key(docs[id_col]).alias("ord"), docs[text_col].cast("string").alias("text"))
     kinds = "ord long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, ids array<int>"
-    out = rows.mapInArrow(tidy(_pack(vocabulary, capacity, end_id, with_ids)), kinds)
+    out = rows.mapInArrow(tidy(_pack(vocabulary, capacity, end_id, with_ids), "packing"), kinds)
     return out.select(id_of("ord").alias(id_col), "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset", "ids")
