@@ -76,6 +76,13 @@ def tidy(run: Callable, memo: str | None = None) -> Callable:
     return wrapped
 
 
+def slices(batches: Iterator[pa.RecordBatch], rows: int = 2_500) -> Iterator[pa.RecordBatch]:
+    """The batches in parts, for work whose arrays are many times its input; nothing is copied."""
+    for batch in batches:
+        for i in range(0, batch.num_rows, rows):
+            yield batch.slice(i, rows)
+
+
 def order_key(col) -> F.Column:
     """Ids as longs in which null is the smallest."""
     return F.coalesce(F.col(col) if isinstance(col, str) else col, F.lit(NULL_ID)).cast("long")

@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import components, materialize, order_key, release, text_buffer, tidy
+from .common import components, materialize, order_key, release, slices, text_buffer, tidy
 
 #: Bits of the parity sketches: the power of two over four times the set's size, within these.
 SKETCHES = 512, 65536
@@ -175,7 +175,7 @@ def _describe(words: int, percent: int, common: np.ndarray):
     """Per document: its set's id and size; once in a batch for a set its prefix and sketch."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches):
             n = batch.num_rows
             node, size = [None] * n, [0] * n
             prefix, sketch, mini, seen = [None] * n, [None] * n, [None] * n, set()
@@ -332,7 +332,7 @@ def _whole_sets(words: int):
     """Sets of the wanted nodes, from their documents' texts."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches):
             want = batch.column("node").to_pylist()
             node, found = [], []
             for i, s in shingle_sets(*text_buffer(batch.column("text")), words):

@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import tidy
+from .common import slices, tidy
 
 _WORD = re.compile(r"[^\W_]+|[^\w\s]")
 
@@ -241,7 +241,7 @@ def classify(docs: DataFrame, model: Model | None, text_col: str = "text") -> Da
     rows = docs.select(F.struct(*(docs[c] for c in others)).alias("rest"), F.coalesce(docs[text_col].cast("string"), F.lit("")).alias("text"), *(docs[c].cast("string").alias(c) for c in categories))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches):
             values = [batch.column(c).to_pylist() for c in categories]
             given = [dict(zip(categories, v, strict=True)) for v in zip(*values, strict=True)] if categories else [{}] * batch.num_rows
             score = model.score(batch.column("text").to_pylist(), given)

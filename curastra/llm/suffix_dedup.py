@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import id_of, materialize, order_key, release, sliding_min, text_buffer, tidy
+from .common import id_of, materialize, order_key, release, slices, sliding_min, text_buffer, tidy
 
 #: Bytes of a trigger window; five doublings of the rolling hash.
 TRIGGER = 32
@@ -155,7 +155,7 @@ def _tagged(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
 def _parse(length: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = _byte_table()
-        for batch in batches:
+        for batch in slices(batches):
             raw, start, size = text_buffer(batch.column("text"))
             ord_, tag = _tagged(batch)
             g, e, text, lo, span, off = phrases(raw, start, size, length, table)
@@ -213,7 +213,7 @@ def _strings(length: int):
     """Bytes of the dictionary's phrases: rows (g, ord, meta, phrase)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches):
             raw, start, size = text_buffer(batch.column("text"))
             _, tag = _tagged(batch)
             wants = batch.column("wants")
@@ -358,7 +358,7 @@ def _keyed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
 
 def _cut(length: int, with_text: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches):
             raw, start, size = text_buffer(batch.column("text"))
             _, tag = _tagged(batch)
             runs = batch.column("runs")
