@@ -340,13 +340,15 @@ SELECT w.task_id, z.passed AS success, f.passed AS first_pass_success, z.build_p
 def task_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
     e, v = table(spark, sf_dir, "events"), F.col("value")
     attempts = e.where("event_id % 3 = 0").select(F.col("user_id").alias("task_id"), F.col("event_id").alias("attempt"), (F.col("event_id") % 6).alias("iterations"), (v > 30).alias("passed"), (v > 10).alias("build_pass"), (v > 20).alias("functional_pass"), F.when(F.col("user_id") % 2 == 0, v > 25).alias("visual_pass"))
-    called = e.where("event_id % 3 = 1").select(F.col("user_id").alias("task_id"), F.lit("tool_result").alias("type"), (v > 30).alias("ok"))
+    # the events between attempts are calls and their results; the roll-up itself counts results
+    kind = F.when(F.col("event_id") % 3 == 1, "tool_result").otherwise("tool_call")
+    called = e.where("event_id % 3 <> 0").select(F.col("user_id").alias("task_id"), kind.alias("type"), (v > 30).alias("ok"))
     return metrics.task_rollup(attempts, called).withColumn("visual_pass", F.coalesce(F.col("visual_pass").cast("string"), F.lit("none")))
 
 
 @query("SELECT user_id AS task_id, event_id % 2 AS attempt, string_agg(event_type, ',' ORDER BY event_id) AS tools FROM events WHERE user_id % 10 = 0 GROUP BY ALL")
 def tools_by_attempt(spark: SparkSession, sf_dir: str) -> DataFrame:
-    e = table(spark, sf_dir, "events").where("user_id % 10 = 0")
+    e = table(spark, sf_dir, "events")
     calls = e.select(F.col("user_id").alias("task_id"), (F.col("event_id") % 2).alias("attempt"), F.col("event_id").alias("seq"), F.lit("tool_call").alias("type"), F.col("event_type").alias("tool"))
     return metrics.tools_by_attempt(calls).withColumn("tools", F.array_join("tools", ","))
 

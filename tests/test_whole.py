@@ -11,3 +11,27 @@ def test_numbered_ids_number_every_document(spark, tmp_path):
     got = {r.doc_id: r.unit_id for r in queries.numbered_ids(spark, str(tmp_path)).collect()}
     order = sorted(rows, key=lambda r: (r[1], r[0]))
     assert got == {i: f"scale-{s}-{k:04d}" for k, (i, s) in enumerate(order, 1)}
+
+
+def _events(spark, path, n=240):
+    rows = [(i, i % 12, f"e{i % 5}", float(i % 50)) for i in range(n)]
+    spark.createDataFrame(rows, "event_id long, user_id long, event_type string, value double").write.parquet(f"{path}/events.parquet")
+    return rows
+
+
+def test_tools_of_every_task(spark, tmp_path):
+    rows = _events(spark, tmp_path)
+    got = {(r.task_id, r.attempt): r.tools for r in queries.tools_by_attempt(spark, str(tmp_path)).collect()}
+    want = {}
+    for i, user, kind, _ in rows:
+        want.setdefault((user, i % 2), []).append(kind)
+    assert got == {k: ",".join(v) for k, v in want.items()}
+
+
+def test_every_event_has_a_role_in_the_rollup(spark, tmp_path, monkeypatch):
+    rows, given = _events(spark, tmp_path), []
+    whole = queries.metrics.task_rollup
+    monkeypatch.setattr(queries.metrics, "task_rollup", lambda attempts, events: given.append((attempts.count(), events.count())) or whole(attempts, events))
+    out = queries.task_rollup(spark, str(tmp_path)).agg(F.sum("tool_calls")).first()[0]
+    users = {u for i, u, *_ in rows if i % 3 == 0}
+    assert sum(given[0]) == len(rows) and out == sum(1 for i, u, *_ in rows if i % 3 == 1 and u in users)
