@@ -19,17 +19,26 @@ REPAIR = {
 }
 
 
-def messages_of(turns: DataFrame, conv: str = "conv_id", turn: str = "turn", role: str = "role", text: str = "text", most: int | None = None) -> DataFrame:
-    """(conv, messages) in order of turns; with ``most``, only conversations of up to so many.
+#: Turns whose places may share a row before a conversation is put together.
+BLOCK = 64
 
-    Longer ones are left out before turns are gathered, so that no row becomes huge.
+
+def messages_of(turns: DataFrame, conv: str = "conv_id", turn: str = "turn", role: str = "role", text: str = "text", first: int | None = None) -> DataFrame:
+    """(conv, messages) in order of turns; with ``first``, the first message and those with a
+    role and a content, up to so many.
+
+    Turns are gathered by blocks of their numbers, and blocks by conversation: of a long
+    conversation one task reads a row for each block, with ``first`` a short one.
     """
-    rows = turns
-    if most is not None:
-        short = turns.groupBy(conv).agg(F.count("*").alias("_n")).where(F.col("_n") <= most).select(conv)
-        rows = turns.join(short, conv, "left_semi")
-    gathered = rows.groupBy(conv).agg(F.array_sort(F.collect_list(F.struct(F.col(turn), F.col(role).alias("role"), F.col(text).alias("content")))).alias("m"))
-    return gathered.select(conv, F.transform("m", lambda m: F.struct(m["role"].alias("role"), m["content"].alias("content"))).alias("messages"))
+
+    def gathered(found: Column) -> Column:
+        found = F.array_sort(found)
+        return found if first is None else F.slice(F.filter(found, lambda m, i: (i == 0) | (m["role"].isNotNull() & m["content"].isNotNull())), 1, first)
+
+    message = F.struct(F.col(turn), F.col(role).alias("role"), F.col(text).alias("content"))
+    blocks = turns.groupBy(conv, F.floor(F.col(turn) / BLOCK).alias("_b")).agg(gathered(F.collect_list(message)).alias("m"))
+    whole = blocks.groupBy(conv).agg(gathered(F.flatten(F.collect_list("m"))).alias("m"))
+    return whole.select(conv, F.transform("m", lambda m: F.struct(m["role"].alias("role"), m["content"].alias("content"))).alias("messages"))
 
 
 def is_pair(turns: DataFrame, conv: str = "conv_id") -> DataFrame:

@@ -386,7 +386,7 @@ def chat_validate(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("SELECT conv_id, string_agg('<|im_start|>' || role || chr(10) || text || '<|im_end|>' || chr(10), '' ORDER BY turn, role, text) AS rendered FROM conversations GROUP BY conv_id HAVING count(*) <= 64")
 def chat_render(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return chat.messages_of(table(spark, sf_dir, "conversations"), most=64).select("conv_id", chat.render(F.col("messages")).alias("rendered"))
+    return chat.messages_of(table(spark, sf_dir, "conversations")).select("conv_id", chat.render(F.col("messages")).alias("rendered"))
 
 
 @query("""WITH c AS (SELECT conv_id, string_agg('<|im_start|>' || role || chr(10) || text || '<|im_end|>' || chr(10), '' ORDER BY turn, role, text) AS whole,
@@ -394,7 +394,8 @@ def chat_render(spark: SparkSession, sf_dir: str) -> DataFrame:
 n AS (SELECT conv_id, least(length(whole), 512) AS n, length(prompt) AS p, starts_with(whole, prompt) AS ok FROM c)
 SELECT conv_id, n AS n_ids, greatest(n - p, 0) AS n_labels, CASE WHEN NOT ok THEN 'the prompt is no prefix' WHEN n <= p THEN 'nothing of the response is left' END AS error FROM n""")
 def response_mask(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = chat.messages_of(table(spark, sf_dir, "conversations"), most=64)
+    # a rendered message has 24 characters at least, so 22 of them decide the first 512; one more may be empty
+    rows = chat.messages_of(table(spark, sf_dir, "conversations"), first=23)
     prompt = chat.code_points(chat.render(F.slice("messages", 1, 1), opened=True))
     m = chat.masked(prompt, chat.code_points(chat.render(F.col("messages"))), 512)
     rows = rows.select("conv_id", m.alias("m"))

@@ -35,3 +35,18 @@ def test_every_event_has_a_role_in_the_rollup(spark, tmp_path, monkeypatch):
     out = queries.task_rollup(spark, str(tmp_path)).agg(F.sum("tool_calls")).first()[0]
     users = {u for i, u, *_ in rows if i % 3 == 0}
     assert sum(given[0]) == len(rows) and out == sum(1 for i, u, *_ in rows if i % 3 == 1 and u in users)
+
+
+def test_long_conversations_are_rendered_and_masked(spark, tmp_path):
+    rows = [(1, t, "user" if t % 2 == 0 else "assistant", "" if t % 3 else f"t{t}") for t in range(200)] + [(2, 0, "user", "q"), (2, 1, "assistant", "a")]
+    rows += [(3, t, "user" if t % 2 == 0 else "assistant", "x" * 700) for t in range(80)] + [(4, t, "", None if t % 2 else "y") for t in range(90)]
+    spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").repartition(5).write.parquet(f"{tmp_path}/conversations.parquet")
+    show = lambda r, t: f"<|im_start|>{r}\n{t}<|im_end|>\n"
+    whole = {c: "".join(show(r, t) for k, _, r, t in rows if k == c and t is not None) for c in (1, 2, 3, 4)}
+    prompt = {c: next(show(r, t) for k, _, r, t in rows if k == c) + "<|im_start|>assistant\n" for c in (1, 2, 3, 4)}
+    assert {r.conv_id: r.rendered for r in queries.chat_render(spark, str(tmp_path)).collect()} == whole
+    got = {r.conv_id: (r.n_ids, r.n_labels, r.error) for r in queries.response_mask(spark, str(tmp_path)).collect()}
+    for c, text in whole.items():
+        n, p = min(len(text), 512), len(prompt[c])
+        error = "the prompt is no prefix" if not text.startswith(prompt[c]) else "nothing of the response is left" if n <= p else None
+        assert got[c] == (n, max(n - p, 0), error), c
