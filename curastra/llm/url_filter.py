@@ -1,20 +1,22 @@
 """URL filter: explicit rules, then path templates judged by labelled purity.
 
-Each host has a tree of path segments. Level by level, segments that few of a node's pages
-share become wildcards; of the segments left, those whose pages look like those of the
+Each host has a tree of path segments. Level by level, down to the last segment of the longest
+path, segments that few pages share become wildcards; of the segments left, those whose pages look like those of the
 node's largest branch (what follows, how many are labelled, how many of these blocked) are merged
 with it. A path's template is its generalised segments. The urls that rules decide are the
 labelled ones; a template is rejected if the smoothed share of blocked urls among its
 labelled ones is high enough.
 
-Pages are first counted by host and path. Every grouping has map-side partial aggregates
-and a node has a bounded number of kept branches, so a host with a third of all pages is
-spread over tasks like any other; joins by node have a unique right side.
+Pages are first counted by host and path. Every grouping has map-side partial aggregates,
+a node keeps only branches with enough pages of their own, and joins by node have a unique
+right side. Paths whose node has too few pages for any branch are generalised to their end at
+once, so that a level has work only for nodes that can still branch.
 """
 
 from __future__ import annotations
 
 from dataclasses import dataclass
+from itertools import count
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -62,20 +64,22 @@ def _shape(segment: Column) -> Column:
     return F.concat(F.when(stem.rlike(r"^[0-9]+$"), "<n>").otherwise("<*>"), extension)
 
 
-def templates(paths: DataFrame, depth: int, support: int, share: float, alike: float) -> DataFrame:
+def templates(paths: DataFrame, support: int, alike: float) -> DataFrame:
     """(host, path, n, labelled, blocked) with the ``template`` of each path."""
     rows = paths.withColumn("seg", F.filter(F.split("path", "/"), lambda s: s != "")).withColumn("template", F.lit(""))
-    rows = materialize(rows, "paths")
-    for level in range(depth):
+    rows, done = materialize(rows, "paths"), []
+    for level in count():
         here, after = F.get("seg", F.lit(level)), F.get("seg", F.lit(level + 1))
-        if rows.where(here.isNotNull()).isEmpty():
-            break
+        done.append(rows.where(here.isNull()))
+        rows = rows.where(here.isNotNull())
         number = after.rlike(r"^[0-9]+(\.[A-Za-z]{1,5})?$")
         sums = [F.sum(c).alias(c) for c in ("n", "labelled", "blocked")]
         follows = [F.sum(F.when(c, F.col("n")).otherwise(0)).alias(k) for k, c in (("ends", after.isNull()), ("numbers", F.coalesce(number, F.lit(False))))]
-        child = materialize(rows.where(here.isNotNull()).groupBy("host", "template", here.alias("s")).agg(*sums, *follows), "branches")
+        child = materialize(rows.groupBy("host", "template", here.alias("s")).agg(*sums, *follows), "branches")
         node = child.groupBy("host", "template").agg(F.sum("n").alias("total"), F.max_by(F.struct("s", "n", "labelled", "blocked", "ends", "numbers"), F.struct("n", "s")).alias("top"))
-        kept = child.join(node, ["host", "template"]).where((F.col("n") >= support) & (F.col("n") >= share * F.col("total")))
+        if node.where(F.col("total") >= support).isEmpty():  # nor has any node further down
+            break
+        kept = child.where(F.col("n") >= support).join(node, ["host", "template"])
 
         def differs(count: str, of: str) -> Column:  # two shares, more than their standard error allows
             x, y = F.col(count) / F.col(of), F.col(f"top.{count}") / F.col(f"top.{of}")
@@ -89,18 +93,20 @@ def templates(paths: DataFrame, depth: int, support: int, share: float, alike: f
         named = kept.select("host", "template", F.col("s").alias("now"), name.alias("name"))
         joined = rows.withColumn("now", here).join(named, ["host", "template", "now"], "left")
         part = F.concat(F.lit("/"), F.coalesce("name", _shape(F.col("now"))))
-        rows = materialize(joined.select("host", "path", "n", "labelled", "blocked", "seg", F.when(F.col("now").isNull(), F.col("template")).otherwise(F.concat("template", part)).alias("template")), "paths")
-    deeper = F.when(F.size("seg") > depth, "/**").otherwise("")
-    return rows.select("host", "path", "n", "labelled", "blocked", F.concat("template", deeper).alias("template"))
+        rows = materialize(joined.select("host", "path", "n", "labelled", "blocked", "seg", F.concat("template", part).alias("template")), "paths")
+    rest = F.array_join(F.transform(F.slice("seg", level + 1, F.greatest(F.size("seg"), F.lit(1))), lambda s: F.concat(F.lit("/"), _shape(s))), "")
+    found = rows.withColumn("template", F.concat("template", rest))
+    for d in done:
+        found = found.unionByName(d)
+    return found.drop("seg")
 
 
-def filter_urls(pages: DataFrame, rules: list[Rule], id_col: str = "page_id", url_col: str = "url", depth: int = 6, support: int = 5, share: float = 0.05, alike: float = 0.1, weight: float = 4.0, reject: float = 0.8) -> DataFrame:
+def filter_urls(pages: DataFrame, rules: list[Rule], id_col: str = "page_id", url_col: str = "url", support: int = 5, alike: float = 0.1, weight: float = 4.0, reject: float = 0.8) -> DataFrame:
     """Verdict on every url: the longest fitting rule's, else its template's.
 
     A template is blocked if (blocked + weight / 2) / (labelled + weight) >= ``reject``, over
     the urls with its host and template that rules decide; others are allowed. A segment is
-    kept if at least ``support`` pages and ``share`` of its node's pages have it. Segments
-    beyond ``depth`` are one wildcard.
+    kept if at least ``support`` pages have it, however many pages and branches its node has.
 
     Returns id, ``host``, ``path``, ``rule`` (its host and path, or null), ``verdict`` and
     ``template``, a row for each input row. A null url or one without ``://`` has an empty
@@ -118,7 +124,7 @@ def filter_urls(pages: DataFrame, rules: list[Rule], id_col: str = "page_id", ur
     rows = materialize(rows.withColumn("by", none if chosen is None else chosen), "urls")
     labelled, blocked = F.col("by").isNotNull().cast("long"), F.coalesce((F.col("by.verdict") == "block").cast("long"), F.lit(0))
     counted = rows.groupBy("host", "path").agg(F.count("*").alias("n"), F.sum(labelled).alias("labelled"), F.sum(blocked).alias("blocked"))
-    tree = templates(counted, depth, support, share, alike)
+    tree = templates(counted, support, alike)
     tree = materialize(tree, "templates")
     purity = (F.sum("blocked") + weight / 2) / (F.sum("labelled") + weight)
     judged = tree.groupBy("host", "template").agg(F.when(purity >= reject, "block").otherwise("allow").alias("judged"))
