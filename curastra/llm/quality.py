@@ -6,16 +6,17 @@ In every round each view labels the unlabelled documents it is most sure of, as
 bad ones in the labelled share, and hands them to the other view as training rows. At the
 end both are calibrated (Platt) on held-out labelled rows and combined into one score.
 
-Training happens on the driver, on a bounded number of labelled rows and unlabelled ones
-(``Settings``); they are those with the smallest hash of the id, whatever the table's order.
-Scoring runs over all documents in one pass without a shuffle.
+The models are fitted on the driver, on a bounded number of labelled rows (``Settings``; those
+with the smallest hash of the id, whatever the table's order) and on the pseudo-labelled ones.
+Each round scores all unlabelled documents in a distributed pass, and only the texts of those
+it picks come to the driver. Scoring runs over all documents in one pass without a shuffle.
 """
 
 from __future__ import annotations
 
 import re
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -24,17 +25,17 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import slices, tidy
+from .common import materialize, slices, tidy
 
 _WORD = re.compile(r"[^\W_]+|[^\w\s]")
 
 
 @dataclass(frozen=True)
 class Settings:
-    """What bounds the training; it doesn't grow with the tables."""
+    """What bounds the driver's work; it doesn't grow with the tables."""
 
-    labelled: int = 3_000  #: labelled documents used for training and calibration
-    pool: int = 2_000  #: unlabelled documents that may get pseudo-labels
+    labelled: int = 5_000  #: labelled documents used for training and calibration
+    pool: int = 2_000  #: pseudo-labels in all; the documents are the surest of the whole table
     words: int = 20_000  #: words of the text view
     rounds: int = 4
     per_round: int = 200  #: pseudo-labels a view gives in a round
@@ -159,71 +160,130 @@ class Model:
         return np.column_stack([_sigmoid(margin), _sigmoid(self.combine.margin(margin))])
 
 
-def co_train(labelled: pd.DataFrame, pool: pd.DataFrame, categories: list[str], settings: Settings) -> Model:
-    """Train on rows with ``text``, the category columns and (labelled ones) ``y`` in 0, 1."""
-    both = pd.concat([labelled, pool], ignore_index=True)
-    found = [_WORD.findall(t) for t in both["text"]]
-    bags, totals = [Counter(f) for f in found], [len(f) for f in found]
-    levels = {c: [v for v, _ in Counter(both[c].dropna()).most_common(50)] for c in categories}
-    kinds = np.array([[float(r[c] == v) for c, values in levels.items() for v in values] for r in both[categories].to_dict("records")]).reshape(len(both), -1)
-    meta = np.hstack([np.array([layout(t, b, n) for t, b, n in zip(both["text"], bags, totals, strict=True)]), kinds])
+def _kinds(row: dict, levels: dict[str, list[str]]) -> list[float]:
+    return [float(row.get(c) == v) for c, values in levels.items() for v in values]
 
-    n = len(labelled)
-    y = np.full(len(both), -1.0)
-    y[:n] = labelled["y"]
+
+#: From (round, text view, its regression, the metadata's one, picks a view makes of each label): the picked rows by the
+#: view that takes them over, with ``text``, the category columns and ``y``.
+Propose = Callable[[int, TextView, Logistic, Logistic, dict[float, int]], dict[str, pd.DataFrame]]
+
+
+def co_train(labelled: pd.DataFrame, levels: dict[str, list[str]], settings: Settings, propose: Propose) -> Model:
+    """Train on rows with ``text``, the category columns and ``y`` in 0, 1, and on what ``propose`` finds."""
+    bags, totals, meta, shared = [], [], [], {}
+
+    def add(rows: pd.DataFrame) -> range:
+        for r in rows.to_dict("records"):
+            found = [shared.setdefault(w, w) for w in _WORD.findall(r["text"])]
+            bags.append(Counter(found))
+            totals.append(len(found))
+            meta.append(layout(r["text"], bags[-1], len(found)) + _kinds(r, levels))
+        return range(len(bags) - len(rows), len(bags))
+
+    add(labelled)
+    n, y = len(labelled), labelled["y"].to_numpy()
     held = np.arange(n) % 10 < round(10 * settings.hold_out)  # the rows come ordered by a hash
-    train = {"text": [*np.flatnonzero(~held)], "meta": [*np.flatnonzero(~held)]}
-    given = {"text": dict.fromkeys(train["text"]), "meta": dict.fromkeys(train["meta"])}
-    for i in np.flatnonzero(~held):
-        given["text"][i] = given["meta"][i] = y[i]
-    share = float(y[:n].mean()) if n else 0.5
-    free = set(range(n, len(both)))
+    given = {view: {i: y[i] for i in np.flatnonzero(~held)} for view in ("text", "meta")}
+    good = max(1, round(settings.per_round * (float(y.mean()) if n else 0.5)))
+    most = {1.0: good, 0.0: max(1, settings.per_round - good)}
     for turn in range(settings.rounds + 1):
         own = list(given["text"])
         values = np.array([given["text"][i] for i in own])
         # a word's odds must not come from the row they are used on: learn from one half, fit on the other
         half = np.arange(len(own)) % 2 == 0
         learn = TextView.learn([bags[own[k]] for k in np.flatnonzero(half)], values[half], settings.words)
-        tf = np.array([learn.features(bags[i], max(totals[i], 1)) for i in range(len(both))])
-        text = fit_logistic(tf[[own[k] for k in np.flatnonzero(~half)]], values[~half])
+        tf = lambda rows: np.array([learn.features(bags[i], max(totals[i], 1)) for i in rows])  # noqa: B023, E731
+        text = fit_logistic(tf([own[k] for k in np.flatnonzero(~half)]), values[~half])
         own_m = list(given["meta"])
-        meta_fit = fit_logistic(meta[own_m], np.array([given["meta"][i] for i in own_m]))
-        if turn == settings.rounds or not free:
+        meta_fit = fit_logistic(np.array([meta[i] for i in own_m]), np.array([given["meta"][i] for i in own_m]))
+        if turn == settings.rounds:
             break
-        rest = np.array(sorted(free))
-        good = max(1, round(settings.per_round * share))
-        for margin, to in ((text.margin(tf[rest]), "meta"), (meta_fit.margin(meta[rest]), "text")):
-            order = np.argsort(margin, kind="stable")
-            for picked, label in ((order[::-1][:good], 1.0), (order[: max(1, settings.per_round - good)], 0.0)):
-                for i in rest[picked]:
-                    if margin[np.searchsorted(rest, i)] * (1 if label else -1) > 0:
-                        given[to][i] = label
-                        free.discard(int(i))
-    margin = np.stack([text.margin(tf[:n][held]), meta_fit.margin(meta[:n][held])], axis=1)
-    combine = fit_logistic(margin, y[:n][held]) if len(set(y[:n][held])) > 1 else Logistic(np.zeros(2), np.ones(2), np.ones(2), 0.0)
+        for to, rows in propose(turn, learn, text, meta_fit, most).items():
+            given[to].update(zip(add(rows), rows["y"], strict=True))
+    last = np.flatnonzero(held)
+    margin = np.stack([text.margin(tf(last)), meta_fit.margin(np.array([meta[i] for i in last]))], axis=1)
+    combine = fit_logistic(margin, y[held]) if len(set(y[held])) > 1 else Logistic(np.zeros(2), np.ones(2), np.ones(2), 0.0)
     return Model(learn, text, meta_fit, levels, combine, settings)
 
 
+def _text_pass(rows: DataFrame, levels: dict[str, list[str]], view: TextView, fit: Logistic, with_meta: bool) -> DataFrame:
+    """(id, h, margin) of every row's text, and the features of its metadata."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches):
+            kinds = zip(*(batch.column(c).to_pylist() for c in levels), strict=True) if levels else [()] * batch.num_rows
+            features, meta = [], []
+            for text, own in zip(batch.column("text").to_pylist(), kinds, strict=True):
+                found = _WORD.findall(text)
+                bag = Counter(found)
+                features.append(view.features(bag, max(len(found), 1)))
+                if with_meta:
+                    meta.append(layout(text, bag, len(found)) + _kinds(dict(zip(levels, own, strict=True)), levels))
+            margin = np.round(fit.margin(np.array(features).reshape(-1, len(fit.mean))), 9)  # alike however rows are batched
+            more = [pa.array(meta, pa.list_(pa.float64()))] if with_meta else []
+            yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("h"), pa.array(margin), *more], names=["id", "h", "margin", "meta"][: 3 + with_meta])
+
+    kind = rows.schema["id"].dataType.simpleString()
+    return rows.mapInArrow(tidy(run), f"id {kind}, h long, margin double" + ", meta array<double>" * with_meta)
+
+
+def _meta_pass(rows: DataFrame, fit: Logistic) -> DataFrame:
+    """(id, h, margin) from the features that ``_text_pass`` kept."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches):
+            x = batch.column("meta").flatten().to_numpy(zero_copy_only=False).reshape(-1, len(fit.mean))
+            yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("h"), pa.array(np.round(fit.margin(x), 9))], names=["id", "h", "margin"])
+
+    return rows.select("id", "h", "meta").mapInArrow(tidy(run), f"id {rows.schema['id'].dataType.simpleString()}, h long, margin double")
+
+
 def train(docs: DataFrame, labels: DataFrame, settings: Settings = Settings(), id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", categories: tuple[str, ...] = ("lang", "source")) -> Model | None:
     """Co-train on the documents that ``labels`` covers; None if it has no usable label.
 
-    Null labels and ids are left out; of several labels for an id the largest counts.
+    Null labels and ids are left out; of several labels for an id the largest counts. All
+    other documents with an id can get pseudo-labels.
     """
     columns = [c for c in categories if c in docs.columns]
     known = labels.select(labels[id_col].alias("id"), labels[label_col].cast("double").alias("y")).where("id is not null and y is not null").groupBy("id").agg(F.max("y").alias("y"))
     rows = docs.select(docs[id_col].alias("id"), F.coalesce(docs[text_col].cast("string"), F.lit("")).alias("text"), *(docs[c].cast("string").alias(c) for c in columns))
     keyed = rows.select("id", F.xxhash64("id").alias("h"))
 
-    def first(ids: DataFrame, count: int) -> DataFrame:  # a bounded sample: the smallest hashes
-        return ids.orderBy("h", "id").limit(count)
+    def texts(ids: DataFrame) -> pd.DataFrame:
+        return rows.join(F.broadcast(ids), "id").toPandas().sort_values(["h", "id", "text"]).drop_duplicates("id").reset_index(drop=True)
 
-    some = first(keyed.join(known, "id"), settings.labelled)
-    labelled = rows.join(F.broadcast(some), "id").toPandas().sort_values(["h", "id", "text"]).drop_duplicates("id").reset_index(drop=True)
+    labelled = texts(keyed.join(known, "id").orderBy("h", "id").limit(settings.labelled))  # a bounded sample: the smallest hashes
     if labelled["y"].nunique() < 2:
         return None
-    others = first(keyed.where("id is not null").join(known.select("id"), "id", "left_anti"), settings.pool)
-    pool = rows.join(F.broadcast(others), "id").toPandas().sort_values(["h", "id", "text"]).drop_duplicates("id").reset_index(drop=True)
-    return co_train(labelled.assign(y=(labelled["y"] > 0).astype(float)), pool, columns, settings)
+    labelled["y"] = (labelled["y"] > 0).astype(float)
+    counted = {c: rows.where(F.col("id").isNotNull() & F.col(c).isNotNull()).groupBy(c).count().orderBy(F.desc("count"), c).limit(50) for c in columns}
+    levels = {c: [r[0] for r in n.collect()] for c, n in counted.items()}
+    known_ids = materialize(known.select("id"), "known")
+    free = rows.where("id is not null").withColumn("h", F.xxhash64("id"))
+    taken: list = []
+    first: list[DataFrame] = []
+
+    def propose(turn: int, view: TextView, text: Logistic, meta: Logistic, most: dict[float, int]) -> dict[str, pd.DataFrame]:
+        scored = materialize(_text_pass(free, levels, view, text, not first), "margins")
+        if not first:
+            first.append(scored)
+        picks = []
+        for to, margins in (("meta", scored.select("id", "h", "margin")), ("text", _meta_pass(first[0], meta))):
+            margins = margins.join(known_ids, "id", "left_anti").where(~F.col("id").isin(taken)) if taken else margins.join(known_ids, "id", "left_anti")
+            ends = margins.groupBy("id", "h").agg(F.max("margin").alias("up"), F.min("margin").alias("down"))
+            for label, order, sure in ((1.0, F.desc("up"), "up > 0"), (0.0, F.asc("down"), "down < 0")):
+                picks += [(r.id, r.h, label, to) for r in ends.where(sure).orderBy(order, "h", "id").limit(most[label]).collect()]
+        picks = picks[: max(settings.pool - len(taken), 0)]
+        if not picks:
+            return {}
+        kind = free.schema["id"].dataType.simpleString()
+        found = texts(docs.sparkSession.createDataFrame(sorted({p[:2] for p in picks}), f"id {kind}, h long"))
+        chosen = pd.DataFrame(picks, columns=["id", "h", "y", "to"]).drop_duplicates(["id", "to"])
+        taken.extend(found["id"].tolist())
+        return {to: found.merge(chosen.loc[chosen["to"] == to, ["id", "y"]], on="id") for to in ("meta", "text")}
+
+    return co_train(labelled, levels, settings, propose)
 
 
 def classify(docs: DataFrame, model: Model | None, text_col: str = "text") -> DataFrame:
