@@ -5,7 +5,9 @@ a template if it has at least ``ceil(threshold * words)`` of its words; then it
 the first ``words - needed + 1``, the template's prefix. Documents without any prefix word
 are skipped; for the others each line is a block, reduced to words of the templates (length
 filter), and a template is only compared if its first shared prefix word leaves enough words
-behind it on either side (positional filter).
+behind it on either side (positional filter). A notice may be wrapped, so every run of as many
+words as a template has is a block for it too, across line ends; only runs around the template's
+prefix words are looked at.
 
 DataFrame functions only, no shuffle of texts: all templates together are a literal of the
 plan, whose size doesn't depend on the corpus. The word order comes from one pass that
@@ -66,7 +68,8 @@ def scan_licenses(docs: DataFrame, phrases: dict[str, str] = PHRASES, templates:
 
     ``n_words``; ``n_base``, ``first_word``, ``last_word`` of the places where a phrase's
     words stand consecutively (words count from 0; null without any); ``base_labels``;
-    ``labels`` (base labels and those of templates that a line contains to ``threshold``);
+    ``labels`` (base labels and those of templates that a line, or as many consecutive words
+    as the template has, contain to ``threshold``);
     ``score``: 1 with a base label, else the best containment at the threshold or above, else
     0. Labels are distinct, sorted and joined by commas. Words are runs of a-z, 0-9 and
     characters from U+0080 on, after A-Z are lower-cased. A null or empty text has no words
@@ -101,6 +104,27 @@ def scan_licenses(docs: DataFrame, phrases: dict[str, str] = PHRASES, templates:
         share = lambda t: F.size(F.array_intersect(block, t["ranks"])) / F.size(t["ranks"])
         return F.transform(F.filter(index, fits), lambda t: F.struct(t["label"].alias("label"), share(t).alias("share")))
 
+    own = F.array(*(F.struct(F.lit(a).alias("label"), F.array(*map(F.lit, sorted(set(templates[a].split())))).alias("words"), F.array(*(F.lit(order[r]) for r in p)).alias("prefix"), F.lit(n).alias("need"), F.lit(len(templates[a].split())).alias("length")) for a, _, n, p in sized))
+
+    def wrapped(words: Column):
+        """Structs (label, share) of the templates in runs of words, whatever lines these are on."""
+        hits = F.filter(F.transform(words, lambda w, i: F.struct(w.alias("w"), i.alias("i"))), lambda h: F.array_contains(F.array(*map(F.lit, first_words)), h["w"]))
+
+        def around(h: Column, t: Column) -> Column:
+            return F.slice(words, F.greatest(h["i"] - t["length"] + 2, F.lit(1)), 2 * t["length"] - 1)
+
+        def most(h: Column, t: Column) -> Column:
+            near = around(h, t)
+            starts = F.sequence(F.lit(1), F.greatest(F.size(near) - t["length"] + 1, F.lit(1)))
+            return F.array_max(F.transform(starts, lambda k: F.size(F.array_intersect(F.slice(near, k, t["length"]), t["words"]))))
+
+        def found(h: Column) -> Column:
+            close = F.filter(own, lambda t: F.array_contains(t["prefix"], h["w"]) & (F.size(F.array_intersect(around(h, t), t["words"])) >= t["need"]))
+            held = F.transform(close, lambda t: F.struct(t["label"].alias("label"), most(h, t).alias("n"), t["need"].alias("need"), F.size(t["words"]).alias("of")))
+            return F.transform(F.filter(held, lambda m: m["n"] >= m["need"]), lambda m: F.struct(m["label"].alias("label"), (m["n"] / m["of"]).alias("share")))
+
+        return F.flatten(F.transform(hits, found))
+
     rows = docs.select(*(docs[c] for c in others), _lowered(docs[text_col]).alias("_low"))
     rows = rows.withColumn("_words", F.split(F.trim(F.regexp_replace("_low", BETWEEN, " ")), " "))
     rows = rows.withColumn("_line", F.concat(F.lit(" "), F.array_join("_words", " "), F.lit(" ")))
@@ -125,7 +149,7 @@ def scan_licenses(docs: DataFrame, phrases: dict[str, str] = PHRASES, templates:
     blocks = F.filter(blocks, lambda b: (F.size(b) >= least) & F.arrays_overlap(b, F.array(*map(F.lit, first_words))))
     ranked = F.transform(blocks, lambda b: F.array_sort(F.transform(b, lambda w: (F.array_position(known, w) - 1).cast("int"))))
     nothing = F.array().cast("array<struct<label:string,share:double>>")
-    matched = F.when(F.arrays_overlap("_words", F.array(*map(F.lit, first_words))), F.flatten(F.transform(ranked, contained))).otherwise(nothing) if sized else nothing
+    matched = F.when(F.arrays_overlap("_words", F.array(*map(F.lit, first_words))), F.concat(F.flatten(F.transform(ranked, contained)), wrapped(F.col("_words")))).otherwise(nothing) if sized else nothing
     rows = rows.select(
         *others,
         F.when(line == "  ", 0).otherwise(F.size("_words")).cast("long").alias("n_words"),

@@ -41,3 +41,16 @@ def test_every_unlabelled_document_can_get_a_pseudo_label(spark, monkeypatch):
     truth = dict(labels)
     verdict = {r.doc_id: r.accepted for r in quality.classify(docs, model).collect()}
     assert sum(verdict[i] == bool(y) for i, y in truth.items()) / len(truth) > 0.95
+
+
+def test_wrapped_notices_are_found(spark):
+    from curastra.llm.license_scan import scan_licenses
+
+    texts = [
+        "x\n * Permission is hereby granted, free of charge, to any person obtaining a copy\n * of this software and associated documentation files (the \"Software\"), to deal\ny",
+        "Redistribution and use in source and binary\nforms, with or without modification, are permitted provided\nthat the following conditions are met:",
+        "Copyright all\nrights here. Reserved",  # no four consecutive words
+        "licensed under the\n\napache license\nversion 2.0",
+    ]
+    got = [(r.labels, r.score) for r in scan_licenses(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).orderBy("doc_id").collect()]
+    assert got == [("mit-grant", 1.0), ("bsd-conditions", 1.0), ("", 0.0), ("apache-2,apache-2-notice", 1.0)]
