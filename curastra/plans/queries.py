@@ -441,8 +441,9 @@ def line_ranges(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _scripts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    script = F.regexp_extract("html", r"(?is)<script[^>]*>(.*?)</script>", 1)
-    return table(spark, sf_dir, "pages").select("page_id", "url", script.alias("text"))
+    """A row for each script of a page; one with a null text for a page without any."""
+    scripts = F.regexp_extract_all("html", F.lit(r"(?is)<script[^>]*>(.*?)</script>"), F.lit(1))
+    return table(spark, sf_dir, "pages").select("page_id", "url", F.explode_outer(scripts).alias("text"))
 
 
 @query()
@@ -521,7 +522,7 @@ def curated_samples(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.lit("c").alias("commit"), F.lit("MIT").alias("license"), F.lit("src/a.ts").alias("source_path"), F.lit("1-9").alias("source_lines"), F.lit("play").alias("symbol"), F.lit("function").alias("kind"),
         F.lit("G1").alias("granularity"), F.lit("function play()").alias("signature"), F.array(F.lit("Card")).alias("provided_symbols"), F.lit(3).cast("long").alias("relevance_score"), sha.alias("target_sha256"), F.col("text").alias("target"),
     )
-    told = F.concat(F.lit("In src/a.ts write play so that it moves every card. "), F.substring("text", 1, 400), F.lit("."))
+    told = F.concat(F.lit("In src/a.ts write play so that it moves every card. "), F.col("text"), F.lit("."))
     scope = F.struct(F.lit("src/a.ts").alias("target_file"), F.lit("play").alias("target_symbol"), F.array(F.lit("moves every card")).alias("expected_behavior"), F.array(F.lit("write play")).alias("constraints"), F.array(F.lit("Card")).alias("required_context"))
     generation = F.struct(F.lit(gates.PIPELINE).alias("pipeline_version"), F.lit(True).alias("response_completed"))
     instructions = units.join(docs.select(F.concat(F.lit("u"), "doc_id").alias("unit_id"), told.alias("instruction")), "unit_id").withColumn("scope", scope).withColumn("generation", generation)

@@ -50,3 +50,20 @@ def test_long_conversations_are_rendered_and_masked(spark, tmp_path):
         n, p = min(len(text), 512), len(prompt[c])
         error = "the prompt is no prefix" if not text.startswith(prompt[c]) else "nothing of the response is left" if n <= p else None
         assert got[c] == (n, max(n - p, 0), error), c
+
+
+def test_every_script_of_a_page(spark, tmp_path):
+    pages = [(1, "u", "<script>function a() { return 1 }</script><p><script>\nfunction b( {\n</script>"), (2, "u", "<p>none"), (3, "u", None)]
+    spark.createDataFrame(pages, "page_id long, url string, html string").write.parquet(f"{tmp_path}/pages.parquet")
+    got = sorted((r.page_id, r.error is not None) for r in queries.delimiter_check(spark, str(tmp_path)).collect())
+    assert got == [(1, False), (1, True), (2, False), (3, False)]
+
+
+def test_instructions_have_the_whole_text(spark, tmp_path, monkeypatch):
+    docs = [(i, "It moves. " * 60 + f"end{i}", "en", "s", 604) for i in range(2)]
+    spark.createDataFrame(docs, "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(0, 1, 0), (1, 1, 0)], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    given, whole = [], queries.curation.finalize
+    monkeypatch.setattr(queries.curation, "finalize", lambda units, told, *a: given.extend(r.instruction for r in told.collect()) or whole(units, told, *a))
+    queries.curated_samples(spark, str(tmp_path))
+    assert sorted(x.endswith(f"end{i}.") for i, x in enumerate(sorted(given))) == [True, True]
