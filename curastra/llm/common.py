@@ -76,11 +76,24 @@ def tidy(run: Callable, memo: str | None = None) -> Callable:
     return wrapped
 
 
-def slices(batches: Iterator[pa.RecordBatch], rows: int = 2_500) -> Iterator[pa.RecordBatch]:
-    """The batches in parts, for work whose arrays are many times its input; nothing is copied."""
+def slices(batches: Iterator[pa.RecordBatch], rows: int = 2_500, size: int = 8_000_000, column: str = "text") -> Iterator[pa.RecordBatch]:
+    """The batches in parts of at most ``rows`` rows and ``size`` bytes of ``column`` (or one row).
+
+    For work whose arrays are many times its input; nothing is copied.
+    """
     for batch in batches:
-        for i in range(0, batch.num_rows, rows):
-            yield batch.slice(i, rows)
+        n = batch.num_rows
+        if column not in batch.schema.names:
+            bounds = [*range(0, n, rows), n]
+        else:
+            total = np.append(0, np.cumsum(text_buffer(batch.column(column))[2]))
+            bounds = [0]
+            while bounds[-1] < n:
+                a = bounds[-1]
+                bounds.append(min(a + rows, n, max(a + 1, int(np.searchsorted(total, total[a] + size, side="right")) - 1)))
+        for a, b in zip(bounds[:-1], bounds[1:], strict=True):
+            if b > a:
+                yield batch.slice(a, b - a)
 
 
 def order_key(col) -> F.Column:

@@ -22,12 +22,13 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 
 from .bpe import byte_letters
-from .common import MEMOS, id_of, order_key, tidy
+from .common import MEMOS, id_of, order_key, slices, tidy
 
 #: Windows that are filled together.
 GROUP = 320
@@ -39,6 +40,8 @@ FINEST = 4
 REMEMBERED = 150_000
 #: Longer ones (in characters) are not remembered.
 LONG = 64
+#: Characters of text whose words are looked up together.
+BLOCK = 4_000_000
 #: The vocabulary's pre-tokens.
 PRETOKEN = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 
@@ -104,15 +107,15 @@ def fine(length: int) -> list[int]:
 class _Memo(dict):
     """A dict that computes what it lacks; when full, it keeps what it had as a second choice."""
 
-    def __init__(self, compute):
-        self.compute, self.before = compute, {}
+    def __init__(self, compute, size: int):
+        self.compute, self.size, self.before = compute, size, {}
 
     def __missing__(self, key: str) -> bytes:
         value = self.before.get(key)
         if value is None:
             value = self.compute(key)
         if len(key) <= LONG:
-            if len(self) >= REMEMBERED:
+            if len(self) >= self.size:
                 self.before = dict(self)
                 self.clear()
             self[key] = value
@@ -123,13 +126,14 @@ class WordTokenizer:
     """Ids of texts, word by word.
 
     The vocabulary's pre-tokenizer drops white space and no pre-token holds any, so the ids
-    of a text are those of its words in order. Words repeat and are remembered. A new word
-    of plain Latin letters, which the normalizer only lower-cases, is cut into pre-tokens,
-    which repeat even more; only new ones are given to the library's model. A word with
-    other characters goes to the library as it is.
+    of a text are those of its words in order. The words of many texts are split and told
+    apart in Arrow; only different ones are looked up, and what is known of them is remembered.
+    A new word of plain Latin letters, which the normalizer only lower-cases, is cut into
+    pre-tokens, which repeat even more; only new ones are given to the library's model. A
+    word with other characters goes to the library as it is.
     """
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, remembered: int = REMEMBERED):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
@@ -140,7 +144,7 @@ class WordTokenizer:
         self.letters = byte_letters()
         self.odd = re.compile("[^!-~\u00a1-\u012f\u0131-\u024f]|<\\|").search
         self.cut = regex.compile(PRETOKEN).findall
-        self.words, self.pieces = _Memo(self._word), _Memo(self._piece)
+        self.words, self.pieces = _Memo(self._word, remembered), _Memo(self._piece, remembered)
 
     def _piece(self, piece: str) -> bytes:
         own = piece if piece.isascii() else "".join(map(self.letters.__getitem__, piece.encode()))
@@ -156,29 +160,58 @@ class WordTokenizer:
             return array("I", self.library.encode(word, add_special_tokens=False).ids).tobytes()
         return b"".join(map(self.pieces.__getitem__, self.cut(word.lower())))
 
+    def encode_all(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """(ids of all texts one after the other, where each text's begin, and the end)."""
+        split = pc.split_pattern(pc.replace_substring_regex(pc.fill_null(texts, ""), "[\n\t\r]", " "), " ")
+        words = split.flatten().dictionary_encode()
+        different = pa.ListArray.from_arrays(pa.array([0, len(words.dictionary)], pa.int32()), words.dictionary)
+        known = list(map(self.words.__getitem__, pc.binary_join(different, " ")[0].as_py().split(" ")))  # faster than word by word
+        size = np.fromiter(map(len, known), dtype=np.int64, count=len(known)) // 4
+        flat = np.frombuffer(b"".join(known), dtype="<u4")
+        at = words.indices.to_numpy()
+        count = size[at]
+        end = np.append(0, np.cumsum(count))
+        place = np.repeat((np.cumsum(size) - size)[at] - end[:-1], count)
+        place += np.arange(len(place))
+        bounds = np.asarray(split.offsets)
+        return flat[place], end[bounds - bounds[0]]
+
     def encode(self, text: str) -> bytes:
         """Packed little-endian unsigned 32-bit ids of a text."""
-        spaced = text.replace("\n", " ").replace("\t", " ").replace("\r", " ")  # much faster than translate
-        return b"".join(map(self.words.__getitem__, spaced.split(" ")))
-
-
-#: Tokenizers of this worker by path; what one task has remembered serves the next.
-_READY: dict[str, WordTokenizer] = {}
+        return self.documents(pa.array([text]))[0]
+
+    def documents(self, texts: pa.Array) -> list[bytes]:
+        """Packed ids of each text; of a very long one the words are looked up in parts."""
+        if len(texts) == 1:
+            text = texts[0].as_py() or ""
+            found, at = [], 0
+            while at < len(text):
+                end = text.find(" ", at + BLOCK)
+                end = len(text) if end < 0 else end
+                found.append(self.encode_all(pa.array([text[at:end]]))[0].tobytes())
+                at = end
+            return [b"".join(found)]
+        ids, bounds = self.encode_all(texts)
+        return [ids[a:b].tobytes() for a, b in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True)]
+
+
+#: Tokenizers of this worker by path and memory; what one task has remembered serves the next.
+_READY: dict[tuple[str, int], WordTokenizer] = {}
 MEMOS["packing"] = _READY.clear
 
 
-def _tokenizer(path: str) -> WordTokenizer:
-    if path not in _READY:
-        _READY[path] = WordTokenizer(path)
-    return _READY[path]
+def _tokenizer(path: str, remembered: int) -> WordTokenizer:
+    if (path, remembered) not in _READY:
+        _READY[path, remembered] = WordTokenizer(path, remembered)
+    return _READY[path, remembered]
 
 
 _NAMES = ["ord", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset", "ids"]
 
 
-def _pack(path: str, capacity: int, end_id: int, with_ids: bool):
+def _pack(path: str, capacity: int, end_id: int, with_ids: bool, remembered: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tokenizer = _tokenizer(path)
+        tokenizer = _tokenizer(path, remembered)
         end = end_id.to_bytes(4, "little")
         sequence = TaskContext.get().partitionId() << 33
         cols: list[list] = [[] for _ in _NAMES]
@@ -209,10 +242,9 @@ def _pack(path: str, capacity: int, end_id: int, with_ids: bool):
             part = data[4 * a : 4 * b]
             return zlib.crc32(part), np.frombuffer(part, dtype="<u4").astype(np.int32) if with_ids else None
 
-        for batch in batches:
-            texts, ids = batch.column("text").to_pylist(), batch.column("ord").to_pylist()
-            for ord_, text in zip(ids, texts, strict=True):
-                data = tokenizer.encode(text or "") + end
+        for batch in slices(batches, size=BLOCK):
+            for ord_, data in zip(batch.column("ord").to_pylist(), tokenizer.documents(batch.column("text")), strict=True):
+                data += end
                 tokens = len(data) // 4
                 at = 0
                 while tokens - at >= capacity:
@@ -239,7 +271,7 @@ def _pack(path: str, capacity: int, end_id: int, with_ids: bool):
     return run
 
 
-def pack(docs: DataFrame, vocabulary: str, capacity: int = 2048, end_id: int = 1, id_col: str = "doc_id", text_col: str = "text", with_ids: bool = True) -> DataFrame:
+def pack(docs: DataFrame, vocabulary: str, capacity: int = 2048, end_id: int = 1, id_col: str = "doc_id", text_col: str = "text", with_ids: bool = True, remembered: int = REMEMBERED) -> DataFrame:
     """Pack all documents into sequences of at most ``capacity`` tokens with little padding.
 
     A document is its text's ids without special tokens, then ``end_id``; a null text is just
@@ -249,8 +281,10 @@ def pack(docs: DataFrame, vocabulary: str, capacity: int = 2048, end_id: int = 1
     unless ``with_ids``). Null ids and repeated rows are packed like any others; an empty
     table gives no row. Sequence ids tell partitions apart, so read the documents from
     files or sort them within partitions: then a repeated task packs them the same way.
+    ``remembered`` words are known to a worker at a time (some 200 bytes each); it changes
+    the time, not the result. Very long texts are encoded in parts, cut at spaces.
     """
     rows = docs.select(order_key(docs[id_col]).alias("ord"), docs[text_col].cast("string").alias("text"))
     kinds = "ord long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, ids array<int>"
-    out = rows.mapInArrow(tidy(_pack(vocabulary, capacity, end_id, with_ids), "packing"), kinds)
+    out = rows.mapInArrow(tidy(_pack(vocabulary, capacity, end_id, with_ids, remembered), "packing"), kinds)
     return out.select(id_of("ord").alias(id_col), "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset", "ids")
