@@ -14,11 +14,16 @@ its last string still needs, so no phrase needs its neighbours).
   bytes are sorted into a suffix array, equal neighbours in which are strings that start
   in several phrases. Together with the parse's order that gives the corpus order.
 
-A trigger decides the shuffle key, so equal strings always meet in a task, and no task
-needs more than the phrases of its own triggers. A trigger with very many different
-phrases (a passage in many contexts) is dealt out anew by the hash of each string.
+All strings that are compared have ``length`` bytes and lie in one phrase with its overlap, so
+the order of suffixes beyond a phrase (a suffix array of the parse) is never asked for: from the
+parse only the order of occurrences is taken.
 
-Cost: one shuffle of 32 bytes for about every 35 bytes of text, one of the text itself.
+A trigger decides the shuffle key, so equal strings always meet in a task. Triggers that have
+a fair share of all rows (a passage in many contexts; found by counting on a sample first) are
+dealt out by phrase instead, then by the hash of each string; so are triggers that turn out
+to have more phrases than a task should sort. Either way finds the same strings.
+
+Cost: one shuffle of 40 bytes for about every 35 bytes of text, one of the text itself.
 """
 
 from __future__ import annotations
@@ -39,11 +44,16 @@ TRIGGER = 32
 PLACE_BITS = 22
 #: Bytes hashed at a time; less than 2 ** PLACE_BITS.
 BLOCK = 1_000_000
-#: Different phrases at one trigger, over which they are dealt out by string; a task sorts
-#: that many phrases at a time, of up to 69 strings of 100 bytes.
+#: Different phrases at one trigger, over which they are dealt out by string: both ways find the
+#: same strings, but a task has to hold all phrases of a trigger for a suffix array.
 CROWDED = 4096
-#: Rows of the parse that are resolved at a time.
-ROWS = 100_000
+#: Rows given out, and strings sorted, at a time.
+ROWS, STRINGS = 100_000, 150_000
+#: Triggers are counted by this many bits of their hash on so many documents; over this share, and
+#: this number, of the rows a bucket's triggers are dealt out by phrase and then by string.
+BUCKET_BITS, SAMPLE, HOT_SHARE, HOT_LEAST = 16, 50_000, 1 / 2000, 64
+#: Crowded triggers that are sent to all tasks (8 bytes each); more are joined.
+FEW = 100_000
 
 _ODD = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F, 0xE7037ED1A0B428DB)]
 _PLACE = np.uint64(2**PLACE_BITS - 1)
@@ -67,26 +77,31 @@ def rolling_hash(data: np.ndarray, table: np.ndarray, width: int = TRIGGER) -> n
     return h
 
 
-# A long holds where a phrase's strings start: lo (31 bits), tag of the text (18), number of
-# starts less one (7), trigger's place after lo (7). Sorting by it sorts by lo.
-def _pack(lo, tag, span, off):
-    return (lo << 32) | (tag << 14) | (span << 7) | off
+# A long holds where a phrase's strings start: lo (31 bits), number of starts less one (8), kind (8).
+# Sorting by it sorts by lo.
+def _pack(lo, span, kind):
+    return (lo << 16) | (span << 8) | kind
 
 
 def _lo(meta):
-    return meta >> 32
+    return meta >> 16
+
 
+def _span(meta):
+    return (meta >> 8) & 0xFF
 
-def _tag(meta):
-    return (meta >> 14) & 0x3FFFF
 
+def _kind(meta):
+    return meta & 0xFF
 
-def _span(meta):
-    return (meta >> 7) & 0x7F
+
+def _mix(x):
+    x = x.view(np.uint64) * _ODD[0]
+    return (x ^ (x >> np.uint64(29))) * _ODD[1]
 
 
 def phrases(raw: np.ndarray, start: np.ndarray, size: np.ndarray, length: int, table: np.ndarray):
-    """Phrases of several texts: (trigger hash, phrase hash, text's index, lo, span, trigger - lo)."""
+    """Phrases of several texts: (trigger hash, phrase hash, text's index, lo, span)."""
     pieces = []  # (text, from, to): what is hashed together stays under BLOCK; long texts overlap
     for i in np.flatnonzero(size >= length).tolist():
         for at in range(0, int(size[i]) - length + 1, BLOCK):
@@ -123,10 +138,10 @@ def phrases(raw: np.ndarray, start: np.ndarray, size: np.ndarray, length: int, t
             for q in (np.minimum(lo + k * TRIGGER, end - TRIGGER), np.maximum(end - (k + 1) * TRIGGER, lo)):
                 e = (e ^ h[q]) * _ODD[2]
                 e ^= e >> np.uint64(30)
-        out.append((h[trig].view(np.int64), e.view(np.int64), own[piece, 0], lo - at[piece] + own[piece, 1], hi - lo, trig - lo))
+        out.append((h[trig].view(np.int64), e.view(np.int64), own[piece, 0], lo - at[piece] + own[piece, 1], hi - lo))
         i = j
     if not out:
-        return tuple(np.zeros(0, dtype=np.int64) for _ in range(6))
+        return tuple(np.zeros(0, dtype=np.int64) for _ in range(5))
     return tuple(np.concatenate(x) for x in zip(*out, strict=True))
 
 
@@ -139,92 +154,139 @@ def _firsts(g, e, ord_, meta):
     return new, later
 
 
-_PARSE = "g long, e long, ord long, meta long, kind int"
-_PARSE_FIELDS = ["g", "e", "ord", "meta", "kind"]
-_SEEK, _REPEAT, _PHRASE, _CROWD = 0, 1, 2, 3
+_PARSE = "g long, e long, ord long, tag long, meta long"
+_PARSE_FIELDS = ["g", "e", "ord", "tag", "meta"]
+_FOUND = "g long, ord long, tag long, meta long, k int"
+#: Kinds of rows: to be resolved; the same at a hot trigger; repeats; a trigger's different phrases; strings to deal out.
+_SEEK, _HOT, _REPEAT, _PHRASE, _CROWD = range(5)
 
 
 def _batch(names, *columns) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([x if isinstance(x, pa.Array) else pa.array(x) for x in columns], names=names)
 
 
-def _tagged(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
-    return batch.column("ord").to_numpy(zero_copy_only=False), batch.column("tag").to_numpy(zero_copy_only=False).astype(np.int64)
+def _longs(batch: pa.RecordBatch, *names: str) -> list[np.ndarray]:
+    return [batch.column(k).to_numpy(zero_copy_only=False) for k in names]
+
+
+def _bucket(g: np.ndarray) -> np.ndarray:
+    return (_mix(g) >> np.uint64(64 - BUCKET_BITS)).astype(np.int64)
+
+
+def _count_triggers(length: int):
+    """How many different phrases of each batch have a trigger of each bucket."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        table, count = _byte_table(), np.zeros(2**BUCKET_BITS, dtype=np.int64)
+        for batch in slices(batches):
+            g, e, *_ = phrases(*text_buffer(batch.column("text")), length, table)
+            _, one = np.unique(_mix(g) ^ e.view(np.uint64), return_index=True)
+            count += np.bincount(_bucket(g[one]), minlength=2**BUCKET_BITS)
+        at = np.flatnonzero(count)
+        yield _batch(["bucket", "n"], at, count[at])
+
+    return run
+
+
+def _hot_buckets(keyed: DataFrame, length: int) -> np.ndarray:
+    """Buckets of triggers with so many rows that one task shouldn't get them.
 
+    Judged on about ``SAMPLE`` documents, chosen by hash. That only decides how rows are dealt to
+    tasks: any choice gives the same result. There are at most 1 / ``HOT_SHARE`` of them.
+    """
+    stride = max(1, keyed.select("ord").count() // SAMPLE)
+    some = keyed.where(F.pmod(F.xxhash64("ord", "tag"), F.lit(stride)) == 0).select("text")
+    counted = some.mapInArrow(tidy(_count_triggers(length)), "bucket long, n long").groupBy("bucket").agg(F.sum("n").alias("n"))
+    counted = counted.toArrow()  # at most 2 ** BUCKET_BITS rows
+    bucket, n = (counted.column(k).to_numpy() for k in ("bucket", "n"))
+    return np.sort(bucket[n > max(HOT_LEAST, n.sum() * HOT_SHARE)])
 
-def _parse(length: int):
+
+def _parse(length: int, hot: np.ndarray):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table = _byte_table()
+        table, is_hot = _byte_table(), np.zeros(2**BUCKET_BITS, dtype=bool)
+        is_hot[hot] = True
         for batch in slices(batches):
             raw, start, size = text_buffer(batch.column("text"))
-            ord_, tag = _tagged(batch)
-            g, e, text, lo, span, off = phrases(raw, start, size, length, table)
-            ord_, meta = ord_[text], _pack(lo, tag[text], span, off)
-            o = np.lexsort((meta, ord_, e, g))
-            g, e, ord_, meta = g[o], e[o], ord_[o], meta[o]
+            ord_, tag = _longs(batch, "ord", "tag")
+            g, e, text, lo, span = phrases(raw, start, size, length, table)
+            crowd = is_hot[_bucket(g)]
+            g = np.where(crowd, (_mix(g) ^ e.view(np.uint64)).view(np.int64), g)  # dealt out by phrase
+            ord_, tag, meta = ord_[text], tag[text], _pack(lo, span, np.where(crowd, _HOT, _SEEK))
+            o = np.lexsort((tag, meta, ord_, e, g))
+            g, e, ord_, tag, meta = g[o], e[o], ord_[o], tag[o], meta[o]
             _, later = _firsts(g, e, ord_, meta)
             # what repeats within the batch is decided here, so few rows of a hot phrase are shuffled
-            kind = np.where(later, _REPEAT, _SEEK).astype(np.int32)
-            g = np.where(later, ord_ * np.int64(0x2545F4914F6CDD1D) + meta, g)
+            meta = np.where(later, (meta & ~0xFF) | _REPEAT, meta)
+            g = np.where(later, _mix(ord_ + meta).view(np.int64), g)
+            e = np.where(later, 0, e)
             for i in range(0, len(g), ROWS):
                 s = slice(i, i + ROWS)
-                yield _batch(_PARSE_FIELDS, g[s], e[s], ord_[s], meta[s], kind[s])
+                yield _batch(_PARSE_FIELDS, g[s], e[s], ord_[s], tag[s], meta[s])
 
     return run
 
 
-def _resolve(crowded: int):
-    """Rows sorted by (g, e, ord, meta): repeats, and first phrases of triggers that have several."""
-
-    def decide(cols, last: bool):
-        g, e, ord_, meta, kind = cols
-        cut = len(g) if last else int(np.searchsorted(g, g[-1], side="left"))
-        rest = [x[cut:] for x in cols]
-        g, e, ord_, meta, kind = (x[:cut] for x in cols)
-        done = kind == _REPEAT
-        seek = np.flatnonzero(~done)
-        out = [(g[done], ord_[done], meta[done], np.full(int(done.sum()), _REPEAT, dtype=np.int32))]
-        g, e, ord_, meta = g[seek], e[seek], ord_[seek], meta[seek]
-        if len(g):
-            new, later = _firsts(g, e, ord_, meta)
-            group = np.cumsum(np.append(True, g[1:] != g[:-1])) - 1
-            several = np.bincount(group[new])[group]
-            kind = np.where(later, _REPEAT, np.where(several > crowded, _CROWD, _PHRASE)).astype(np.int32)
-            keep = later | (several > 1)
-            out.append((g[keep], ord_[keep], meta[keep], kind[keep]))
-        return _batch(["g", "ord", "meta", "kind"], *(np.concatenate(x) for x in zip(*out, strict=True))), rest
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, rows = [], 0
-        for batch in batches:
-            held.append([batch.column(k).to_numpy(zero_copy_only=False) for k in _PARSE_FIELDS])
-            rows += batch.num_rows
-            if rows >= ROWS:
-                done, rest = decide([np.concatenate(x) for x in zip(*held, strict=True)], False)
-                held, rows = [rest], 0  # a trigger's rows stay together
-                yield done
-        if held and sum(len(x[0]) for x in held):
-            yield decide([np.concatenate(x) for x in zip(*held, strict=True)], True)[0]
+def _resolve(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows sorted by (g, e, ord, meta, tag): repeats, and the first of each phrase of triggers that have several.
 
-    return run
+    Rows that share an id may have a phrase at the same place in different texts: all of these
+    are first ones. ``k`` counts a trigger's first ones. Between batches only the first row of the
+    last phrase is held, so it doesn't matter how many rows or phrases a trigger has.
+    """
+    names = ["g", "ord", "tag", "meta", "k"]
+    held, held_k, told = None, 0, False  # the last phrase's first row, the last count, whether the row was given out
+    for batch in batches:
+        cols = _longs(batch, *_PARSE_FIELDS)
+        done = _kind(cols[4]) == _REPEAT
+        if done.any():
+            n = int(done.sum())
+            yield _batch(names, np.zeros(n, dtype=np.int64), *(x[done] for x in cols[2:]), np.zeros(n, dtype=np.int32))
+            cols = [x[~done] for x in cols]
+        if not len(cols[0]):
+            continue
+        if held is not None:
+            cols = [np.concatenate([a, b]) for a, b in zip(held, cols, strict=True)]
+        g, e, ord_, tag, meta = cols
+        new, later = _firsts(g, e, ord_, meta)
+        again = np.append(False, ~new[1:] & (ord_[1:] == ord_[:-1]) & (meta[1:] == meta[:-1]) & (tag[1:] == tag[:-1]))
+        first = np.flatnonzero(~later & ~again)
+        own = g[first]
+        fresh = np.append(True, own[1:] != own[:-1])
+        k = np.arange(len(first)) - np.maximum.accumulate(np.where(fresh, np.arange(len(first)), 0))
+        if held is not None:
+            k[np.cumsum(fresh) == 1] += held_k
+        hot = _kind(meta[first]) == _HOT
+        wanted = (k > 0) | hot | np.append(own[1:] == own[:-1], False)
+        give = wanted.copy()
+        if told:
+            give[0], wanted[0] = False, True
+        at = first[give]
+        out_meta = np.append((meta[later] & ~0xFF) | _REPEAT, (meta[at] & ~0xFF) | np.where(hot[give], _CROWD, _PHRASE))
+        zero = np.zeros(int(later.sum()), dtype=np.int64)
+        if len(out_meta):
+            yield _batch(names, np.append(zero, g[at]), np.append(ord_[later], ord_[at]), np.append(tag[later], tag[at]), out_meta, np.append(zero, np.minimum(k[give], 2**30)).astype(np.int32))
+        head = int(np.flatnonzero(new)[-1])
+        held, held_k, told = [x[head : head + 1] for x in cols], int(k[-1]), bool(wanted[np.searchsorted(first, head)])
 
 
 def _strings(length: int):
-    """Bytes of the dictionary's phrases: rows (g, ord, meta, phrase)."""
+    """Bytes of the dictionary's phrases: rows (g, ord, tag, meta, phrase)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches):
-            raw, start, size = text_buffer(batch.column("text"))
-            _, tag = _tagged(batch)
+            raw, start, _ = text_buffer(batch.column("text"))
+            ord_, tag = _longs(batch, "ord", "tag")
             wants = batch.column("wants")
-            g, ord_, meta, found = [], [], [], []
-            for i in np.flatnonzero(np.asarray(wants.is_valid())).tolist():
-                for w in wants[i].as_py():
-                    if _tag(w["meta"]) == tag[i]:
-                        lo = _lo(w["meta"])
-                        g.append(w["g"]), ord_.append(w["ord"]), meta.append(w["meta"])
-                        found.append(raw[start[i] + lo : start[i] + lo + _span(w["meta"]) + length].tobytes())
-            yield _batch(["g", "ord", "meta", "phrase"], pa.array(g, pa.int64()), pa.array(ord_, pa.int64()), pa.array(meta, pa.int64()), pa.array(found, pa.binary()))
+            bounds = np.asarray(wants.offsets)
+            n = np.diff(bounds)
+            g, meta = (wants.values.field(k).to_numpy(zero_copy_only=False)[bounds[0] : bounds[-1]] for k in ("g", "meta"))
+            row = np.repeat(np.arange(len(n)), n)
+            at = start[row] + _lo(meta)
+            for i in range(0, len(row), ROWS):
+                s = slice(i, i + ROWS)
+                found = [raw[a:b].tobytes() for a, b in zip(at[s].tolist(), (at[s] + _span(meta[s]) + length).tolist(), strict=True)]
+                yield _batch(["g", "ord", "tag", "meta", "phrase"], g[s], ord_[row[s]], tag[row[s]], meta[s], pa.array(found, pa.binary()))
 
     return run
 
@@ -249,7 +311,7 @@ def _runs(row, at, meta):
     new[1:] = (row[1:] != row[:-1]) | (at[1:] != at[:-1] + 1)
     s = np.flatnonzero(new)
     n = np.append(s[1:], len(row)) - s
-    return row[s], _pack(_lo(meta[row[s]]) + at[s], _tag(meta[row[s]]), n - 1, 0)
+    return row[s], _pack(_lo(meta[row[s]]) + at[s], n - 1, _REPEAT)
 
 
 def _suffix_array(length: int):
@@ -258,14 +320,13 @@ def _suffix_array(length: int):
     def decide(table: pa.Table):
         table = table.combine_chunks()
         column = table.column("phrase").chunk(0)
-        ord_, meta = (table.column(k).to_numpy() for k in ("ord", "meta"))
+        ord_, tag, meta = (table.column(k).to_numpy() for k in ("ord", "tag", "meta"))
         row, at, strings = _windows(column, meta, length)
         # the dictionary's suffix array: its suffixes in order, to the depth that counts
-        suffixes = strings.view(f"S{length}").ravel()
-        order = np.argsort(suffixes, kind="stable")
-        sorted_ = strings[order]
+        order = np.argsort(strings.view(f"S{length}").ravel(), kind="stable")
+        strings = strings[order]
         new = np.ones(len(order), dtype=bool)
-        new[1:] = (sorted_[1:] != sorted_[:-1]).any(axis=1)
+        new[1:] = (strings[1:] != strings[:-1]).any(axis=1)
         rank = np.cumsum(new) - 1
         # the parse's order within equal suffixes
         o_ord, o_at = ord_[row[order]], (_lo(meta[row]) + at)[order]
@@ -275,20 +336,23 @@ def _suffix_array(length: int):
         later = (o_ord[by] != f_ord) | (o_at[by] != f_at)
         hit = order[by[later]]
         row, runs = _runs(row[hit], at[hit], meta)
-        return _batch(["ord", "meta"], ord_[row], runs)
+        return _batch(["ord", "tag", "meta"], ord_[row], tag[row], runs)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = None
-        for batch in batches:
-            table = pa.Table.from_batches([batch])
-            held = table if held is None else pa.concat_tables([held, table])
-            g = held.column("g").to_numpy()
-            cut = int(np.searchsorted(g, g[-1], side="left")) if len(g) else 0
-            if cut >= CROWDED:
-                yield decide(held.slice(0, cut))
-                held = held.slice(cut)
-        if held is not None and held.num_rows:
-            yield decide(held)
+        held, strings = [], 0
+        for batch in slices(batches, rows=1_000, column="phrase"):
+            held.append(batch)
+            strings += int((_span(batch.column("meta").to_numpy()) + 1).sum())
+            if strings >= STRINGS:
+                table = pa.Table.from_batches(held)
+                g = table.column("g").to_numpy()
+                cut = int(np.searchsorted(g, g[-1], side="left"))  # a trigger's phrases stay together; there are at most CROWDED
+                if cut:
+                    yield decide(table.slice(0, cut))
+                held = table.slice(cut).combine_chunks().to_batches()
+                strings = sum(int((_span(b.column("meta").to_numpy()) + 1).sum()) for b in held)
+        if held:
+            yield decide(pa.Table.from_batches(held))
 
     return run
 
@@ -298,14 +362,12 @@ def _by_string(length: int):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         odd = np.random.default_rng(7).integers(1, 2**63, (2, length), dtype=np.uint64) | np.uint64(1)
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            ord_, meta = (batch.column(k).to_numpy(zero_copy_only=False) for k in ("ord", "meta"))
+        for batch in slices(batches, rows=1_000, column="phrase"):
+            ord_, tag, meta = _longs(batch, "ord", "tag", "meta")
             row, at, strings = _windows(batch.column("phrase"), meta, length)
-            g, e = ([], [])
-            for i in range(0, len(row), 50_000):
-                part = strings[i : i + 50_000].astype(np.uint64) + np.uint64(1)
+            g, e = [], []
+            for i in range(0, len(row), 10_000):
+                part = strings[i : i + 10_000].astype(np.uint64) + np.uint64(1)
                 for keep, m in ((g, odd[0]), (e, odd[1])):
                     x = part * m
                     x ^= x >> np.uint64(29)
@@ -313,62 +375,63 @@ def _by_string(length: int):
                     x ^= x >> np.uint64(32)
                     keep.append((x * _ODD[4]).view(np.int64))
             g, e = np.concatenate(g), np.concatenate(e)
-            o_ord, o_meta = ord_[row], _pack(_lo(meta[row]) + at, _tag(meta[row]), 0, 0)
-            o = np.lexsort((o_meta, o_ord, e, g))
-            g, e, o_ord, o_meta = g[o], e[o], o_ord[o], o_meta[o]
+            o_ord, o_tag, o_meta = ord_[row], tag[row], _pack(_lo(meta[row]) + at, 0, _SEEK)
+            o = np.lexsort((o_tag, o_meta, o_ord, e, g))
+            g, e, o_ord, o_tag, o_meta = g[o], e[o], o_ord[o], o_tag[o], o_meta[o]
             _, later = _firsts(g, e, o_ord, o_meta)
             seek = ~later
-            yield _batch(_PARSE_FIELDS, g[seek], e[seek], o_ord[seek], o_meta[seek], np.full(int(seek.sum()), _SEEK, dtype=np.int32))
+            yield _batch(_PARSE_FIELDS, g[seek], e[seek], o_ord[seek], o_tag[seek], o_meta[seek])
             # strings that repeat within the batch are known to; neighbours go as one row
             phrase, runs = _runs(row[o[later]], at[o[later]], meta)
             own = ord_[phrase]
-            yield _batch(_PARSE_FIELDS, own * np.int64(0x2545F4914F6CDD1D) + runs, runs, own, runs, np.full(len(runs), _REPEAT, dtype=np.int32))
+            yield _batch(_PARSE_FIELDS, _mix(own + runs).view(np.int64), np.zeros(len(own), dtype=np.int64), own, tag[phrase], runs)
 
     return run
 
 
 def repeats(docs: DataFrame, length: int = 100, id_col: str = "doc_id", text_col: str = "text", crowded: int = CROWDED) -> DataFrame:
-    """Runs of string starts that also start earlier: rows (ord, meta), see ``_pack``."""
+    """Runs of string starts that also start earlier: rows (ord, tag, meta), see ``_pack``."""
     keyed = _keyed(docs, id_col, text_col)
-    parse = keyed.select("ord", "tag", "text").mapInArrow(tidy(_parse(length)), _PARSE)
-    sorted_ = parse.repartition("g").sortWithinPartitions("g", "e", "ord", "meta")
-    found = materialize(sorted_.mapInArrow(tidy(_resolve(crowded)), "g long, ord long, meta long, kind int"), "parse")
+    parse = keyed.mapInArrow(tidy(_parse(length, _hot_buckets(keyed, length))), _PARSE)
+    sorted_ = parse.repartition("g").sortWithinPartitions("g", "e", "ord", "meta", "tag")
+    found = materialize(sorted_.mapInArrow(tidy(_resolve), _FOUND), "parse")
     release(docs.sparkSession)
-    whole = found.where(F.col("kind") == _REPEAT).select("ord", "meta")
+    kind = F.col("meta").bitwiseAND(F.lit(0xFF))
+    whole = found.where(kind == _REPEAT).select("ord", "tag", "meta")
 
-    wants = found.where(F.col("kind") >= _PHRASE).groupBy("ord").agg(F.collect_list(F.struct(F.col("g"), F.col("ord"), F.col("meta"))).alias("wants"), F.max("kind").alias("kind"))
-    with_text = keyed.select("ord", "text").join(wants.select("ord", "wants"), "ord").withColumn("tag", _tag_of("text"))
-    dictionary = materialize(with_text.mapInArrow(tidy(_strings(length)), "g long, ord long, meta long, phrase binary"), "dictionary")
+    wants = found.where(kind > _REPEAT).groupBy("ord", "tag").agg(F.collect_list(F.struct("g", "meta")).alias("wants"))
+    dictionary = materialize(keyed.join(wants, ["ord", "tag"]).mapInArrow(tidy(_strings(length)), "g long, ord long, tag long, meta long, phrase binary"), "dictionary")
     release(docs.sparkSession)
-    hot = found.where(F.col("kind") == _CROWD).select("g").distinct()
-    plain = dictionary.join(hot, "g", "left_anti").repartition("g").sortWithinPartitions("g").mapInArrow(tidy(_suffix_array(length)), "ord long, meta long")
-    crowd = dictionary.join(hot, "g", "left_semi").select("ord", "meta", "phrase").mapInArrow(tidy(_by_string(length)), _PARSE)
-    crowd = crowd.repartition("g").sortWithinPartitions("g", "e", "ord", "meta").mapInArrow(tidy(_resolve(crowded)), "g long, ord long, meta long, kind int")
-    return whole.unionByName(plain).unionByName(crowd.where(F.col("kind") == _REPEAT).select("ord", "meta"))
-
-
-def _tag_of(text_col: str) -> F.Column:
-    """Tells apart texts of rows that share an id."""
-    return F.coalesce(F.xxhash64(text_col), F.lit(0)).bitwiseAND(F.lit(0x3FFFF)).cast("long")
+    plain, crowd = dictionary.where(kind == _PHRASE), dictionary.where(kind == _CROWD)
+    many = found.where((kind == _PHRASE) & (F.col("k") >= crowded)).select("g").distinct()
+    n = many.limit(FEW + 1).count()
+    if n:
+        many = F.broadcast(many) if n <= FEW else many
+        crowd = crowd.unionByName(plain.join(many, "g", "left_semi"))
+        plain = plain.join(many, "g", "left_anti")
+    out = whole.unionByName(plain.repartition("g").sortWithinPartitions("g").mapInArrow(tidy(_suffix_array(length)), "ord long, tag long, meta long"))
+    strings = crowd.select("ord", "tag", "meta", "phrase").mapInArrow(tidy(_by_string(length)), _PARSE)
+    dealt = strings.repartition("g").sortWithinPartitions("g", "e", "ord", "meta", "tag").mapInArrow(tidy(_resolve), _FOUND)
+    return out.unionByName(dealt.where(kind == _REPEAT).select("ord", "tag", "meta"))
 
 
 def _keyed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    return docs.select(order_key(docs[id_col]).alias("ord"), docs[text_col].cast("string").alias("text")).withColumn("tag", _tag_of("text"))
+    """(ord, tag, text): ``tag`` tells apart texts of rows that share an id."""
+    rows = docs.select(order_key(docs[id_col]).alias("ord"), F.coalesce(docs[text_col].cast("string"), F.lit("")).alias("text"))
+    return rows.select("ord", F.xxhash64("text").alias("tag"), "text")
 
 
 def _cut(length: int, with_text: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches):
             raw, start, size = text_buffer(batch.column("text"))
-            _, tag = _tagged(batch)
             runs = batch.column("runs")
             flat, bounds = runs.values.to_numpy(zero_copy_only=False), np.asarray(runs.offsets)
             has = np.asarray(runs.is_valid())
             removed, spans, digest, kept = [], [], [], []
             for i in range(batch.num_rows):
                 data = raw[start[i] : start[i] + size[i]]
-                meta = flat[bounds[i] : bounds[i + 1]] if has[i] else flat[:0]
-                meta = np.unique(meta[_tag(meta) == tag[i]])
+                meta = np.unique(flat[bounds[i] : bounds[i + 1]]) if has[i] else flat[:0]
                 if len(meta):
                     lo, end = _lo(meta), np.maximum.accumulate(_lo(meta) + _span(meta) + length)
                     new = np.append(True, lo[1:] > end[:-1])
@@ -397,16 +460,17 @@ def dedup_passages(docs: DataFrame, length: int = 100, id_col: str = "doc_id", t
     Rows that share an id and a start count as one place, so of wholly repeated rows none
     removes the other. Texts shorter than ``length`` lose nothing; an empty table gives one.
 
-    Returns the input's other columns (but the text) and ``n_bytes``, ``n_removed``,
+    Texts of any length are parsed in blocks. Returns the input's other columns (but the text) and ``n_bytes``, ``n_removed``,
     ``n_spans`` (maximal removed runs), ``kept_sha256`` of the remaining bytes and ``kept``,
     the remaining text, in which characters that a cut has split are left out (null unless
     ``keep_text``). Input columns with those names are replaced.
     """
     names = ["n_bytes", "n_removed", "n_spans", "kept_sha256", "kept"]
     others = [c for c in docs.columns if c not in (id_col, text_col, *names)]
-    runs = repeats(docs, length, id_col, text_col, crowded).groupBy("ord").agg(F.collect_list("meta").alias("runs"))
-    rows = docs.select(order_key(docs[id_col]).alias("ord"), docs[text_col].cast("string").alias("text"), F.struct(*(docs[c] for c in others), F.lit(0).alias("_")).alias("rest"))
-    joined = rows.join(runs, "ord", "left").withColumn("tag", _tag_of("text"))
+    runs = repeats(docs, length, id_col, text_col, crowded).groupBy("ord", "tag").agg(F.collect_list("meta").alias("runs"))
+    text = F.coalesce(docs[text_col].cast("string"), F.lit(""))
+    rows = docs.select(order_key(docs[id_col]).alias("ord"), F.xxhash64(text).alias("tag"), text.alias("text"), F.struct(*(docs[c] for c in others), F.lit(0).alias("_")).alias("rest"))
+    joined = rows.join(runs, ["ord", "tag"], "left").select("ord", "rest", "text", "runs")
     rest = joined.schema["rest"].dataType.simpleString()
     cut = joined.mapInArrow(tidy(_cut(length, keep_text)), f"ord long, rest {rest}, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept string")
     return cut.select(id_of("ord").alias(id_col), *(F.col("rest")[c].alias(c) for c in others), *names)
