@@ -8,24 +8,25 @@ end both are calibrated (Platt) on held-out labelled rows and combined into one
 
 The models are fitted on the driver, on a bounded number of labelled rows (``Settings``; those
 with the smallest hash of the id, whatever the table's order) and on the pseudo-labelled ones.
-Each round scores all unlabelled documents in a distributed pass, and only the texts of those
-it picks come to the driver. Scoring runs over all documents in one pass without a shuffle.
+The unlabelled documents' words (as hashes) and layouts are taken once and stored; each round
+scores all of these rows in a distributed pass, and only the words and layouts of those it picks
+come to the driver. Scoring runs over all documents in one pass without a shuffle.
 """
 
 from __future__ import annotations
 
 import re
+import zlib
 from collections import Counter
 from collections.abc import Callable, Iterator
-from dataclasses import dataclass, field
+from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize, slices, tidy
+from .common import materialize, slices, text_buffer, tidy
 
 _WORD = re.compile(r"[^\W_]+|[^\w\s]")
 
@@ -36,7 +37,8 @@ class Settings:
 
     labelled: int = 5_000  #: labelled documents used for training and calibration
     pool: int = 2_000  #: pseudo-labels in all; the documents are the surest of the whole table
-    words: int = 20_000  #: words of the text view
+    words: int = 20_000  #: words of the text view, the most frequent of the training rows
+    levels: int = 50  #: values of a category column that get a feature, the most frequent; others have none
     rounds: int = 4
     per_round: int = 200  #: pseudo-labels a view gives in a round
     hold_out: float = 0.3  #: share of the labelled rows kept for calibration
@@ -107,28 +109,63 @@ def layout(text: str, words: Counter, total: int) -> list[float]:
     ]
 
 
+def _cut_words(text: str) -> tuple[Counter, int]:
+    found = _WORD.findall(text)
+    return Counter(found), len(found)
+
+
+def hashed(bag: Counter) -> np.ndarray:
+    """Two rows: the hash of each word, and its count."""
+    out = np.empty((2, len(bag)), dtype=np.uint32)
+    out[0] = [zlib.crc32(w.encode()) for w in bag]
+    out[1] = list(bag.values())
+    return out
+
+
 @dataclass
 class TextView:
     """Log-odds of words, and sums of them as features of a logistic regression."""
 
-    odds: dict[str, float] = field(default_factory=dict)
+    word: np.ndarray  #: hashes, sorted
+    odds: np.ndarray
 
     @staticmethod
-    def learn(bags: list[Counter], y: np.ndarray, size: int) -> TextView:
-        good, bad = Counter(), Counter()
-        for bag, label in zip(bags, y, strict=True):
-            (good if label > 0 else bad).update(bag.keys())
+    def learn(bags: list[np.ndarray], y: np.ndarray, size: int) -> TextView:
+        word, at = np.unique(np.concatenate([b[0] for b in bags] or [np.zeros(0, np.uint32)]), return_inverse=True)
+        label = np.repeat(np.asarray(y) > 0, [b.shape[1] for b in bags])
+        good, bad = (np.bincount(at[own], minlength=len(word)) for own in (label, ~label))
         n_good, n_bad = max(int((y > 0).sum()), 1), max(int((y <= 0).sum()), 1)
-        known = sorted(set(good) | set(bad), key=lambda w: (-(good[w] + bad[w]), w))[:size]
-        return TextView({w: float(np.log((good[w] + 1) / (n_good + 2)) - np.log((bad[w] + 1) / (n_bad + 2))) for w in known if good[w] + bad[w] > 2})
+        order = np.lexsort((word, -(good + bad)))[:size]
+        kept = np.sort(order[(good + bad)[order] > 2])
+        return TextView(word[kept], np.log((good[kept] + 1) / (n_good + 2)) - np.log((bad[kept] + 1) / (n_bad + 2)))
+
+    def features(self, bags: list[np.ndarray], totals) -> np.ndarray:
+        """A row for each bag: mean odds of its different words and of all words, least and largest, share of known words."""
+        size = np.array([b.shape[1] for b in bags], dtype=np.int64)
+        out = np.zeros((len(bags), 5))
+        if not len(self.word) or not size.sum():
+            return out
+        flat, count = (np.concatenate([b[k] for b in bags]) for k in (0, 1))
+        at = np.minimum(np.searchsorted(self.word, flat), len(self.word) - 1)
+        known = self.word[at] == flat
+        row, v, c = np.repeat(np.arange(len(bags)), size)[known], self.odds[at[known]], count[known].astype(np.float64)
+        if not len(row):
+            return out
+        some, start, n = np.unique(row, return_index=True, return_counts=True)
+        total = np.maximum(np.asarray(totals, dtype=np.float64), 1)[some]
+        sums = [np.bincount(row, x, minlength=len(bags))[some] for x in (v, v * c, c)]
+        out[some] = np.column_stack([sums[0] / n, sums[1] / total, np.minimum.reduceat(v, start), np.maximum.reduceat(v, start), sums[2] / total])
+        return out
+
+
+def _kinds(row: dict, levels: dict[str, list[str]]) -> list[float]:
+    return [float(row.get(c) == v) for c, values in levels.items() for v in values]
+
 
-    def features(self, bag: Counter, total: int) -> list[float]:
-        get = self.odds.get
-        own = [(v, c) for w, c in bag.items() if (v := get(w)) is not None]
-        if not own:
-            return [0.0, 0.0, 0.0, 0.0, 0.0]
-        values = [v for v, _ in own]
-        return [sum(values) / len(values), sum(v * c for v, c in own) / total, min(values), max(values), sum(c for _, c in own) / total]
+def _views(text: str, row: dict, levels: dict[str, list[str]]) -> tuple[np.ndarray, int, list[float]]:
+    """(hashed words, their number, features of the metadata)."""
+    bag, total = _cut_words(text)
+    return hashed(bag), total, layout(text, bag, total) + _kinds(row, levels)
 
 
 @dataclass
@@ -142,148 +179,135 @@ class Model:
     combine: Logistic
     settings: Settings
 
-    def views(self, text: str, row: dict) -> tuple[list[float], list[float]]:
-        found = _WORD.findall(text)
-        bag, total = Counter(found), max(len(found), 1)
-        kinds = [float(row.get(c) == v) for c, values in self.levels.items() for v in values]
-        return self.text_view.features(bag, total), layout(text, bag, len(found)) + kinds
-
-    def margins(self, texts: list[str], rows: list[dict]) -> np.ndarray:
-        t, m = zip(*(self.views(x, r) for x, r in zip(texts, rows, strict=True)), strict=True)
-        return np.stack([self.text.margin(np.array(t)), self.meta.margin(np.array(m))], axis=1)
-
     def score(self, texts: list[str], rows: list[dict]) -> np.ndarray:
         """(text score, metadata score, combined score) of each document, 0 to 1."""
         if not texts:
             return np.zeros((0, 3))
-        margin = self.margins(texts, rows)
+        bags, totals, meta = zip(*(_views(x, r, self.levels) for x, r in zip(texts, rows, strict=True)), strict=True)
+        margin = np.stack([self.text.margin(self.text_view.features(list(bags), totals)), self.meta.margin(np.array(meta))], axis=1)
         return np.column_stack([_sigmoid(margin), _sigmoid(self.combine.margin(margin))])
 
 
-def _kinds(row: dict, levels: dict[str, list[str]]) -> list[float]:
-    return [float(row.get(c) == v) for c, values in levels.items() for v in values]
-
-
-#: From (round, text view, its regression, the metadata's one, picks a view makes of each label): the picked rows by the
-#: view that takes them over, with ``text``, the category columns and ``y``.
-Propose = Callable[[int, TextView, Logistic, Logistic, dict[float, int]], dict[str, pd.DataFrame]]
-
+#: From (text view, its regression, the metadata's one, picks a view makes of each label): the picked rows by the
+#: view that takes them over, with ``bag``, ``total``, ``meta`` and ``y``.
+Propose = Callable[[TextView, Logistic, Logistic, dict[float, int]], dict[str, list[tuple]]]
 
-def co_train(labelled: pd.DataFrame, levels: dict[str, list[str]], settings: Settings, propose: Propose) -> Model:
-    """Train on rows with ``text``, the category columns and ``y`` in 0, 1, and on what ``propose`` finds."""
-    bags, totals, meta, shared = [], [], [], {}
 
-    def add(rows: pd.DataFrame) -> range:
-        for r in rows.to_dict("records"):
-            found = [shared.setdefault(w, w) for w in _WORD.findall(r["text"])]
-            bags.append(Counter(found))
-            totals.append(len(found))
-            meta.append(layout(r["text"], bags[-1], len(found)) + _kinds(r, levels))
-        return range(len(bags) - len(rows), len(bags))
-
-    add(labelled)
-    n, y = len(labelled), labelled["y"].to_numpy()
+def co_train(labelled: list[tuple], levels: dict[str, list[str]], settings: Settings, propose: Propose) -> Model:
+    """Train on rows (bag, total, meta, y) with y in 0, 1, and on what ``propose`` finds."""
+    rows = list(labelled)
+    n, y = len(rows), np.array([r[3] for r in rows])
     held = np.arange(n) % 10 < round(10 * settings.hold_out)  # the rows come ordered by a hash
-    given = {view: {i: y[i] for i in np.flatnonzero(~held)} for view in ("text", "meta")}
+    given = {view: {i: y[i] for i in np.flatnonzero(~held).tolist()} for view in ("text", "meta")}
     good = max(1, round(settings.per_round * (float(y.mean()) if n else 0.5)))
     most = {1.0: good, 0.0: max(1, settings.per_round - good)}
+
+    def features(view: TextView, own: list[int]) -> np.ndarray:
+        return view.features([rows[i][0] for i in own], [rows[i][1] for i in own])
+
     for turn in range(settings.rounds + 1):
         own = list(given["text"])
         values = np.array([given["text"][i] for i in own])
         # a word's odds must not come from the row they are used on: learn from one half, fit on the other
         half = np.arange(len(own)) % 2 == 0
-        learn = TextView.learn([bags[own[k]] for k in np.flatnonzero(half)], values[half], settings.words)
-        tf = lambda rows: np.array([learn.features(bags[i], max(totals[i], 1)) for i in rows])  # noqa: B023, E731
-        text = fit_logistic(tf([own[k] for k in np.flatnonzero(~half)]), values[~half])
+        learn = TextView.learn([rows[own[k]][0] for k in np.flatnonzero(half)], values[half], settings.words)
+        text = fit_logistic(features(learn, [own[k] for k in np.flatnonzero(~half)]), values[~half])
         own_m = list(given["meta"])
-        meta_fit = fit_logistic(np.array([meta[i] for i in own_m]), np.array([given["meta"][i] for i in own_m]))
+        meta = fit_logistic(np.array([rows[i][2] for i in own_m]), np.array([given["meta"][i] for i in own_m]))
         if turn == settings.rounds:
             break
-        for to, rows in propose(turn, learn, text, meta_fit, most).items():
-            given[to].update(zip(add(rows), rows["y"], strict=True))
-    last = np.flatnonzero(held)
-    margin = np.stack([text.margin(tf(last)), meta_fit.margin(np.array([meta[i] for i in last]))], axis=1)
+        for to, found in propose(learn, text, meta, most).items():
+            given[to].update({len(rows) + k: r[3] for k, r in enumerate(found)})
+            rows += found
+    last = np.flatnonzero(held).tolist()
+    margin = np.stack([text.margin(features(learn, last)), meta.margin(np.array([rows[i][2] for i in last]))], axis=1)
     combine = fit_logistic(margin, y[held]) if len(set(y[held])) > 1 else Logistic(np.zeros(2), np.ones(2), np.ones(2), 0.0)
-    return Model(learn, text, meta_fit, levels, combine, settings)
+    return Model(learn, text, meta, levels, combine, settings)
+
+
+def _given(batch: pa.RecordBatch, columns) -> list[dict]:
+    values = [batch.column(c).to_pylist() for c in columns]
+    return [dict(zip(columns, v, strict=True)) for v in zip(*values, strict=True)] if columns else [{}] * batch.num_rows
 
 
-def _text_pass(rows: DataFrame, levels: dict[str, list[str]], view: TextView, fit: Logistic, with_meta: bool) -> DataFrame:
-    """(id, h, margin) of every row's text, and the features of its metadata."""
+def _bags(column: pa.Array) -> list[np.ndarray]:
+    raw, start, size = text_buffer(column)
+    return [np.frombuffer(raw[a : a + n].tobytes(), dtype=np.uint32).reshape(2, -1) for a, n in zip(start.tolist(), size.tolist(), strict=True)]
+
+
+def _view_pass(rows: DataFrame, levels: dict[str, list[str]]) -> DataFrame:
+    """(id, h, bag, total, meta) of every row: what both views see of it."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches):
-            kinds = zip(*(batch.column(c).to_pylist() for c in levels), strict=True) if levels else [()] * batch.num_rows
-            features, meta = [], []
-            for text, own in zip(batch.column("text").to_pylist(), kinds, strict=True):
-                found = _WORD.findall(text)
-                bag = Counter(found)
-                features.append(view.features(bag, max(len(found), 1)))
-                if with_meta:
-                    meta.append(layout(text, bag, len(found)) + _kinds(dict(zip(levels, own, strict=True)), levels))
-            margin = np.round(fit.margin(np.array(features).reshape(-1, len(fit.mean))), 9)  # alike however rows are batched
-            more = [pa.array(meta, pa.list_(pa.float64()))] if with_meta else []
-            yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("h"), pa.array(margin), *more], names=["id", "h", "margin", "meta"][: 3 + with_meta])
+            bag, total, meta = [], [], []
+            for text, own in zip(batch.column("text").to_pylist(), _given(batch, list(levels)), strict=True):
+                b, t, m = _views(text, own, levels)
+                bag.append(b.tobytes()), total.append(t), meta.append(m)
+            cols = [batch.column("id"), batch.column("h"), pa.array(bag, pa.binary()), pa.array(total, pa.int64()), pa.array(meta, pa.list_(pa.float64()))]
+            yield pa.RecordBatch.from_arrays(cols, names=["id", "h", "bag", "total", "meta"])
 
-    kind = rows.schema["id"].dataType.simpleString()
-    return rows.mapInArrow(tidy(run), f"id {kind}, h long, margin double" + ", meta array<double>" * with_meta)
+    return rows.mapInArrow(tidy(run), f"id {rows.schema['id'].dataType.simpleString()}, h long, bag binary, total long, meta array<double>")
 
 
-def _meta_pass(rows: DataFrame, fit: Logistic) -> DataFrame:
-    """(id, h, margin) from the features that ``_text_pass`` kept."""
+def _margins(seen: DataFrame, view: TextView, text: Logistic, meta: Logistic) -> DataFrame:
+    """(id, h, text, meta): how sure each view is of every row; alike however rows are batched."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches):
-            x = batch.column("meta").flatten().to_numpy(zero_copy_only=False).reshape(-1, len(fit.mean))
-            yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("h"), pa.array(np.round(fit.margin(x), 9))], names=["id", "h", "margin"])
+        for batch in slices(batches, column="bag"):
+            own = view.features(_bags(batch.column("bag")), batch.column("total").to_numpy())
+            layouts = batch.column("meta").flatten().to_numpy(zero_copy_only=False).reshape(-1, len(meta.mean))
+            yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("h"), pa.array(np.round(text.margin(own), 9)), pa.array(np.round(meta.margin(layouts), 9))], names=["id", "h", "text", "meta"])
 
-    return rows.select("id", "h", "meta").mapInArrow(tidy(run), f"id {rows.schema['id'].dataType.simpleString()}, h long, margin double")
+    return seen.mapInArrow(tidy(run), f"id {seen.schema['id'].dataType.simpleString()}, h long, text double, meta double")
 
 
 def train(docs: DataFrame, labels: DataFrame, settings: Settings = Settings(), id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", categories: tuple[str, ...] = ("lang", "source")) -> Model | None:
     """Co-train on the documents that ``labels`` covers; None if it has no usable label.
 
     Null labels and ids are left out; of several labels for an id the largest counts. All
-    other documents with an id can get pseudo-labels.
+    other documents with an id can get pseudo-labels. Of repeated ids one row is trained on:
+    the smallest by words and metadata. Texts of any length are seen whole.
     """
     columns = [c for c in categories if c in docs.columns]
     known = labels.select(labels[id_col].alias("id"), labels[label_col].cast("double").alias("y")).where("id is not null and y is not null").groupBy("id").agg(F.max("y").alias("y"))
-    rows = docs.select(docs[id_col].alias("id"), F.coalesce(docs[text_col].cast("string"), F.lit("")).alias("text"), *(docs[c].cast("string").alias(c) for c in columns))
-    keyed = rows.select("id", F.xxhash64("id").alias("h"))
-
-    def texts(ids: DataFrame) -> pd.DataFrame:
-        return rows.join(F.broadcast(ids), "id").toPandas().sort_values(["h", "id", "text"]).drop_duplicates("id").reset_index(drop=True)
-
-    labelled = texts(keyed.join(known, "id").orderBy("h", "id").limit(settings.labelled))  # a bounded sample: the smallest hashes
-    if labelled["y"].nunique() < 2:
-        return None
-    labelled["y"] = (labelled["y"] > 0).astype(float)
-    counted = {c: rows.where(F.col("id").isNotNull() & F.col(c).isNotNull()).groupBy(c).count().orderBy(F.desc("count"), c).limit(50) for c in columns}
+    rows = docs.select(docs[id_col].alias("id"), F.xxhash64(docs[id_col]).alias("h"), F.coalesce(docs[text_col].cast("string"), F.lit("")).alias("text"), *(docs[c].cast("string").alias(c) for c in columns)).where("id is not null")
+    counted = {c: rows.where(F.col(c).isNotNull()).groupBy(c).count().orderBy(F.desc("count"), c).limit(settings.levels) for c in columns}
     levels = {c: [r[0] for r in n.collect()] for c, n in counted.items()}
-    known_ids = materialize(known.select("id"), "known")
-    free = rows.where("id is not null").withColumn("h", F.xxhash64("id"))
+    seen = materialize(_view_pass(rows, levels), "views")
+
+    def bagged(ids: DataFrame) -> list[tuple]:
+        # (id, bag, total, meta, y) of a bounded number of ids, in order of their hashes
+        found = sorted(seen.join(F.broadcast(ids.select("id", "y")), "id").toArrow().to_pylist(), key=lambda r: (r["h"], r["id"], r["bag"], r["meta"]))
+        one = {(r["id"], r["y"]): r for r in reversed(found)}
+        return [(i, np.frombuffer(r["bag"], dtype=np.uint32).reshape(2, -1), r["total"], r["meta"], y) for (i, y), r in reversed(one.items())]
+
+    # a bounded sample: the smallest hashes
+    sample = seen.select("id", "h").distinct().join(known, "id").orderBy("h", "id").limit(settings.labelled)
+    labelled = bagged(materialize(sample.select("id", (F.col("y") > 0).cast("double").alias("y")), "labelled"))
+    if len({r[4] for r in labelled}) < 2:
+        return None
+    free = seen.join(known.select("id"), "id", "left_anti")
     taken: list = []
-    first: list[DataFrame] = []
 
-    def propose(turn: int, view: TextView, text: Logistic, meta: Logistic, most: dict[float, int]) -> dict[str, pd.DataFrame]:
-        scored = materialize(_text_pass(free, levels, view, text, not first), "margins")
-        if not first:
-            first.append(scored)
+    def propose(view: TextView, text: Logistic, meta: Logistic, most: dict[float, int]) -> dict[str, list[tuple]]:
+        margins = _margins(free, view, text, meta)
+        if taken:
+            margins = margins.where(~F.col("id").isin(taken))
+        ends = materialize(margins.groupBy("id", "h").agg(*(f(c).alias(f"{c}_{k}") for c in ("text", "meta") for k, f in (("up", F.max), ("down", F.min)))), "margins")
         picks = []
-        for to, margins in (("meta", scored.select("id", "h", "margin")), ("text", _meta_pass(first[0], meta))):
-            margins = margins.join(known_ids, "id", "left_anti").where(~F.col("id").isin(taken)) if taken else margins.join(known_ids, "id", "left_anti")
-            ends = margins.groupBy("id", "h").agg(F.max("margin").alias("up"), F.min("margin").alias("down"))
-            for label, order, sure in ((1.0, F.desc("up"), "up > 0"), (0.0, F.asc("down"), "down < 0")):
-                picks += [(r.id, r.h, label, to) for r in ends.where(sure).orderBy(order, "h", "id").limit(most[label]).collect()]
+        for sure, to in (("text", "meta"), ("meta", "text")):
+            for label, order, enough in ((1.0, F.desc(f"{sure}_up"), f"{sure}_up > 0"), (0.0, F.asc(f"{sure}_down"), f"{sure}_down < 0")):
+                picks += [(r.id, label, to) for r in ends.where(enough).orderBy(order, "h", "id").limit(most[label]).collect()]
         picks = picks[: max(settings.pool - len(taken), 0)]
         if not picks:
             return {}
-        kind = free.schema["id"].dataType.simpleString()
-        found = texts(docs.sparkSession.createDataFrame(sorted({p[:2] for p in picks}), f"id {kind}, h long"))
-        chosen = pd.DataFrame(picks, columns=["id", "h", "y", "to"]).drop_duplicates(["id", "to"])
-        taken.extend(found["id"].tolist())
-        return {to: found.merge(chosen.loc[chosen["to"] == to, ["id", "y"]], on="id") for to in ("meta", "text")}
+        kind = seen.schema["id"].dataType.simpleString()
+        found = {(r[0], r[4]): r[1:] for r in bagged(docs.sparkSession.createDataFrame(sorted({p[:2] for p in picks}), f"id {kind}, y double"))}
+        taken.extend(sorted({p[0] for p in picks}))
+        return {to: [found[i, y] for i, y, t in picks if t == to] for to in ("meta", "text")}
 
-    return co_train(labelled, levels, settings, propose)
+    return co_train([r[1:] for r in labelled], levels, settings, propose)
 
 
 def classify(docs: DataFrame, model: Model | None, text_col: str = "text") -> DataFrame:
@@ -302,9 +326,7 @@ def classify(docs: DataFrame, model: Model | None, text_col: str = "text") -> Da
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches):
-            values = [batch.column(c).to_pylist() for c in categories]
-            given = [dict(zip(categories, v, strict=True)) for v in zip(*values, strict=True)] if categories else [{}] * batch.num_rows
-            score = model.score(batch.column("text").to_pylist(), given)
+            score = model.score(batch.column("text").to_pylist(), _given(batch, categories))
             cols = [batch.column("rest"), *(pa.array(score[:, k]) for k in range(3)), pa.array(score[:, 2] >= model.settings.reject)]
             yield pa.RecordBatch.from_arrays(cols, names=["rest", *new])
 

@@ -30,13 +30,13 @@ def test_every_unlabelled_document_can_get_a_pseudo_label(spark, monkeypatch):
     rows, labels = _labelled(900, 2)
     docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
     known = spark.createDataFrame(labels[:200], "doc_id long, quality int")
-    passes, whole = [], quality._text_pass
-    monkeypatch.setattr(quality, "_text_pass", lambda rows, *a: passes.append(rows.count()) or whole(rows, *a))
+    passes, whole = [], quality._margins
+    monkeypatch.setattr(quality, "_margins", lambda rows, *a: passes.append(rows.count()) or whole(rows, *a))
     added, learn = [], quality.TextView.learn
     monkeypatch.setattr(quality.TextView, "learn", staticmethod(lambda bags, *a: added.append(len(bags)) or learn(bags, *a)))
     settings = quality.Settings(labelled=200, pool=60, rounds=2, per_round=20)
     model = quality.train(docs, known, settings)
-    assert passes == [900, 900]  # each round sees all documents, however few the driver holds
+    assert passes == [700, 700]  # each round sees all unlabelled documents, however few the driver holds
     assert added[-1] > added[0] and model is not None
     truth = dict(labels)
     verdict = {r.doc_id: r.accepted for r in quality.classify(docs, model).collect()}
