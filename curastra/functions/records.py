@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import and_, or_
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -20,16 +23,22 @@ CHECKS = ["alignment", "granularity_match", "solvability"]
 MAX_TIMEOUT_MS = 30_000
 
 
+#: Words of licence texts.
+APACHE = "apache license", "version 2.0"
+BSD, BSD_THIRD = "redistribution and use in source and binary forms", ("neither the name", "names of its contributors")
+MIT = "permission is hereby granted, free of charge", 'the software is provided "as is"'
+
+
 def detect_license(text: Column) -> Column:
     """SPDX id of a licence text, or UNKNOWN; the order decides where several fit."""
     t = squeeze(F.lower(text))
-    bsd = t.contains("redistribution and use in source and binary forms")
-    three = t.contains("neither the name") | t.contains("names of its contributors")
+    has = lambda *parts: reduce(and_, map(t.contains, parts))
+    bsd, three = has(BSD), reduce(or_, map(t.contains, BSD_THIRD))
     return (
-        F.when(t.contains("apache license") & t.contains("version 2.0"), "Apache-2.0")
+        F.when(has(*APACHE), "Apache-2.0")
         .when(bsd & three, "BSD-3-Clause")
         .when(bsd, "BSD-2-Clause")
-        .when(t.contains("permission is hereby granted, free of charge") & t.contains('the software is provided "as is"'), "MIT")
+        .when(has(*MIT), "MIT")
         .otherwise("UNKNOWN")
     )
 

@@ -272,7 +272,7 @@ def global_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ordering.top(_scored(spark, sf_dir).select("doc_id", "score"), 25, F.col("score").desc(), F.col("doc_id"))
 
 
-@query("SELECT doc_id, 'scale-' || source || '-' || repeat('0', greatest(0, 4 - length(CAST(row_number() OVER (ORDER BY source, doc_id) AS VARCHAR)))) || row_number() OVER (ORDER BY source, doc_id) AS unit_id FROM documents WHERE doc_id < 5000")
+@query("SELECT doc_id, 'scale-' || source || '-' || repeat('0', greatest(0, 4 - length(CAST(row_number() OVER (ORDER BY source, doc_id) AS VARCHAR)))) || row_number() OVER (ORDER BY source, doc_id) AS unit_id FROM documents")
 def numbered_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     return ordering.numbered_ids(docs.select("doc_id", "source"), F.concat(F.lit("scale-"), "source", F.lit("-")), "source", "doc_id").select("doc_id", "unit_id")
@@ -346,7 +346,7 @@ def task_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return metrics.task_rollup(attempts, called).withColumn("visual_pass", F.coalesce(F.col("visual_pass").cast("string"), F.lit("none")))
 
 
-@query("SELECT user_id AS task_id, event_id % 2 AS attempt, string_agg(event_type, ',' ORDER BY event_id) AS tools FROM events WHERE user_id % 10 = 0 GROUP BY ALL")
+@query("SELECT user_id AS task_id, event_id % 2 AS attempt, string_agg(event_type, ',' ORDER BY event_id) AS tools FROM events GROUP BY ALL")
 def tools_by_attempt(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = table(spark, sf_dir, "events")
     calls = e.select(F.col("user_id").alias("task_id"), (F.col("event_id") % 2).alias("attempt"), F.col("event_id").alias("seq"), F.lit("tool_call").alias("type"), F.col("event_type").alias("tool"))
@@ -384,13 +384,13 @@ def chat_validate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.is_pair(table(spark, sf_dir, "conversations"))
 
 
-@query("SELECT conv_id, string_agg('<|im_start|>' || role || chr(10) || text || '<|im_end|>' || chr(10), '' ORDER BY turn, role, text) AS rendered FROM conversations GROUP BY conv_id HAVING count(*) <= 64")
+@query("SELECT conv_id, string_agg('<|im_start|>' || role || chr(10) || text || '<|im_end|>' || chr(10), '' ORDER BY turn, role, text) AS rendered FROM conversations GROUP BY conv_id")
 def chat_render(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.messages_of(table(spark, sf_dir, "conversations")).select("conv_id", chat.render(F.col("messages")).alias("rendered"))
 
 
 @query("""WITH c AS (SELECT conv_id, string_agg('<|im_start|>' || role || chr(10) || text || '<|im_end|>' || chr(10), '' ORDER BY turn, role, text) AS whole,
-  arg_min('<|im_start|>' || role || chr(10) || text || '<|im_end|>' || chr(10), turn) || '<|im_start|>assistant' || chr(10) AS prompt FROM conversations GROUP BY conv_id HAVING count(*) <= 64),
+  arg_min('<|im_start|>' || role || chr(10) || text || '<|im_end|>' || chr(10), turn) || '<|im_start|>assistant' || chr(10) AS prompt FROM conversations GROUP BY conv_id),
 n AS (SELECT conv_id, least(length(whole), 512) AS n, length(prompt) AS p, starts_with(whole, prompt) AS ok FROM c)
 SELECT conv_id, n AS n_ids, greatest(n - p, 0) AS n_labels, CASE WHEN NOT ok THEN 'the prompt is no prefix' WHEN n <= p THEN 'nothing of the response is left' END AS error FROM n""")
 def response_mask(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,12 +1,13 @@
 """Readers of JSON lines, JSON arrays and source files.
 
 The order of lines has meaning to later steps: ``with_seq`` numbers rows over all files by
-counts of partitions, without moving them to one task.
+counts of their splits, without moving them to one task.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.errors import AnalysisException
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 #: Folders that hold no source, by reader.
@@ -35,31 +36,43 @@ def read_json_array(spark: SparkSession, path: str, schema: str) -> DataFrame:
     return spark.read.schema(schema).option("multiLine", True).option("mode", "FAILFAST").json(path)
 
 
+def _placed(df: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(rows with file, split and place, splits with their file, number of rows and first place).
+
+    Spark packs splits of several files, larger ones first, into a partition; so a row's place
+    is told by its file, where its split begins, and its place among the split's rows. Rows
+    that don't come straight from files are one file with a split for each partition.
+    """
+    row = F.monotonically_increasing_id()
+    try:
+        placed = df.select("*", F.col("_metadata.file_path").alias("_file"), F.col("_metadata.file_block_start").alias("_split"), row.alias("_at"))
+    except AnalysisException:
+        placed = df.select("*", F.lit("").alias("_file"), F.spark_partition_id().cast("long").alias("_split"), row.alias("_at"))
+    return placed, placed.groupBy("_file", "_split").agg(F.count("*").alias("_n"), F.min("_at").alias("_first"))
+
+
 def with_seq(df: DataFrame, name: str = "seq") -> DataFrame:
-    """Rows numbered from 0 in their present order: partition's start plus place in it.
+    """Rows numbered from 0, in order of file, place in the file; others in their present order.
 
-    The counts of partitions are gathered (a number for each), not the rows.
+    Only the splits' counts (a row for each) are put in one order, not the rows. ``df`` must be
+    the reader's own DataFrame, or it is taken as not coming from files.
     """
-    spark = df.sparkSession
-    placed = df.withColumn("_id", F.monotonically_increasing_id())
-    part, at = F.shiftright("_id", 33), F.col("_id").bitwiseAND(F.lit((1 << 33) - 1))
-    counts = sorted((r["p"], r["n"]) for r in placed.groupBy(part.alias("p")).agg(F.count("*").alias("n")).collect())
-    starts, total = [], 0
-    for p, n in counts:
-        starts.append((p, total))
-        total += n
-    begin = F.broadcast(spark.createDataFrame(starts, "_p long, _start long"))
-    return placed.withColumn("_p", part).join(begin, "_p").withColumn(name, F.col("_start") + at).drop("_id", "_p", "_start")
+    placed, splits = _placed(df)
+    before = F.sum("_n").over(Window.orderBy("_file", "_split").rowsBetween(Window.unboundedPreceding, -1))
+    start = splits.select("_file", "_split", (F.coalesce(before, F.lit(0)) - F.col("_first")).alias("_start"))
+    return placed.join(start, ["_file", "_split"]).withColumn(name, F.col("_start") + F.col("_at")).drop("_file", "_split", "_at", "_start")
 
 
 def read_lines(spark: SparkSession, path: str) -> DataFrame:
-    """(path, line, text): raw lines with their number from 1, CRLF tolerated.
+    """(path, line, text): raw lines with their number from 1 in their file, CRLF tolerated.
 
-    A file's lines are numbered within the file; a file is one row of the reader.
+    Blank lines are counted and left out. Files of any size are read in splits.
     """
-    files = spark.read.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("path"), F.col("value"))
-    lines = files.select("path", F.posexplode(F.split("value", "\r?\n")).alias("at", "text"))
-    return lines.select("path", (F.col("at") + 1).alias("line"), "text").where(F.trim("text") != "")
+    placed, splits = _placed(spark.read.option("lineSep", "\n").text(path))
+    before = F.sum("_n").over(Window.partitionBy("_file").orderBy("_split").rowsBetween(Window.unboundedPreceding, -1))
+    start = splits.select("_file", "_split", (F.coalesce(before, F.lit(0)) - F.col("_first")).alias("_start"))
+    lines = placed.join(start, ["_file", "_split"])
+    return lines.select(F.col("_file").alias("path"), (F.col("_start") + F.col("_at") + 1).alias("line"), F.regexp_replace("value", "\r$", "").alias("text")).where(F.trim("text") != "")
 
 
 def parse_lines(lines: DataFrame, schema: str) -> DataFrame:
