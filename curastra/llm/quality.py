@@ -287,11 +287,11 @@ def train(docs: DataFrame, labels: DataFrame, settings: Settings = Settings(), i
     labelled = bagged(materialize(sample.select("id", (F.col("y") > 0).cast("double").alias("y")), "labelled"))
     if len({r[4] for r in labelled}) < 2:
         return None
-    free = seen.join(known.select("id"), "id", "left_anti")
+    known_ids = materialize(known.select("id"), "known")
     taken: list = []
 
     def propose(view: TextView, text: Logistic, meta: Logistic, most: dict[float, int]) -> dict[str, list[tuple]]:
-        margins = _margins(free, view, text, meta)
+        margins = _margins(seen, view, text, meta).join(known_ids, "id", "left_anti")  # words aren't shuffled
         if taken:
             margins = margins.where(~F.col("id").isin(taken))
         ends = materialize(margins.groupBy("id", "h").agg(*(f(c).alias(f"{c}_{k}") for c in ("text", "meta") for k, f in (("up", F.max), ("down", F.min)))), "margins")
