@@ -1,15 +1,17 @@
 """Document fingerprints of improbable features.
 
-Every 64-byte window of a text has an entropy. How rare an entropy is in the corpus ranks
+Every 32-byte window of a text has an entropy. How rare an entropy is in the corpus ranks
 the windows: a histogram over all documents, taken in a first pass, gives rank 0 to the
-rarest. The lowest-ranked window among 64 neighbours gains a point of popularity for each
-such neighbourhood; windows with enough points are the text's features. Features are hashed
-into Bloom filters of 256 bytes, a new filter beginning after 160 features. Two fingerprints
-are compared filter by filter: shared bits beyond those expected by chance, over the most
-there could be, take the best partner for each filter of the shorter chain, and are averaged.
+rarest. The lowest-ranked of each 32 neighbouring windows (fewer at a text's ends) gains a
+point of popularity; windows with enough points are the text's features, so every text of a
+window or more has some; a shorter one is a window by itself. Features are hashed into Bloom
+filters of 256 bytes, a new filter beginning after 160 features. Two fingerprints are compared
+filter by filter: shared bits beyond those expected by chance, over the most there could be,
+take the best partner for each filter of the shorter chain, and are averaged.
 
 Window entropies come from a running sum: a window loses one byte and gains one, and what
-that changes depends on how often the byte occurs in the 63 others.
+that changes depends on how often the byte occurs in the 31 others. Long texts are worked on
+in overlapping blocks.
 """
 
 from __future__ import annotations
@@ -23,15 +25,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import id_of, order_key, sliding_min, text_buffer
+from .common import id_of, order_key, slices, sliding_min, text_buffer, tidy
 
-WINDOW = 64
+WINDOW = 32
 #: Windows among which the rarest gains popularity, and the popularity of a feature.
-NEIGHBOURS, POPULAR = 64, 16
+NEIGHBOURS, POPULAR = 32, 8
 #: Bits of a filter, bits set by a feature, features in a filter.
 BITS, PROBES, FEATURES = 2048, 5, 160
-#: Bytes of the windows that count where no window is popular.
-SHORT = 8
 #: Entropies are told apart to so many steps.
 STEPS = 1000
 #: Bytes of text worked on at a time.
@@ -48,7 +48,7 @@ def _gain() -> np.ndarray:
 
 
 def entropy_steps(data: np.ndarray) -> np.ndarray:
-    """Entropy of every 64-byte window as a step from 0 to STEPS."""
+    """Entropy of every window as a step from 0 to STEPS."""
     n = len(data)
     if n < WINDOW:
         return np.zeros(0, dtype=np.int64)
@@ -60,43 +60,53 @@ def entropy_steps(data: np.ndarray) -> np.ndarray:
     gain = _gain()
     counts = np.bincount(data[:WINDOW], minlength=256)
     first = int(np.round(counts * np.log2(np.maximum(counts, 1)) * 2**16).astype(np.int64).sum())
-    # window s+1 against s: byte s goes (the count of its equals in s..s+63), byte s+64 comes
+    # window s+1 against s: byte s goes (with the count of its equals in the window), the byte after the window comes
     change = gain[1 + behind[WINDOW:].astype(np.int64)] - gain[1 + ahead[: n - WINDOW].astype(np.int64)]
     total = first + np.concatenate([np.zeros(1, dtype=np.int64), np.cumsum(change)])
-    most = 6 * WINDOW * 2**16  # the entropy of 64 different bytes is 6 bits
+    most = 5 * WINDOW * 2**16  # the entropy of 32 different bytes is 5 bits
     return np.clip((most - total) * STEPS // most, 0, STEPS)
 
 
-def _blocks(raw, start, size):
-    """Groups of texts: (indices, their bytes joined, starts in these). A long text is a group."""
-    i, n = 0, len(size)
-    while i < n:
+def _windows(raw, start, size):
+    """Groups of windows of the texts: (bytes, steps of all windows in them, text, place in the text and whether it counts, of each).
+
+    Windows at the ends of a block are there as neighbours only. Texts without a window are left
+    out. A step is -1 where a window isn't in one text.
+    """
+    pieces = []  # text, bytes from, to, windows from, to
+    for i, n in enumerate(size.tolist()):
+        for p in range(0, n - WINDOW + 1, BLOCK):
+            q = min(p + BLOCK, n - WINDOW + 1)
+            pieces.append((i, max(0, p - NEIGHBOURS + 1), min(n, q + NEIGHBOURS + WINDOW - 2), p, q))
+    i = 0
+    while i < len(pieces):
         j, total = i, 0
-        while j < n and (j == i or total + size[j] <= BLOCK):
-            total += int(size[j])
+        while j < len(pieces) and (j == i or total + pieces[j][2] - pieces[j][1] <= BLOCK):
+            total += pieces[j][2] - pieces[j][1]
             j += 1
-        at = np.cumsum(size[i:j]) - size[i:j]
-        yield range(i, j), np.concatenate([raw[a : a + b] for a, b in zip(start[i:j].tolist(), size[i:j].tolist(), strict=True)]), at
+        text, a, b, p, q = np.array(pieces[i:j], dtype=np.int64).T
+        data = np.concatenate([raw[start[t] + x : start[t] + y] for t, x, y, _, _ in pieces[i:j]])
+        at = np.cumsum(b - a) - (b - a)
+        steps = entropy_steps(data)
+        for e in at[1:].tolist():
+            steps[max(0, e - WINDOW + 1) : e] = -1
+        piece = np.repeat(np.arange(j - i), b - a)[: len(steps)]
+        place = np.arange(len(steps)) - (at - a)[piece]
+        yield data, steps, text[piece], (place >= p[piece]) & (place < q[piece]) & (steps >= 0)
         i = j
 
 
 def _histogram(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     count = np.zeros(STEPS + 1, dtype=np.int64)
-    for batch in batches:
-        raw, start, size = text_buffer(batch.column("text"))
-        for rows, data, at in _blocks(raw, start, size):
-            steps = entropy_steps(data)
-            if len(steps):
-                whole = np.ones(len(steps), dtype=bool)  # windows that lie in one text
-                for e in at[1:].tolist():
-                    whole[max(0, e - WINDOW + 1) : e] = False
-                count += np.bincount(steps[whole], minlength=STEPS + 1)
+    for batch in slices(batches):
+        for _, steps, _, own in _windows(*text_buffer(batch.column("text"))):
+            count += np.bincount(steps[own], minlength=STEPS + 1)
     yield pa.RecordBatch.from_arrays([pa.array(np.arange(STEPS + 1)), pa.array(count)], names=["step", "n"])
 
 
 def rarity(docs: DataFrame, text_col: str = "text") -> list[int]:
     """Rank of each entropy step, 0 for the rarest over all windows of all documents."""
-    counted = docs.select(docs[text_col].cast("string").alias("text")).mapInArrow(_histogram, "step long, n long").groupBy("step").agg(F.sum("n").alias("n"))
+    counted = docs.select(docs[text_col].cast("string").alias("text")).mapInArrow(tidy(_histogram), "step long, n long").groupBy("step").agg(F.sum("n").alias("n"))
     n = dict.fromkeys(range(STEPS + 1), 0) | {r.step: r.n for r in counted.collect()}  # STEPS + 1 rows
     order = sorted(n, key=lambda s: (n[s], s))
     rank = [0] * (STEPS + 1)
@@ -117,33 +127,30 @@ def _hash(features: np.ndarray) -> np.ndarray:
 
 
 def features(raw, start, size, rank: np.ndarray) -> list[np.ndarray]:
-    """Feature hashes of each text in order, each once. Without any, all 8-byte windows are."""
-    out: list[np.ndarray] = [np.zeros(0, dtype=np.uint64)] * len(size)
-    for rows, data, at in _blocks(raw, start, size):
-        n = len(data)
-        place = np.zeros(0, dtype=np.int64)
-        if n >= WINDOW + NEIGHBOURS - 1:
-            key = (rank[entropy_steps(data)] << 32) | np.arange(n - WINDOW + 1)
-            low = sliding_min(key, NEIGHBOURS) & 0xFFFFFFFF  # leftmost of the rarest
-            ok = np.ones(len(low), dtype=bool)
-            span = WINDOW + NEIGHBOURS - 1
-            for e in at[1:].tolist():
-                ok[max(0, e - span + 1) : e] = False
-            votes = np.bincount(low[ok], minlength=1)
-            place = np.flatnonzero(votes >= POPULAR)
-        if len(place):
-            own = _hash(np.lib.stride_tricks.sliding_window_view(data, WINDOW)[place])
-            cut = np.searchsorted(place, np.append(at, n))
-        for k, i in enumerate(rows):
-            got = own[cut[k] : cut[k + 1]] if len(place) else place.view(np.uint64)
-            if not len(got) and size[i]:  # short or periodic texts: their short windows count
-                own_bytes = np.zeros(max(int(size[i]), SHORT), dtype=np.uint8)
-                own_bytes[: size[i]] = raw[start[i] : start[i] + size[i]]
-                got = _hash(np.lib.stride_tricks.sliding_window_view(own_bytes, SHORT))
-            if len(got) > 1:
-                _, first = np.unique(got, return_index=True)
-                got = got[np.sort(first)]
-            out[i] = got
+    """Feature hashes of each text in order, each once."""
+    found: list[list[np.ndarray]] = [[] for _ in size]
+    far, pad = np.int64(2**62), np.full(NEIGHBOURS - 1, 2**62, dtype=np.int64)
+    for data, steps, text, own in _windows(raw, start, size):
+        # between two texts there are as many windows that don't count as there are further neighbours
+        key = np.where(steps >= 0, (rank[steps] << 32) | np.arange(len(steps)), far)
+        low = sliding_min(np.concatenate([pad, key, pad]), NEIGHBOURS)  # leftmost of the rarest
+        votes = np.bincount(low[low < far] & 0xFFFFFFFF, minlength=len(steps))
+        place = np.flatnonzero((votes >= POPULAR) & own)
+        got = _hash(np.lib.stride_tricks.sliding_window_view(data, WINDOW)[place])
+        bounds = [0, *(np.flatnonzero(np.diff(text[place])) + 1).tolist(), len(place)] if len(place) else [0]
+        for a, b in zip(bounds[:-1], bounds[1:], strict=True):
+            found[text[place[a]]].append(got[a:b])
+    out = []
+    for i, parts in enumerate(found):
+        if 0 < size[i] < WINDOW:  # a window by itself
+            whole = np.zeros((1, WINDOW), dtype=np.uint8)
+            whole[0, : size[i]] = raw[start[i] : start[i] + size[i]]
+            parts = [_hash(whole)]
+        got = np.concatenate(parts) if parts else np.zeros(0, dtype=np.uint64)
+        if len(got) > 1:
+            _, first = np.unique(got, return_index=True)
+            got = got[np.sort(first)]
+        out.append(got)
     return out
 
 
@@ -187,7 +194,7 @@ def from_text(fingerprint: str) -> np.ndarray:
 
 def _fingerprints(rank: np.ndarray):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches):
             raw, start, size = text_buffer(batch.column("text"))
             out = [as_text(chain(h)) for h in features(raw, start, size, rank)]
             yield pa.RecordBatch.from_arrays([batch.column("rest"), pa.array(out, pa.string())], names=["rest", "fingerprint"])
@@ -199,12 +206,13 @@ def fingerprint(docs: DataFrame, text_col: str = "text", rank: list[int] | None
     """Adds ``fingerprint`` (base64 of the chain of filters) to every row.
 
     Equal texts have equal fingerprints under the same ``rank`` (by default the corpus's own);
-    a null or empty text has an empty one. Rows are kept as they are; no shuffle.
+    a null or empty text has an empty one. Rows are kept as they are; no shuffle. Long texts take
+    memory for a block and their features.
     """
     others = [c for c in docs.columns if c != "fingerprint"]
     table = np.array(rank if rank is not None else rarity(docs, text_col), dtype=np.int64)
     rows = docs.select(F.struct(*(docs[c] for c in others)).alias("rest"), docs[text_col].cast("string").alias("text"))
-    out = rows.mapInArrow(_fingerprints(table), f"rest {rows.schema['rest'].dataType.simpleString()}, fingerprint string")
+    out = rows.mapInArrow(tidy(_fingerprints(table)), f"rest {rows.schema['rest'].dataType.simpleString()}, fingerprint string")
     return out.select(*(F.col("rest")[c].alias(c) for c in others), "fingerprint")
 
 
@@ -214,7 +222,7 @@ def _compare(rank: np.ndarray):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = None  # (bucket, ord, text, chain) of the document that waits for its next
         names = ["ord", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next"]
-        for batch in batches:
+        for batch in slices(batches):
             raw, start, size = text_buffer(batch.column("text"))
             own = [chain(h) for h in features(raw, start, size, rank)]
             bucket, ord_, ahead = (batch.column(k).to_pylist() for k in ("bucket", "ord", "ahead"))
@@ -276,4 +284,4 @@ def compare_with_next(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     dealt = placed.withColumn("to", F.explode(to)).select("to.bucket", "to.ahead", "ord", "text")
     dealt = dealt.repartition(max(len(heads), 1), "bucket").sortWithinPartitions("bucket", "ahead", "ord", "text")
     kinds = "ord long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double"
-    return dealt.mapInArrow(_compare(rank), kinds).withColumn("ord", id_of("ord")).withColumnRenamed("ord", id_col)
+    return dealt.mapInArrow(tidy(_compare(rank)), kinds).withColumn("ord", id_of("ord")).withColumnRenamed("ord", id_col)

@@ -102,10 +102,11 @@ def test_entropy_and_fingerprints(frame):
     r = np.random.default_rng(5)
     for data in (r.integers(0, 256, 400, dtype=np.uint8), np.frombuffer(b"ab" * 90, dtype=np.uint8), np.zeros(64, np.uint8), np.zeros(3, np.uint8)):
         steps = fp.entropy_steps(data)
-        assert len(steps) == max(len(data) - 63, 0)
+        w = fp.WINDOW
+        assert len(steps) == max(len(data) - w + 1, 0)
         for s in range(len(steps)):
-            h = -sum(c / 64 * math.log2(c / 64) for c in Counter(data[s : s + 64].tolist()).values())
-            assert abs(steps[s] - h * 1000 / 6) <= 1.01
+            h = -sum(c / w * math.log2(c / w) for c in Counter(data[s : s + w].tolist()).values())
+            assert abs(steps[s] - h * 1000 / math.log2(w)) <= 1.01
     rows = [(3, "the quick brown fox jumps " * 40), (1, "".join(chr(97 + int(x)) for x in r.integers(0, 26, 3000))), (None, None), (2, ""), (4, "short"), (5, "".join(chr(200 + int(x)) for x in r.integers(0, 40, 900))), (5, "twice"), (6, "short")]
     got = fp.compare_with_next(frame(rows)).collect()
     order = sorted(((-(2**63) if i is None else i), t or "") for i, t in rows)
