@@ -97,7 +97,26 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_bpe": op10_bpe,
 }
 
+#: All pairs; for tables of the test's size.
+_VECTORS = r"""
+WITH RECURSIVE v AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS e, coalesce(len(embedding) > 0 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND len(list_filter(embedding, lambda x: x <> 0)) > 0, false) AS ok FROM embeddings),
+link AS (SELECT a.vec_id AS a, b.vec_id AS b FROM v a JOIN v b ON a.vec_id <> b.vec_id AND len(a.e) = len(b.e) WHERE a.ok AND b.ok AND list_cosine_similarity(a.e, b.e) >= 0.95),
+n AS (SELECT a AS vec_id, count(*) AS n FROM link GROUP BY a),
+reach AS (SELECT vec_id AS a, vec_id AS b FROM v UNION SELECT r.a, l.b FROM reach r JOIN link l ON l.a = r.b),
+c AS (SELECT a AS vec_id, min(b) AS component_id FROM reach GROUP BY a)
+SELECT vec_id, coalesce(n, 0) AS n_links, component_id, vec_id = component_id AS kept FROM c LEFT JOIN n USING (vec_id)"""
+_GROUPS = r"""
+WITH RECURSIVE w AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS words FROM documents),
+s AS (SELECT doc_id, list_distinct(list_transform(range(1, greatest(len(words) - 3, least(len(words), 1)) + 1), lambda k: array_to_string(words[k:k + 3], ' '))) AS items FROM w),
+x AS (SELECT doc_id, len(items) AS n, unnest(items) AS item FROM s),
+link AS (SELECT a.doc_id AS a, b.doc_id AS b FROM x a JOIN x b USING (item) WHERE a.doc_id <> b.doc_id GROUP BY ALL HAVING 100 * count(*) >= 85 * (any_value(a.n) + any_value(b.n) - count(*))),
+reach AS (SELECT doc_id AS a, doc_id AS b FROM s UNION SELECT r.a, l.b FROM reach r JOIN link l ON l.a = r.b),
+c AS (SELECT a AS doc_id, min(b) AS component_id FROM reach GROUP BY a)
+SELECT doc_id, len(items) AS n_shingles, component_id FROM s JOIN c USING (doc_id)"""
+
 ORACLES: dict[str, str] = {
+    "op2_embedding_neardup": _VECTORS,
+    "op6_ngram_join": _GROUPS,
     "op3_license_scan": license_scan.oracle(),
     "op9_preference": preference.oracle(),
 }
