@@ -98,6 +98,17 @@ def slices(batches: Iterator[pa.RecordBatch], rows: int = 2_500, size: int = 8_0
                 yield batch.slice(a, b - a)
 
 
+def small_batches(spark: SparkSession, rows: int = 2_000) -> None:
+    """Let Arrow batches of this session have at most so many rows.
+
+    Whole texts travel in them, and both sides of a Python worker hold some at a time; Spark's
+    10,000 rows can be hundreds of MB. It changes memory, not results.
+    """
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(key)) <= rows:
+        spark.conf.set(key, str(rows))
+
+
 def order_key(col) -> F.Column:
     """Ids as longs in which null is the smallest."""
     return F.coalesce(F.col(col) if isinstance(col, str) else col, F.lit(NULL_ID)).cast("long")

@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import id_of, order_key, slices, sliding_min, text_buffer, tidy
+from .common import id_of, order_key, slices, sliding_min, small_batches, text_buffer, tidy
 
 WINDOW = 32
 #: Windows among which the rarest gains popularity, and the popularity of a feature.
@@ -210,6 +210,7 @@ def fingerprint(docs: DataFrame, text_col: str = "text", rank: list[int] | None
     memory for a block and their features.
     """
     others = [c for c in docs.columns if c != "fingerprint"]
+    small_batches(docs.sparkSession)
     table = np.array(rank if rank is not None else rarity(docs, text_col), dtype=np.int64)
     rows = docs.select(F.struct(*(docs[c] for c in others)).alias("rest"), docs[text_col].cast("string").alias("text"))
     out = rows.mapInArrow(tidy(_fingerprints(table)), f"rest {rows.schema['rest'].dataType.simpleString()}, fingerprint string")
@@ -269,6 +270,7 @@ def compare_with_next(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     goes to the range before, too. Only ids are looked at for that.
     """
     spark = docs.sparkSession
+    small_batches(spark)
     rank = np.array(rarity(docs, text_col), dtype=np.int64)
     rows = docs.select(order_key(docs[id_col]).alias("ord"), F.coalesce(docs[text_col].cast("string"), F.lit("")).alias("text"))
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))

@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import components, materialize, order_key, release, slices, text_buffer, tidy
+from .common import components, materialize, order_key, release, slices, small_batches, text_buffer, tidy
 
 #: Bits of the parity sketches: the power of two over four times the set's size, within these.
 SKETCHES = 512, 65536
@@ -392,6 +392,7 @@ def _pair(df: DataFrame, other: DataFrame, cols: dict[str, str], key: str) -> Da
 def links(docs: DataFrame, words: int, percent: int, id_col: str, text_col: str) -> tuple[DataFrame, DataFrame]:
     """(documents as rows (ord, node, n), links between different sets that span all components)."""
     spark = docs.sparkSession
+    small_batches(spark)
     text = docs.select(order_key(docs[id_col]).alias("ord"), docs[text_col].cast("string").alias("text"))
     rows = text.count()
     counted = text.select("text").mapInArrow(tidy(_count_common(words)), "token long, n long").groupBy("token").agg(F.sum("n").alias("n"))

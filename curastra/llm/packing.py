@@ -28,7 +28,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 
 from .bpe import byte_letters
-from .common import MEMOS, id_of, order_key, slices, tidy
+from .common import MEMOS, id_of, order_key, slices, small_batches, tidy
 
 #: Windows that are filled together.
 GROUP = 320
@@ -284,6 +284,7 @@ def pack(docs: DataFrame, vocabulary: str, capacity: int = 2048, end_id: int = 1
     ``remembered`` words are known to a worker at a time (some 200 bytes each); it changes
     the time, not the result. Very long texts are encoded in parts, cut at spaces.
     """
+    small_batches(docs.sparkSession)
     rows = docs.select(order_key(docs[id_col]).alias("ord"), docs[text_col].cast("string").alias("text"))
     kinds = "ord long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, ids array<int>"
     out = rows.mapInArrow(tidy(_pack(vocabulary, capacity, end_id, with_ids, remembered), "packing"), kinds)

@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize, slices, text_buffer, tidy
+from .common import materialize, slices, small_batches, text_buffer, tidy
 
 _WORD = re.compile(r"[^\W_]+|[^\w\s]")
 
@@ -269,6 +269,7 @@ def train(docs: DataFrame, labels: DataFrame, settings: Settings = Settings(), i
     other documents with an id can get pseudo-labels. Of repeated ids one row is trained on:
     the smallest by words and metadata. Texts of any length are seen whole.
     """
+    small_batches(docs.sparkSession)
     columns = [c for c in categories if c in docs.columns]
     known = labels.select(labels[id_col].alias("id"), labels[label_col].cast("double").alias("y")).where("id is not null and y is not null").groupBy("id").agg(F.max("y").alias("y"))
     rows = docs.select(docs[id_col].alias("id"), F.xxhash64(docs[id_col]).alias("h"), F.coalesce(docs[text_col].cast("string"), F.lit("")).alias("text"), *(docs[c].cast("string").alias(c) for c in columns)).where("id is not null")
@@ -317,6 +318,7 @@ def classify(docs: DataFrame, model: Model | None, text_col: str = "text") -> Da
     no model (nothing to learn from) scores are null and all rows are accepted. Input columns
     with those names are replaced; repeated rows each get a row; no shuffle.
     """
+    small_batches(docs.sparkSession)
     new = {"text_score": "double", "meta_score": "double", "score": "double", "accepted": "boolean"}
     others = [c for c in docs.columns if c not in new]
     if model is None:

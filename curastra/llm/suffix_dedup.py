@@ -36,7 +36,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import id_of, materialize, order_key, release, slices, sliding_min, text_buffer, tidy
+from .common import id_of, materialize, order_key, release, slices, sliding_min, small_batches, text_buffer, tidy
 
 #: Bytes of a trigger window; five doublings of the rolling hash.
 TRIGGER = 32
@@ -391,6 +391,7 @@ def _by_string(length: int):
 
 def repeats(docs: DataFrame, length: int = 100, id_col: str = "doc_id", text_col: str = "text", crowded: int = CROWDED) -> DataFrame:
     """Runs of string starts that also start earlier: rows (ord, tag, meta), see ``_pack``."""
+    small_batches(docs.sparkSession)
     keyed = _keyed(docs, id_col, text_col)
     parse = keyed.mapInArrow(tidy(_parse(length, _hot_buckets(keyed, length))), _PARSE)
     sorted_ = parse.repartition("g").sortWithinPartitions("g", "e", "ord", "meta", "tag")
