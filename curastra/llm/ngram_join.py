@@ -40,6 +40,8 @@ MINI = 512
 #: (mean shingles of a document) / COMMON such shingles, whatever the number of documents:
 #: 8 bytes each, 20 MB for documents of 500 words that share nothing else.
 COMMON = 1 / 5000
+#: Documents (of up to 500 shingles in the mean) whose shingles are counted together.
+COUNTED = 10_000
 #: How far neighbours in an index list are looked at in the first walk.
 REACH = 8
 #: Bytes of text hashed at a time, index rows walked at a time.
@@ -117,19 +119,30 @@ def shingle_sets(raw, start, size, words: int) -> Iterator[tuple[int, np.ndarray
 
 
 def _count_common(words: int):
+    """(token, n): how many of each ``COUNTED`` documents have a shingle, where it is more than one."""
+
+    def counted(sets: list[np.ndarray]) -> pa.RecordBatch:
+        least = max(2, len(sets) * COMMON / 2)
+        token = np.concatenate(sets)
+        sets.clear()
+        token.sort()  # in place: the tokens are much of a worker's memory
+        start = np.flatnonzero(np.append(True, token[1:] != token[:-1]))
+        n = np.diff(np.append(start, len(token)))
+        keep = n >= least
+        return pa.RecordBatch.from_arrays([pa.array(token[start[keep]].astype(np.int64)), pa.array(n[keep])], names=["token", "n"])
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            sets = [s for _, s in shingle_sets(*text_buffer(batch.column("text")), words)]
-            if not sets:
-                continue
-            least = max(2, len(sets) * COMMON / 2)
-            token = np.concatenate(sets)
-            del sets
-            token.sort()  # in place: the tokens of a batch are much of a worker's memory
-            start = np.flatnonzero(np.append(True, token[1:] != token[:-1]))
-            n = np.diff(np.append(start, len(token)))
-            keep = n >= least
-            yield pa.RecordBatch.from_arrays([pa.array(token[start[keep]].astype(np.int64)), pa.array(n[keep])], names=["token", "n"])
+        held: list[np.ndarray] = []
+        size = 0
+        for batch in slices(batches):
+            for _, s in shingle_sets(*text_buffer(batch.column("text")), words):
+                held.append(s)
+                size += len(s)
+            if len(held) >= COUNTED or size >= 500 * COUNTED:
+                yield counted(held)
+                size = 0
+        if held:
+            yield counted(held)
 
     return run
 
