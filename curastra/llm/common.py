@@ -14,6 +14,8 @@ import gc
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
+from contextlib import contextmanager
+from contextvars import ContextVar
 
 import numpy as np
 import pandas as pd
@@ -38,10 +40,28 @@ def shared_dir(spark: SparkSession) -> str:
     return named.rstrip("/")
 
 
-def materialize(df: DataFrame, tag: str) -> DataFrame:
+#: Folder of the steps of the operator at work, if that deletes them in the end.
+_SCRATCH: ContextVar[str | None] = ContextVar("scratch", default=None)
+
+
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[None]:
+    """Tables that are materialized in here go when it ends, but for those with ``lasting``."""
+    path = f"{shared_dir(spark)}/scratch-{uuid.uuid4().hex}"
+    token = _SCRATCH.set(path)
+    try:
+        yield
+    finally:
+        _SCRATCH.reset(token)
+        where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+        where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
+
+
+def materialize(df: DataFrame, tag: str, lasting: bool = False) -> DataFrame:
     """Write ``df`` to the shared folder and return a DataFrame that reads it back."""
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/{tag}-{uuid.uuid4().hex}"
+    root = None if lasting else _SCRATCH.get()
+    path = f"{root or shared_dir(spark)}/{tag}-{uuid.uuid4().hex}"
     schema = df.schema
     df.write.parquet(path)
     return spark.read.schema(schema).parquet(path)

@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import components, materialize, order_key, release, slices, small_batches, text_buffer, tidy
+from .common import components, materialize, order_key, release, scratch, slices, small_batches, text_buffer, tidy
 
 #: Bits of the parity sketches: the power of two over four times the set's size, within these.
 SKETCHES = 512, 65536
@@ -493,9 +493,11 @@ def similar_groups(docs: DataFrame, words: int = 5, percent: int = 80, id_col: s
     text has an empty set and links with nothing. A null id is smaller than all others and
     gives a null ``component_id`` to its group. Repeated rows each get a row.
     """
-    member, label = links(docs, words, percent, id_col, text_col)
-    named = member.join(label, "node", "left").select("ord", "n", F.coalesce("comp", "node").alias("comp"))
-    named = materialize(named, "members")
+    with scratch(docs.sparkSession):
+        member, label = links(docs, words, percent, id_col, text_col)
+        named = member.join(label, "node", "left").select("ord", "n", F.coalesce("comp", "node").alias("comp"))
+        named = materialize(named, "members", lasting=True)
+    release(docs.sparkSession)
     least = named.where("comp is not null").groupBy("comp").agg(F.min("ord").alias("least"))
     out = named.join(least, "comp", "left").select("ord", "n", F.coalesce("least", "ord").alias("least"))
     null = F.lit(-(2**63))

@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize, slices, small_batches, text_buffer, tidy
+from .common import materialize, scratch, slices, small_batches, text_buffer, tidy
 
 _WORD = re.compile(r"[^\W_]+|[^\w\s]")
 
@@ -270,6 +270,11 @@ def train(docs: DataFrame, labels: DataFrame, settings: Settings = Settings(), i
     the smallest by words and metadata. Texts of any length are seen whole.
     """
     small_batches(docs.sparkSession)
+    with scratch(docs.sparkSession):
+        return _trained(docs, labels, settings, id_col, text_col, label_col, categories)
+
+
+def _trained(docs: DataFrame, labels: DataFrame, settings: Settings, id_col: str, text_col: str, label_col: str, categories: tuple[str, ...]) -> Model | None:
     columns = [c for c in categories if c in docs.columns]
     known = labels.select(labels[id_col].alias("id"), labels[label_col].cast("double").alias("y")).where("id is not null and y is not null").groupBy("id").agg(F.max("y").alias("y"))
     rows = docs.select(docs[id_col].alias("id"), F.xxhash64(docs[id_col]).alias("h"), F.coalesce(docs[text_col].cast("string"), F.lit("")).alias("text"), *(docs[c].cast("string").alias(c) for c in columns)).where("id is not null")
