@@ -34,8 +34,8 @@ NEIGHBOURS, POPULAR = 32, 8
 BITS, PROBES, FEATURES = 2048, 5, 160
 #: Entropies are told apart to so many steps.
 STEPS = 1000
-#: Bytes of text worked on at a time.
-BLOCK = 500_000
+#: Bytes of text worked on at a time; about those of a range of documents in ``compare_with_next``.
+BLOCK, RANGE = 500_000, 64_000_000
 
 _M = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9)]
 
@@ -104,10 +104,18 @@ def _histogram(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     yield pa.RecordBatch.from_arrays([pa.array(np.arange(STEPS + 1)), pa.array(count)], names=["step", "n"])
 
 
+def _steps(docs: DataFrame, text_col: str) -> dict[int, int]:
+    """How many windows of all documents have each entropy step."""
+    counted = docs.select(docs[text_col].cast("string").alias("text")).mapInArrow(tidy(_histogram), "step long, n long").groupBy("step").agg(F.sum("n").alias("n"))
+    return dict.fromkeys(range(STEPS + 1), 0) | {r.step: r.n for r in counted.collect()}  # STEPS + 1 rows
+
+
 def rarity(docs: DataFrame, text_col: str = "text") -> list[int]:
     """Rank of each entropy step, 0 for the rarest over all windows of all documents."""
-    counted = docs.select(docs[text_col].cast("string").alias("text")).mapInArrow(tidy(_histogram), "step long, n long").groupBy("step").agg(F.sum("n").alias("n"))
-    n = dict.fromkeys(range(STEPS + 1), 0) | {r.step: r.n for r in counted.collect()}  # STEPS + 1 rows
+    return _ranked(_steps(docs, text_col))
+
+
+def _ranked(n: dict[int, int]) -> list[int]:
     order = sorted(n, key=lambda s: (n[s], s))
     rank = [0] * (STEPS + 1)
     for r, s in enumerate(order):
@@ -266,14 +274,18 @@ def compare_with_next(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     ``edited_fingerprint``, ``near_edited`` and ``near_next``; a null text is empty; the only
     document of a table is its own next; an empty table gives no row.
 
-    Ids are cut into ranges; texts are shuffled once, by range, and each range's first row
-    goes to the range before, too. Only ids are looked at for that.
+    Ids are cut into ranges of about ``RANGE`` bytes of text, a task each, so that tasks don't
+    grow with the table; there are as many as shuffle partitions at least. Texts are shuffled
+    once, by range, and each range's first row goes to the range before, too. Only ids are looked
+    at for that. The driver holds a few numbers for each range.
     """
     spark = docs.sparkSession
     small_batches(spark)
-    rank = np.array(rarity(docs, text_col), dtype=np.int64)
+    windows = _steps(docs, text_col)
+    rank = np.array(_ranked(windows), dtype=np.int64)
     rows = docs.select(order_key(docs[id_col]).alias("ord"), F.coalesce(docs[text_col].cast("string"), F.lit("")).alias("text"))
-    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    size = sum(windows.values()) + WINDOW * rows.count()  # bytes of all texts, rather too many
+    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-size // RANGE))
     cuts = rows.stat.approxQuantile("ord", [i / parts for i in range(1, parts)], 1 / (4 * parts)) if parts > 1 else []
     cuts = sorted({int(c) for c in cuts})
     bound = F.array(*(F.lit(c) for c in cuts)) if cuts else F.array().cast("array<long>")
@@ -284,6 +296,6 @@ def compare_with_next(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     placed = rows.withColumn("bucket", bucket).join(F.broadcast(back), "ord", "left")
     to = F.array_compact(F.array(F.struct(F.col("bucket").alias("bucket"), F.lit(0).alias("ahead")), F.when(F.col("back").isNotNull(), F.struct(F.col("back").alias("bucket"), F.lit(1).alias("ahead")))))
     dealt = placed.withColumn("to", F.explode(to)).select("to.bucket", "to.ahead", "ord", "text")
-    dealt = dealt.repartition(max(len(heads), 1), "bucket").sortWithinPartitions("bucket", "ahead", "ord", "text")
+    dealt = dealt.repartitionById(len(cuts) + 1, F.col("bucket")).sortWithinPartitions("bucket", "ahead", "ord", "text")
     kinds = "ord long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double"
     return dealt.mapInArrow(tidy(_compare(rank)), kinds).withColumn("ord", id_of("ord")).withColumnRenamed("ord", id_col)

@@ -127,6 +127,16 @@ def test_entropy_and_fingerprints(frame):
     assert alone.near_next == 1.0 and fp.compare_with_next(frame([])).count() == 0
 
 
+def test_ranges_grow_in_number_with_the_text(frame, monkeypatch):
+    df = frame([(i, f"{i} " * 200) for i in range(60)])
+    want = sorted(map(tuple, fp.compare_with_next(df).collect()))
+    monkeypatch.setattr(fp, "RANGE", 2_000)
+    out = fp.compare_with_next(df)
+    size = sum(map(len, (f"{i} " * 200 for i in range(60))))
+    assert out.rdd.getNumPartitions() >= min(60, size // 2_000) // 2 > 4
+    assert sorted(map(tuple, out.collect())) == want
+
+
 def test_licences_against_a_plain_scan(frame):
     import re
 
