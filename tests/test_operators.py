@@ -142,6 +142,25 @@ def test_resolve_with_classes(spark, seed, cap):
     for j in range(90):
         found = [(len(set(sets[i]) & set(sets[j])) / len(set(sets[i]) | set(sets[j])) if sets[i] or sets[j] else 1.0, -i) for i in accepted if (i, j) in near]
         assert best.get(j) == ((-max(found)[1], round(max(found)[0], 9)) if found else None)
+    best = {x.seq: (x.nearest, round(x.score, 9)) for x in similarity.nearest_accepted(members, pairs, out.where("accepted"), sets=distinct).collect()}
+    for j in range(90):
+        scored = [(len(set(sets[i]) & set(sets[j])) / len(set(sets[i]) | set(sets[j])) if sets[i] or sets[j] else 1.0, -i) for i in accepted if i < j]
+        found = [x for x in scored if x[0] > 0]
+        assert best.get(j) == ((-max(found)[1], round(max(found)[0], 9)) if found else None)
+
+
+def test_nearest_below_the_threshold(spark):
+    r = random.Random(8)
+    sets = [sorted(r.sample(range(60), r.randint(0, 12))) for _ in range(50)]
+    members, distinct = similarity.classes(spark.createDataFrame([(i, list(map(str, s))) for i, s in enumerate(sets)], "seq long, tokens array<string>"))
+    pairs = components.stored(similarity.edges(distinct, 0.88))
+    out = similarity.resolve(spark.createDataFrame([(i, i % 3 > 0) for i in range(50)], "seq long, ok boolean"), [(members, pairs)])
+    accepted = {x.seq for x in out.where("accepted").collect()}
+    got = {x.seq: (x.nearest, round(x.score, 9)) for x in similarity.nearest_accepted(members, pairs, out.where("accepted"), sets=distinct).collect()}
+    for j, own in enumerate(map(set, sets)):
+        scored = [(len(own & set(sets[i])) / len(own | set(sets[i])) if own or sets[i] else 1.0, -i) for i in accepted if i < j]
+        best = max(scored, default=(0, 0))
+        assert got.get(j) == ((-best[1], round(best[0], 9)) if best[0] > 0 else None)
 
 
 def test_rejected_rows_shadow_nobody(spark):
