@@ -11,16 +11,28 @@ def row_digest(rows: DataFrame) -> Column:
     return F.sha2(F.to_json(F.struct(*sorted(rows.columns)), {"ignoreNullFields": "false"}), 256)
 
 
-def dataset_digest(rows: DataFrame, buckets: int = 4096) -> DataFrame:
+#: Characters by which buckets of digests are folded: 4096 into one.
+FOLD = 3
+
+
+def dataset_digest(rows: DataFrame, per_bucket: int = 65_536) -> DataFrame:
     """One row: ``n`` and ``digest`` of the rows as a multiset, whatever their order.
 
-    Row digests are sorted and hashed within buckets of their first characters; the digest is
-    that of the buckets' digests in order. A bucket has its share of the rows only.
+    Row digests are sorted and hashed within buckets of their first characters: three, or as many
+    threes as leave ``per_bucket`` rows to a bucket. Then 4096 buckets at a time are folded to the
+    digest of their digests in order, until one is left. So no task holds more than a bucket or a
+    fold, and the digest depends on the rows and their number only.
     """
-    width = max(1, (buckets - 1).bit_length() // 4)
+    n, width = rows.count(), FOLD
+    while n > per_bucket * 16**width:
+        width += FOLD
     each = rows.select(row_digest(rows).alias("d")).withColumn("b", F.substring("d", 1, width))
     part = each.groupBy("b").agg(F.count("*").alias("n"), F.sha2(F.array_join(F.array_sort(F.collect_list("d")), "\n"), 256).alias("d"))
-    return part.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"), F.sha2(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("b", "d"))), lambda x: x["d"]), "\n"), 256).alias("digest"))
+    folded = F.sha2(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("b", "d"))), lambda x: x["d"]), "\n"), 256)
+    while width > FOLD:
+        width -= FOLD
+        part = part.groupBy(F.substring("b", 1, width).alias("to")).agg(F.sum("n").alias("n"), folded.alias("d")).withColumnRenamed("to", "b")
+    return part.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"), folded.alias("digest"))
 
 
 def file_digests(spark, paths: list[str]) -> DataFrame:

@@ -1,3 +1,4 @@
+import hashlib
 import random
 
 import pytest
@@ -218,7 +219,6 @@ def test_components_on_random_graphs(spark):
 
 
 def test_round_robin(spark):
-    import hashlib
 
     r = random.Random(2)
     rows = [(i, r.choice("xy"), r.choice("abcd")) for i in range(70)]
@@ -277,6 +277,14 @@ def test_freeze(spark):
     one = freeze.dataset_digest(df).first()
     assert one.n == 3 and one == freeze.dataset_digest(df.orderBy(F.desc("id"))).first()
     assert one != freeze.dataset_digest(df.distinct()).first() and freeze.dataset_digest(df.limit(0)).first().n == 0
+    many = spark.range(5000)
+    each = sorted(hashlib.sha256(f'{{"id":{i}}}'.encode()).hexdigest() for i in range(5000))
+    for width in (6, 3, 0):  # over 16 ** 3 rows, so buckets of six characters
+        groups = {}
+        for d, b in zip(each, [x[:width] for x in each] if width == 6 else [b[:width] for b in names], strict=True):
+            groups.setdefault(b, []).append(d)
+        names, each = list(groups), [hashlib.sha256("\n".join(g).encode()).hexdigest() for g in groups.values()]
+    assert tuple(freeze.dataset_digest(many, per_bucket=1).first()) == (5000, each[0])
     old = spark.createDataFrame([("a", "1"), ("b", "2")], "path string, sha256 string")
     freeze.verify(old, old)
     with pytest.raises(ValueError, match="mismatch: audits, b"):
@@ -409,7 +417,6 @@ def test_extraction_and_review_stages(spark):
 
 
 def test_first_version_is_a_sequential_pass(spark):
-    import hashlib
     import re
 
     r = random.Random(21)
