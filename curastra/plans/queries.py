@@ -95,25 +95,6 @@ def integrity_checks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return gates.violations(docs, ("id", F.col("doc_id").isNotNull()), ("length", F.length("text") == F.col("n_chars")))
 
 
-def _inline(spark: SparkSession, rows: list, schema: str) -> DataFrame:
-    return spark.createDataFrame(rows, schema)
-
-
-_REPOS = [("a", True, "MIT", True, "build", 0, 0, 5, False, None), ("b", False, None, False, None, None, None, 0, False, None), ("c", True, "GPL-3.0", True, "build", 0, 0, 9, False, None), ("d", True, "MIT", False, None, None, None, 0, False, None), ("e", True, "MIT", True, None, None, None, 0, False, None), ("f", True, "MIT", True, "build", 1, None, 0, False, None), ("g", True, "MIT", True, "build", 0, 2, 0, False, None), ("h", True, "MIT", True, "build", 0, 0, 1, False, None), ("i", True, "MIT", True, "build", None, None, 0, True, None), ("j", True, "MIT", True, "build", 0, None, 0, False, "boom")]
-_REPO_REASONS = [None, "LICENSE_MISSING", "LICENSE_NOT_ALLOWED_OR_AMBIGUOUS", "PACKAGE_JSON_MISSING", "BUILD_SCRIPT_MISSING", "INSTALL_FAILED", "BUILD_FAILED", "INSUFFICIENT_TYPESCRIPT_GAME_CODE", "TIMEOUT", "PROCESSING_ERROR"]
-
-
-@query("VALUES " + ", ".join(f"('{r[0]}', {'NULL' if x is None else repr(x)})" for r, x in zip(_REPOS, _REPO_REASONS, strict=True)))
-def repository_gates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    names = ["has_license", "spdx", "has_package", "build_script", "install_exit", "build_exit", "files", "timed_out", "error"]
-    kinds = "repo string, has_license boolean, spdx string, has_package boolean, build_script string, install_exit int, build_exit int, files int, timed_out boolean, error string"
-    rows = _inline(spark, _REPOS, kinds)
-    return rows.select("repo", gates.repository_reason(*map(F.col, names)).alias("reason"))
-
-
-ORACLES["repository_gates"] = f"SELECT col0 AS repo, col1 AS reason FROM ({ORACLES['repository_gates']})"
-
-
 # --- joins -------------------------------------------------------------------------------
 
 
@@ -456,15 +437,6 @@ def code_units(spark: SparkSession, sf_dir: str) -> DataFrame:
     return code.extract_units(_scripts(spark, sf_dir).select("page_id", "text"))
 
 
-_REVIEWS = [(1, 'x {"alignment":"PASS","granularity_match":"pass","solvability":"fail","reason":"r"} y'), (2, '"alignment": "pass", "granularity_match": "Pass", "solvability": "pass", "reason": "cut'), (3, '"alignment": "pass", "granularity_match": "pass"'), (4, '{"alignment":"pass|fail","granularity_match":"pass","solvability":"pass"}'), (5, "nothing"), (6, '```json\n{"alignment":"pass","granularity_match":"pass","solvability":"pass","reason":""}\n```')]
-
-
-@query("SELECT * FROM (VALUES (1, 'pass', 'pass', 'fail', 'json', true), (2, 'pass', 'pass', 'pass', 'recovered_explicit_labels', true), (3, 'invalid', 'invalid', 'invalid', 'invalid', false), (4, 'pass|fail', 'pass', 'pass', 'json', false), (5, 'invalid', 'invalid', 'invalid', 'invalid', false), (6, 'pass', 'pass', 'pass', 'json', true)) t(id, alignment, granularity_match, solvability, parse_mode, parse_valid)")
-def review_parse(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = _inline(spark, _REVIEWS, "id int, raw string").select("id", records.parse_review(F.col("raw")).alias("r"))
-    return rows.select("id", "r.alignment", "r.granularity_match", "r.solvability", "r.parse_mode", "r.parse_valid")
-
-
 @query("SELECT regexp_extract(url, '://([^/?#]*)', 1) AS repo, count(*) AS eligible_files, sum(length(html))::BIGINT AS source_bytes FROM pages GROUP BY 1")
 def file_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = table(spark, sf_dir, "pages").select(F.regexp_extract("url", "://([^/?#]*)", 1).alias("repo"), F.length("html").alias("length"))
@@ -481,14 +453,6 @@ def audit_decisions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows_of.apply_decisions(docs, told, "doc_id").select("doc_id", "review.alignment", "review.granularity_match", "review.decision")
 
 
-_CALLS = [(1, '{"tool":"read_file","path":"a"}'), (2, '{"tool":"read_file","path":"a","x":1}'), (3, '{"tool":"run_command","command":"node","args":["x"],"timeoutMs":30001}'), (4, '{"tool":"run_command","command":"node","args":["x"]}'), (5, "no")]
-
-
-@query("SELECT * FROM (VALUES (1, true), (2, false), (3, false), (4, true), (5, false)) t(id, valid)")
-def tool_calls(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _inline(spark, _CALLS, "id int, call string").select("id", records.valid_tool_call(F.col("call")).alias("valid"))
-
-
 @query("SELECT doc_id, list_sort(list_distinct([CASE WHEN contains(text, chr(10)) THEN 'LINES' END, CASE WHEN n_chars > 1000 THEN 'LONG' END]))[1] AS first_reason FROM documents")
 def first_reason(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = gates.sorted_reasons(gates.reasons(("LINES", F.col("text").contains("\n")), ("LONG", F.col("n_chars") > 1000)))
