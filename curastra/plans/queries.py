@@ -89,10 +89,12 @@ def reason_histogram(spark: SparkSession, sf_dir: str) -> DataFrame:
     return gates.histogram(rows.select(F.concat("reasons", more).alias("reasons")))
 
 
-@query("SELECT CASE WHEN n_chars < 0 THEN 1 END AS n, NULL::VARCHAR AS \"check\" FROM documents WHERE false")
+@query("""WITH v AS (SELECT count(*) FILTER (doc_id IS NULL) AS id, count(*) FILTER (length(text) <> n_chars) AS length, count(*) FILTER (n_chars > 1000) AS short, count(*) FILTER (NOT contains(text, 'the')) AS word FROM documents)
+SELECT * FROM (SELECT unnest(['id', 'length', 'short', 'word']) AS "check", unnest([id, length, short, word]) AS n FROM v) WHERE n > 0""")
 def integrity_checks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Checks of documents that some break, with how many do; the first two hold in good data."""
     docs = table(spark, sf_dir, "documents")
-    return gates.violations(docs, ("id", F.col("doc_id").isNotNull()), ("length", F.length("text") == F.col("n_chars")))
+    return gates.violations(docs, ("id", F.col("doc_id").isNotNull()), ("length", F.length("text") == F.col("n_chars")), ("short", F.col("n_chars") <= 1000), ("word", F.col("text").contains("the")))
 
 
 # --- joins -------------------------------------------------------------------------------
@@ -476,7 +478,29 @@ def freeze_mismatches(spark: SparkSession, sf_dir: str) -> DataFrame:
     return freeze.mismatches(docs.select("path", "sha256"), now, {"samples": 3, "audits": 2}, {"samples": 4, "audits": 2})
 
 
-@query()
+_TOLD = "'In src/a.ts write play so that it moves every card. ' || text || '.'"
+_CODE = r"trim(regexp_replace(regexp_replace(text, '//.*|/\*(.|\n)*?\*/', '', 'g'), '\s+', ' ', 'g'))"
+
+
+def _alike(name: str, tokens: str, threshold: float) -> str:
+    """CTEs with the pairs (l, r) of documents whose ``tokens`` reach the threshold, as ``name``."""
+    return f"""{name}_s AS (SELECT doc_id, len(t) AS n, unnest(t) AS w FROM (SELECT doc_id, {_TOKENS.format(tokens)} AS t FROM documents)),
+{name} AS (SELECT a.doc_id AS l, b.doc_id AS r FROM {name}_s a JOIN {name}_s b ON a.w = b.w AND a.doc_id < b.doc_id AND least(a.n, b.n) >= {threshold} * greatest(a.n, b.n)
+  GROUP BY a.doc_id, b.doc_id HAVING count(*) >= {threshold} * (any_value(a.n) + any_value(b.n) - count(*)))"""
+
+
+@query(f"""WITH RECURSIVE {_alike("target", _CODE, curation.TARGET_NEAR)}, {_alike("told", _TOLD, curation.INSTRUCTION_NEAR)},
+i AS (SELECT doc_id, source, quality, {_TOLD} AS text FROM documents LEFT JOIN labels USING (doc_id)),
+j AS (SELECT doc_id, source, list_filter([{_GATES}, CASE WHEN quality IS NULL THEN 'STRONG_REVIEW_MISSING' WHEN quality = 0 THEN 'STRONG_REVIEW_BEHAVIOR' END], lambda r: r IS NOT NULL) AS why FROM i),
+p AS (SELECT doc_id, source, row_number() OVER (ORDER BY doc_id) AS k, coalesce((SELECT list(l) FROM target WHERE r = doc_id), []) || coalesce((SELECT list(l) FROM told WHERE r = doc_id), []) AS near FROM j WHERE len(why) = 0),
+g(k, kept, held) AS (SELECT 0::BIGINT, CAST([] AS BIGINT[]), CAST([] AS VARCHAR[]) UNION ALL
+  SELECT p.k, CASE WHEN free THEN list_append(kept, doc_id) ELSE kept END, CASE WHEN free THEN list_append(held, source) ELSE held END
+  FROM (SELECT p.*, g.kept, g.held, len(list_intersect(g.kept, p.near)) = 0 AND len(list_filter(g.held, lambda f: f = p.source)) < {curation.PER_FAMILY} AS free FROM g JOIN p ON p.k = g.k + 1) p),
+x AS (SELECT doc_id, source FROM (SELECT unnest(kept) AS doc_id, unnest(held) AS source FROM g WHERE k = (SELECT count(*) FROM p))),
+y AS (SELECT doc_id, list_sort(list_distinct(list_filter(why || [
+  CASE WHEN doc_id IN (SELECT r FROM target WHERE l IN (SELECT doc_id FROM x)) THEN 'TARGET_NEAR_DUPLICATE' END, CASE WHEN doc_id IN (SELECT r FROM told WHERE l IN (SELECT doc_id FROM x)) THEN 'INSTRUCTION_NEAR_DUPLICATE' END,
+  CASE WHEN (SELECT count(*) FROM x WHERE x.source = j.source AND x.doc_id < j.doc_id) >= {curation.PER_FAMILY} THEN 'FAMILY_SAMPLE_CAP' END], lambda r: r IS NOT NULL))) AS why FROM j)
+SELECT 'u' || doc_id AS sample_id, CASE WHEN len(why) = 0 THEN 'accepted' ELSE 'rejected' END AS status, array_to_string(why, ',') AS reasons FROM y""")
 def curated_samples(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The last stage over documents as units, with the labels as reviews."""
     docs = table(spark, sf_dir, "documents").join(table(spark, sf_dir, "labels"), "doc_id", "left")

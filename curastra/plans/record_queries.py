@@ -7,12 +7,16 @@ expressed twice, by the library's functions and in SQL.
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import code, records, text
-from ..operators import chat, gates, joins
+from ..operators import chat, gates, integrity, joins, metrics, ordering
 from ..operators import records as rows_of
+from ..operators.components import shared_folder
+from ..sources import jsonl, sinks
 from .queries import _GATES, _TOKENS, _quote, query, table
 
 
@@ -388,3 +392,115 @@ def name_union(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Union and distinct over three columns."""
     docs, turns = table(spark, sf_dir, "documents"), table(spark, sf_dir, "conversations")
     return docs.select(F.col("source").alias("name")).unionByName(docs.select(F.col("lang").alias("name"))).unionByName(turns.select(F.col("role").alias("name"))).distinct()
+
+
+_SAMPLE = Fields(
+    known=pick(9, "NULL", "'c2'", otherwise="'c1'"),
+    granularity=pick(7, "'G3'", otherwise="'G1'"),
+    role=pick(5, "'user'", otherwise="'assistant'"),
+    text="text",
+    shown=pick(6, "text || 'x'", otherwise="text"),
+    solvability=pick(8, "'fail'", "NULL", otherwise="'pass'"),
+    status=pick(4, "'accepted'", otherwise="'rejected'"),
+    why=pick(3, "''", "NULL", otherwise="'[\"INSTRUCTION_LENGTH\"]'"),
+)
+
+
+@query(f"""WITH r AS ({_SAMPLE.sql}), c AS (SELECT count(*) FILTER (known IS NULL) AS a, count(*) FILTER (known IS DISTINCT FROM 'c1') AS b, count(*) FILTER (granularity = 'G3') AS c, count(*) FILTER (role = 'user' OR trim(shown) = '') AS d,
+  count(*) FILTER (shown <> text) AS e, count(*) FILTER (solvability IS DISTINCT FROM 'pass') AS f, count(*) FILTER (status = 'accepted') AS g, count(*) FILTER (why IS NULL OR why = '') AS h FROM r),
+n AS (SELECT unnest(['known repository', 'commit', 'granularity', 'messages', 'target digest']) AS "check", unnest([a, b, c, d, e]) AS n, a, f, g, h FROM c)
+SELECT * FROM (SELECT true AS accepted, "check", n FROM n UNION ALL SELECT false, "check", n FROM n UNION ALL SELECT true, 'solvability', f FROM c UNION ALL SELECT false, 'status', g FROM c UNION ALL SELECT false, 'reasons', h FROM c) WHERE n > 0""")
+def sample_integrity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Integrity checks of accepted and rejected samples that a sample for each document breaks."""
+    c = F.col
+    one = F.struct(F.lit("user").alias("role"), F.lit("task").alias("content"))
+    messages = F.array(one, F.struct("role", c("shown").alias("content")))
+    quality = F.struct(F.lit("pass").alias("alignment"), F.lit("pass").alias("granularity_match"), "solvability")
+    metadata = F.struct(F.lit("c1").alias("source_commit"), "granularity", quality.alias("quality"), "status", c("why").alias("rejection_reasons"))
+    rows = _SAMPLE.rows(spark, sf_dir).select(c("known").alias("commit_sha"), messages.alias("messages"), F.struct(text.portable_digest(c("text")).alias("content_sha256")).alias("target"), metadata.alias("metadata"))
+    found = [gates.violations(rows, *integrity.sample_checks(accepted)).select(F.lit(accepted).alias("accepted"), "check", "n") for accepted in (True, False)]
+    return found[0].unionByName(found[1])
+
+
+_EVALUATION = Fields(
+    passed="doc_id % 2 = 0",
+    build_pass=pick(3, "true", "false", otherwise="NULL"),
+    functional_pass=pick(5, "false", otherwise="true"),
+    files_valid=pick(7, "false", otherwise="true"),
+    build_artifact_matches=pick(4, "false", otherwise="true"),
+    logic_passed=pick(11, "false", otherwise="true"),
+    ui_passed=pick(5, "false", otherwise="true"),
+    launch_passed=pick(13, "false", otherwise="true"),
+    visual_passed=pick(8, "false", otherwise="true"),
+)
+
+
+@query(f"""WITH r AS ({_EVALUATION.sql}) SELECT doc_id, passed, coalesce(build_pass, files_valid AND build_artifact_matches) AS build_pass,
+  CASE WHEN build_pass IS NULL THEN logic_passed AND ui_passed AND launch_passed ELSE functional_pass END AS functional_pass, CASE WHEN build_pass IS NULL THEN visual_passed END AS visual_pass FROM r""")
+def evaluations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Evaluations of both shapes, one for each document, brought into one."""
+    rows = _EVALUATION.rows(spark, sf_dir).select("doc_id", F.struct(*_EVALUATION.expressions).alias("e"))
+    return rows.select("doc_id", metrics.normalized_evaluation(F.col("e")).alias("n")).select("doc_id", "n.*")
+
+
+_GROUPS, _KEPT = 3, 9
+
+
+def _seen_sql() -> str:
+    """One CTE for each group in order, as each depends on those before."""
+    rows = f"u AS (SELECT doc_id, doc_id % {_GROUPS} AS g, lang || (n_chars % 40) AS d, n_chars FROM documents)"
+    steps, before = [rows], "SELECT NULL AS d WHERE false"
+    for g in range(_GROUPS):
+        steps.append(f"k{g} AS (SELECT * FROM u WHERE g = {g} AND d NOT IN (SELECT d FROM ({before})) ORDER BY n_chars DESC, doc_id LIMIT {_KEPT})")
+        before += f" UNION ALL SELECT d FROM k{g}"
+    return f"WITH {', '.join(steps)} " + " UNION ALL ".join(f"SELECT doc_id, g, d FROM k{g}" for g in range(_GROUPS))
+
+
+@query(_seen_sql())
+def first_seen_units(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Groups of documents worked through in order with one set of seen digests; a top few of each group."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", (F.col("doc_id") % _GROUPS).alias("g"), F.concat("lang", (F.col("n_chars") % 40).cast("string")).alias("d"), "n_chars")
+    return ordering.first_seen_across(docs, "g", "d", _KEPT, F.col("n_chars").desc(), F.col("doc_id")).select("doc_id", "g", "d")
+
+
+# --- files -------------------------------------------------------------------------------
+
+
+def _written(rows: DataFrame, name: str) -> str:
+    """A new folder of JSON lines in the shared folder."""
+    path = f"{shared_folder(rows.sparkSession)}/{name}-{uuid.uuid4().hex}"
+    sinks.write_jsonl(sinks.in_input_order(rows, "doc_id"), path)
+    return path
+
+
+@query("SELECT doc_id, row_number() OVER (ORDER BY doc_id) - 1 AS seq, lang, CASE WHEN n_chars % 2 = 0 THEN source END AS source, sha256(text) AS digest FROM documents")
+def jsonl_records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents written as JSON lines in order, read strictly and numbered by place."""
+    rows = table(spark, sf_dir, "documents").select("doc_id", "lang", F.when(F.col("n_chars") % 2 == 0, F.col("source")).alias("source"), "text")
+    back = jsonl.with_seq(jsonl.read_jsonl(spark, _written(rows, "records"), "doc_id long, lang string, source string, text string"))
+    return back.select("doc_id", "seq", "lang", "source", text.digest(F.col("text")).alias("digest"))
+
+
+_CHAT = Fields(
+    sample_id=pick(11, "NULL", "''", "'same'", otherwise="'s' || doc_id"),
+    asker=pick(7, "'system'", otherwise="'user'"),
+    question=pick(5, "' '", otherwise="source"),
+    answer="text",
+    extra="doc_id % 13 = 0",
+    gate=pick(9, "'fail'", "NULL", otherwise="'pass'"),
+)
+
+
+@query(f"""WITH r AS ({_CHAT.sql}), f AS (SELECT *, sample_id IS NOT NULL AND row_number() OVER (PARTITION BY sample_id ORDER BY doc_id) > 1 AS again FROM r)
+SELECT sha256(answer) AS digest, coalesce(sample_id, '') AS sample_id, CASE WHEN coalesce(sample_id, '') = '' THEN 'no id' WHEN again THEN 'id seen before' WHEN extra THEN 'not one question and one answer' WHEN asker <> 'user' THEN 'not from user in place 0'
+  WHEN trim(question) = '' THEN 'no text from user' WHEN trim(answer) = '' THEN 'no text from assistant' WHEN gate IS DISTINCT FROM 'pass' THEN 'solvability not passed' END AS error FROM f""")
+def chat_loader(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A chat sample for each document, written as JSON lines and read by the validating loader."""
+    c = F.col
+    turn = lambda role, content: F.struct(role.alias("role"), content.alias("content"))
+    pair = [turn(c("asker"), c("question")), turn(F.lit("assistant"), c("answer"))]
+    messages = F.when(c("extra"), F.array(pair[0], pair[1], pair[0])).otherwise(F.array(*pair))
+    quality = F.struct(F.lit("pass").alias("alignment"), F.lit("pass").alias("granularity_match"), c("gate").alias("solvability"))
+    rows = _CHAT.rows(spark, sf_dir).select("doc_id", "sample_id", messages.alias("messages"), F.struct(quality.alias("quality")).alias("metadata"))
+    read = jsonl.read_chat_samples(jsonl.read_lines(spark, _written(rows, "chats")))
+    return read.select(text.digest(F.get("messages", F.lit(1))["content"]).alias("digest"), F.coalesce("sample_id", F.lit("")).alias("sample_id"), F.regexp_extract("error", r"^.*:\d+: (.*)$", 1).alias("error")).withColumn("error", F.nullif("error", F.lit("")))
