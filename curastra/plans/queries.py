@@ -518,3 +518,24 @@ def curated_samples(spark: SparkSession, sf_dir: str) -> DataFrame:
     validations = units.select("unit_id", "seq", "target_sha256", F.lit("pass").alias("syntax"), F.lit("pass").alias("symbol"), F.lit("pass").alias("behavior"))
     out = curation.finalize(units, instructions, reviews, validations)
     return out.select("sample_id", F.col("metadata.status").alias("status"), F.array_join(F.coalesce("metadata.rejection_reasons", F.array().cast("array<string>")), ",").alias("reasons"))
+
+
+@query(f"""WITH RECURSIVE s AS (SELECT doc_id, len(t) AS n, unnest(t) AS w FROM (SELECT doc_id, {_TOKENS.format("text")} AS t FROM documents)),
+e AS (SELECT a.doc_id AS l, b.doc_id AS r, count(*) / (any_value(a.n) + any_value(b.n) - count(*)) AS score FROM s a JOIN s b ON a.w = b.w AND a.doc_id < b.doc_id AND least(a.n, b.n) >= 0.8 * greatest(a.n, b.n)
+  GROUP BY a.doc_id, b.doc_id HAVING count(*) >= 0.8 * (any_value(a.n) + any_value(b.n) - count(*))),
+d AS (SELECT doc_id, sha256({_STRIP.format("text")}) AS digest, CASE WHEN quality IS NULL THEN 'INDEPENDENT_REVIEW_INVALID' WHEN doc_id % 10 = 0 THEN 'INDEPENDENT_REVIEW_TARGET_MISMATCH' WHEN quality = 0 OR toxic = 1 THEN 'INDEPENDENT_REVIEW_FAILED' END AS said FROM documents LEFT JOIN labels USING (doc_id)),
+p AS (SELECT doc_id, row_number() OVER (ORDER BY doc_id) AS k, coalesce((SELECT list(l) FROM e WHERE r = doc_id), []) AS near FROM d WHERE said IS NULL),
+g(k, kept) AS (SELECT 0::BIGINT, CAST([] AS BIGINT[]) UNION ALL SELECT p.k, CASE WHEN len(list_intersect(kept, near)) = 0 THEN list_append(kept, doc_id) ELSE kept END FROM g JOIN p ON p.k = g.k + 1),
+x AS (SELECT unnest(kept) AS doc_id FROM g WHERE k = (SELECT count(*) FROM p)),
+n AS (SELECT r AS doc_id, first(l ORDER BY score DESC, l) AS nearest, max(score) AS score FROM e WHERE l IN (SELECT doc_id FROM x) GROUP BY r)
+SELECT doc_id, coalesce(array_to_string([said, CASE WHEN EXISTS (SELECT 1 FROM x JOIN d o USING (doc_id) WHERE o.digest = d.digest AND o.doc_id < d.doc_id) THEN 'EXACT_DUPLICATE_TARGET' END, CASE WHEN nearest IS NOT NULL THEN 'NEAR_DUPLICATE_TARGET' END], ','), '') AS reasons,
+  nearest, round_even(coalesce(score, 0), 4) AS score FROM d LEFT JOIN n USING (doc_id)""")
+def first_version_decisions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Decisions of the first record version over documents, with labels as reviews, and the nearest accepted rows."""
+    docs = table(spark, sf_dir, "documents").join(table(spark, sf_dir, "labels"), "doc_id", "left")
+    name, sha = F.concat(F.lit("u"), "doc_id").alias("sample_id"), text.digest(F.col("text"))
+    passed = F.when((F.col("quality") == 1) & (F.col("toxic") == 0), "pass").otherwise("fail")
+    candidates = docs.select(F.col("doc_id").alias("seq"), name, sha.alias("content_sha256"), F.col("text").alias("target"))
+    reviews = docs.where("quality is not null").select(name, F.lit(0).alias("seq"), F.when(F.col("doc_id") % 10 == 0, "stale").otherwise(sha).alias("target_sha256"), F.lit(True).alias("parse_valid"), *(passed.alias(c) for c in records.CHECKS))
+    out = curation.finalize_first_version(candidates, reviews)
+    return out.select(F.col("seq").alias("doc_id"), F.array_join("reasons", ",").alias("reasons"), "nearest", "score")
