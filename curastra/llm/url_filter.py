@@ -1,9 +1,9 @@
 """URL filter: explicit rules, then path templates judged by labelled purity.
 
 Each host has a tree of path segments. Level by level, down to the last segment of the longest
-path, segments that few pages share become wildcards; of the segments left, those whose pages look like those of the
-node's largest branch (what follows, how many are labelled, how many of these blocked) are merged
-with it. A path's template is its generalised segments. The urls that rules decide are the
+path, segments that few pages share become wildcards; segments left whose pages look alike
+(what follows, how many are labelled, how many of these blocked) are merged, the node's largest
+branch first, then the largest of those unlike it, until none is left. A path's template is its generalised segments. The urls that rules decide are the
 labelled ones; a template is rejected if the smoothed share of blocked urls among its
 labelled ones is high enough.
 
@@ -64,6 +64,38 @@ def _shape(segment: Column) -> Column:
     return F.concat(F.when(stem.rlike(r"^[0-9]+$"), "<n>").otherwise("<*>"), extension)
 
 
+def _apart(alike: float) -> Column:
+    """Whether a branch's shares differ from those of its ``top``, each by more than ``alike`` and twice its standard error."""
+
+    def differs(count: str, of: str) -> Column:
+        x, y = F.col(count) / F.col(of), F.col(f"top.{count}") / F.col(f"top.{of}")
+        pooled = (F.col(count) + F.col(f"top.{count}")) / (F.col(of) + F.col(f"top.{of}"))
+        error = F.sqrt(pooled * (1 - pooled) * (1 / F.col(of) + 1 / F.col(f"top.{of}")))
+        return F.coalesce((F.abs(x - y) > alike) & (F.abs(x - y) > 2 * error), F.lit(False))
+
+    both = (F.col("labelled") > 0) & (F.col("top.labelled") > 0)
+    return differs("ends", "n") | differs("numbers", "n") | differs("labelled", "n") | F.when(both, differs("blocked", "labelled")).otherwise(False)
+
+
+def _merged(branches: DataFrame, alike: float) -> DataFrame:
+    """(host, template, now, name): branches of a node that look alike have one name.
+
+    The node's largest branch takes in all that look like it, then the largest of the rest
+    does, and so on. Leaders differ by more than ``alike`` in one of four shares, so how many
+    passes it takes has a bound that doesn't depend on the number of pages or branches.
+    """
+    profile = ("n", "labelled", "blocked", "ends", "numbers")
+    left, named = branches.select("host", "template", "s", *profile), None
+    while True:
+        top = left.groupBy("host", "template").agg(F.max_by(F.struct("s", *profile), F.struct("n", "s")).alias("top"))
+        judged = materialize(left.join(top, ["host", "template"]).withColumn("apart", _apart(alike)), "leaders")
+        own = judged.where(~F.col("apart")).select("host", "template", F.col("s").alias("now"), F.concat(F.lit("("), F.col("top.s"), F.lit(")")).alias("name"))
+        named = own if named is None else named.unionByName(own)
+        left = judged.where("apart").select("host", "template", "s", *profile)
+        if left.isEmpty():
+            return named
+
+
 def templates(paths: DataFrame, support: int, alike: float) -> DataFrame:
     """(host, path, n, labelled, blocked) with the ``template`` of each path."""
     rows = paths.withColumn("seg", F.filter(F.split("path", "/"), lambda s: s != "")).withColumn("template", F.lit(""))
@@ -76,21 +108,10 @@ def templates(paths: DataFrame, support: int, alike: float) -> DataFrame:
         sums = [F.sum(c).alias(c) for c in ("n", "labelled", "blocked")]
         follows = [F.sum(F.when(c, F.col("n")).otherwise(0)).alias(k) for k, c in (("ends", after.isNull()), ("numbers", F.coalesce(number, F.lit(False))))]
         child = materialize(rows.groupBy("host", "template", here.alias("s")).agg(*sums, *follows), "branches")
-        node = child.groupBy("host", "template").agg(F.sum("n").alias("total"), F.max_by(F.struct("s", "n", "labelled", "blocked", "ends", "numbers"), F.struct("n", "s")).alias("top"))
+        node = child.groupBy("host", "template").agg(F.sum("n").alias("total"))
         if node.where(F.col("total") >= support).isEmpty():  # nor has any node further down
             break
-        kept = child.where(F.col("n") >= support).join(node, ["host", "template"])
-
-        def differs(count: str, of: str) -> Column:  # two shares, more than their standard error allows
-            x, y = F.col(count) / F.col(of), F.col(f"top.{count}") / F.col(f"top.{of}")
-            pooled = (F.col(count) + F.col(f"top.{count}")) / (F.col(of) + F.col(f"top.{of}"))
-            error = F.sqrt(pooled * (1 - pooled) * (1 / F.col(of) + 1 / F.col(f"top.{of}")))
-            return F.coalesce((F.abs(x - y) > alike) & (F.abs(x - y) > 2 * error), F.lit(False))
-
-        both = (F.col("labelled") > 0) & (F.col("top.labelled") > 0)
-        apart = differs("ends", "n") | differs("numbers", "n") | differs("labelled", "n") | F.when(both, differs("blocked", "labelled")).otherwise(False)
-        name = F.when(apart, F.col("s")).otherwise(F.concat(F.lit("("), F.col("top.s"), F.lit(")")))
-        named = kept.select("host", "template", F.col("s").alias("now"), name.alias("name"))
+        named = _merged(child.where(F.col("n") >= support), alike)
         joined = rows.withColumn("now", here).join(named, ["host", "template", "now"], "left")
         part = F.concat(F.lit("/"), F.coalesce("name", _shape(F.col("now"))))
         rows = materialize(joined.select("host", "path", "n", "labelled", "blocked", "seg", F.concat("template", part).alias("template")), "paths")
