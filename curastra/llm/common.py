@@ -53,15 +53,25 @@ def scratch(spark: SparkSession) -> Iterator[None]:
         yield
     finally:
         _SCRATCH.reset(token)
-        where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-        where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
+        delete(spark, path)
+
+
+def delete(spark: SparkSession, path: str) -> None:
+    """Delete a folder on whatever file system Spark writes to."""
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
+
+
+def step_path(spark: SparkSession, tag: str, lasting: bool = False) -> str:
+    """A new name in the shared folder, among the steps that ``scratch`` deletes unless it is ``lasting``."""
+    root = None if lasting else _SCRATCH.get()
+    return f"{root or shared_dir(spark)}/{tag}-{uuid.uuid4().hex}"
 
 
 def materialize(df: DataFrame, tag: str, lasting: bool = False) -> DataFrame:
     """Write ``df`` to the shared folder and return a DataFrame that reads it back."""
     spark = df.sparkSession
-    root = None if lasting else _SCRATCH.get()
-    path = f"{root or shared_dir(spark)}/{tag}-{uuid.uuid4().hex}"
+    path = step_path(spark, tag, lasting)
     schema = df.schema
     df.write.parquet(path)
     return spark.read.schema(schema).parquet(path)
