@@ -10,7 +10,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import license_scan, line_dedup, preference
+from . import ball_kmeans, license_scan, line_dedup, preference
 from .bpe import encode_decode
 from .fingerprint import compare_with_next
 from .embedding_neardup import near_vectors
@@ -84,6 +84,10 @@ def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(docs, tokenizer_path("word_bpe_49k.json"), capacity=2048, end_id=1, with_ids=False, remembered=500_000).drop("ids")
 
 
+def op11_ball_kmeans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ball_kmeans.cluster(_table(spark, sf_dir, "embeddings").select("vec_id", "embedding"), k=8, rounds=10, dim=64, scale=1024, seed=3)
+
+
 def op13_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
     return line_dedup.dedup_lines(docs, min_chars=20, min_docs=3, keep_text=False)
@@ -100,6 +104,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_packing": op8_packing,
     "op9_preference": op9_preference,
     "op10_bpe": op10_bpe,
+    "op11_ball_kmeans": op11_ball_kmeans,
     "op13_line_dedup": op13_line_dedup,
 }
 
@@ -125,5 +130,6 @@ ORACLES: dict[str, str] = {
     "op6_ngram_join": _GROUPS,
     "op3_license_scan": license_scan.oracle(),
     "op9_preference": preference.oracle(),
+    "op11_ball_kmeans": ball_kmeans.oracle(),
     "op13_line_dedup": line_dedup.oracle(),
 }
