@@ -10,7 +10,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import ball_kmeans, license_scan, line_dedup, preference
+from . import ball_kmeans, lexical_search, license_scan, line_dedup, preference
 from .bpe import encode_decode
 from .fingerprint import compare_with_next
 from .embedding_neardup import near_vectors
@@ -88,6 +88,11 @@ def op11_ball_kmeans(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ball_kmeans.cluster(_table(spark, sf_dir, "embeddings").select("vec_id", "embedding"), k=8, rounds=10, dim=64, scale=1024, seed=3)
 
 
+def op12_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, items = _table(spark, sf_dir, "documents").select("doc_id", "text"), _table(spark, sf_dir, "benchmark").select("item_id", "text")
+    return lexical_search.rank(docs, items, k=50)
+
+
 def op13_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
     return line_dedup.dedup_lines(docs, min_chars=20, min_docs=3, keep_text=False)
@@ -105,6 +110,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_preference": op9_preference,
     "op10_bpe": op10_bpe,
     "op11_ball_kmeans": op11_ball_kmeans,
+    "op12_lexical_search": op12_lexical_search,
     "op13_line_dedup": op13_line_dedup,
 }
 
@@ -131,5 +137,6 @@ ORACLES: dict[str, str] = {
     "op3_license_scan": license_scan.oracle(),
     "op9_preference": preference.oracle(),
     "op11_ball_kmeans": ball_kmeans.oracle(),
+    "op12_lexical_search": lexical_search.oracle(),
     "op13_line_dedup": line_dedup.oracle(),
 }
