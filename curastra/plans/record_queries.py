@@ -17,6 +17,7 @@ from ..operators import chat, gates, integrity, joins, metrics, ordering
 from ..operators import records as rows_of
 from ..operators.components import shared_folder
 from ..sources import jsonl, sinks
+from . import curation
 from .queries import _GATES, _TOKENS, _quote, query, table
 
 
@@ -321,6 +322,37 @@ def source_validation(spark: SparkSession, sf_dir: str) -> DataFrame:
     return whole.join(_LITERAL.rows(spark, sf_dir).select("doc_id", code.behaviour_check(F.col("target")).alias("behaviour")), "doc_id")
 
 
+_BEHAVES = Fields(
+    symbol="'roll' || doc_id % 7",
+    returned=pick(
+        9,
+        "n_chars || ''",
+        "'\"' || translate(substring(text, 1, 40), chr(34) || chr(92) || chr(10), '   ') || '\"'",
+        "'[ ' || n_chars || ', true,  [null, -' || doc_id || '.5], \"' || lang || '\" ]'",
+        "'{\"n\": ' || n_chars || ', \"in\": {\"lang\" : \"' || lang || '\"}}'",
+        "'new Map()'",
+        "chr(39) || source || chr(39)",
+        "'[' || doc_id || ', ' || n_chars || ',]'",
+        "'limit + 1'",
+        otherwise="'false'",
+    ),
+    head=pick(5, "'export function '", "'export async function '", "'export default function '", otherwise="'function '"),
+    annotation=pick(4, "': unknown '", otherwise="' '"),
+    tail=pick(11, "' '", otherwise="'; } '"),
+)
+
+
+@query(f"""WITH r AS ({_BEHAVES.sql}), p AS (SELECT *, tail <> ' ' AS sound, CASE WHEN json_valid(returned) THEN CAST(json(returned) AS VARCHAR) WHEN starts_with(returned, chr(39)) THEN replace(returned, chr(39), chr(34)) WHEN ends_with(returned, ',]') THEN replace(replace(returned, ',]', ']'), ' ', '') END AS value FROM r),
+b AS (SELECT *, CASE WHEN NOT sound OR value IS NULL THEN 'not_eligible' WHEN annotation <> ' ' OR contains(head, 'default') OR contains(head, 'async') THEN 'fail' ELSE 'pass' END AS behavior FROM p)
+SELECT doc_id, CASE WHEN sound THEN 'pass' ELSE 'fail' END AS syntax, behavior, CASE WHEN behavior = 'pass' THEN value END AS expected_json,
+  CASE WHEN NOT sound THEN 'syntax: {code.OPEN_BRACKET}' WHEN behavior = 'fail' THEN '{curation.HARNESS}' || CASE WHEN annotation <> ' ' OR contains(head, 'default') THEN 'the runtime doesn''t read the declaration' ELSE 'a promise, not the value' END ELSE '' END AS reasons FROM b""")
+def target_behavior(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Validation of a function for each document: structure, and the value it returns as JSON."""
+    target = F.concat("head", "symbol", F.lit("()"), "annotation", F.lit("{\n  return "), "returned", "tail")
+    units = _BEHAVES.rows(spark, sf_dir).select(F.col("doc_id").alias("unit_id"), F.lit("").alias("target_sha256"), target.alias("target"), "symbol")
+    return curation.validate_targets(units).select(F.col("unit_id").alias("doc_id"), "syntax", "behavior", F.col("behavior_test.expected_json").alias("expected_json"), F.array_join("reasons", "; ").alias("reasons"))
+
+
 _NAMED = Fields(
     scripts=pick(6, "array('test', 'compile', 'build:prod')", "array('rebuild', 'build:dev', 'dev')", "array('test', 'start')", "array()", otherwise="array('bundle', 'build')"),
     files=pick(5, "array('COPYING', 'LICENSE.md', 'src')", "array('README.md')", "array('license')", "array('LICENCE', 'LICENSE.txt')", otherwise="array('LICENSE', 'COPYING')"),

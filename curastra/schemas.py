@@ -14,7 +14,7 @@ UNIT = (
 SCOPE = "struct<target_file:string,target_symbol:string,expected_behavior:array<string>,constraints:array<string>,required_context:array<string>>"
 GENERATION = "struct<pipeline_version:string,model:string,method:string,decode:string,max_output_tokens:bigint,response_completed:boolean,response_id:string,status:string,duration_seconds:double>"
 INSTRUCTION = f"{UNIT}, scope {SCOPE}, instruction string, generation {GENERATION}"
-VALIDATION = "unit_id string, target_sha256 string, validator string, syntax string, symbol string, behavior string, reasons array<string>"
+VALIDATION = "unit_id string, target_sha256 string, validator string, syntax string, symbol string, behavior string, reasons array<string>, behavior_test struct<kind:string,expected_json:string>"
 REVIEW = "unit_id string, target_sha256 string, review_version string, reviewer string, decision string, failed_check string, reason string, deterministic_reasons array<string>"
 REVIEW_V1 = "sample_id string, target_sha256 string, reviewer string, review_type string, alignment string, granularity_match string, solvability string, reason string, parse_valid boolean, parse_mode string, raw_output string, duration_seconds double"
 MESSAGES = "array<struct<role:string,content:string>>"

@@ -5,7 +5,7 @@ import json
 import pytest
 from pyspark.sql import functions as F
 
-from curastra.functions.code import units_of
+from curastra.functions.code import extract_units
 from curastra.sources import jsonl, sinks
 
 
@@ -54,10 +54,31 @@ def test_json_array_and_task_ids(spark, tmp_path):
     assert {r.task_id for r in jsonl.task_ids(spark, [str(tmp_path / "b.ts")]).collect()} == {"H1_MOVE", "H12_DRAW_CARD"}
 
 
-def test_units_with_braces_in_strings_and_comments():
+def test_units_with_braces_in_strings_and_comments(spark):
     body = "  const a = '}';\n  // }\n  if (x) {\n    return `{${a}`;\n  }\n  /* { */ return a + \"a long enough line to be kept as a unit of code\";\n"
     text = f"const z = 1;\n\nexport  async function  move(x: number) {{\n{body}}}\n\nabstract class Deck extends Base {{\n  cards: string[] = [];\n{body}}}\nfunction open() {{\n{body}"
-    got = units_of(text)
-    assert [(u[0], u[1], u[2], u[4], u[5]) for u in got] == [("move", "function", "export async function move(x: number)", 3, 10), ("Deck", "class", "abstract class Deck extends Base", 12, 20)]
-    assert all(text.count(u[3]) == 1 for u in got)
-    assert units_of(text.replace("// }", "// TODO }")) == []
+    rows = [(0, text), (1, text.replace("// }", "// TODO }")), (2, None), (3, "")]
+    got = sorted(map(tuple, extract_units(spark.createDataFrame(rows, "i int, text string")).collect()), key=lambda u: u[5])
+    assert [(u[0], u[1], u[2], u[3], u[5], u[6]) for u in got] == [(0, "move", "function", "export async function move(x: number)", 3, 10), (0, "Deck", "class", "abstract class Deck extends Base", 12, 20)]
+    assert all(text.count(u[4]) == 1 for u in got)
+
+
+def test_units_nest_and_stray_signs_end_with_their_line(spark):
+    inner = "    return 'a line that is long enough' + n + ' for a unit of code that is to be kept';\n    // and more\n"
+    text = f"""// function old() {{
+const quote = /['"]/; const it = "don't";
+  function outer(
+    a: number, // first; second {{
+    b = {{ c: 1 }}) {{ return a; }}
+export default class Größe {{}}
+class Board {{
+  function inner(n: number) {{
+{inner}  }}
+}}
+}} function notAtTheStart() {{
+{inner}}}
+"""
+    got = extract_units(spark.createDataFrame([(text, 1, "k")], "text string, symbol int, other string")).orderBy("start_line")
+    assert got.columns == ["other", "symbol", "kind", "signature", "code", "start_line", "end_line"]
+    assert [(u.symbol, u.kind, u.signature, u.start_line, u.end_line) for u in got.collect()] == [("Board", "class", "class Board", 7, 12), ("inner", "function", "function inner(n: number)", 8, 11)]
+    assert got.where("symbol = 'inner'").first().code == f"function inner(n: number) {{\n{inner}  }}"
