@@ -527,8 +527,9 @@ d AS (SELECT doc_id, sha256({_STRIP.format("text")}) AS digest, CASE WHEN qualit
 p AS (SELECT doc_id, row_number() OVER (ORDER BY doc_id) AS k, coalesce((SELECT list(l) FROM e WHERE r = doc_id), []) AS near FROM d WHERE said IS NULL),
 g(k, kept) AS (SELECT 0::BIGINT, CAST([] AS BIGINT[]) UNION ALL SELECT p.k, CASE WHEN len(list_intersect(kept, near)) = 0 THEN list_append(kept, doc_id) ELSE kept END FROM g JOIN p ON p.k = g.k + 1),
 x AS (SELECT unnest(kept) AS doc_id FROM g WHERE k = (SELECT count(*) FROM p)),
-n AS (SELECT r AS doc_id, first(l ORDER BY score DESC, l) AS nearest, max(score) AS score FROM e WHERE l IN (SELECT doc_id FROM x) GROUP BY r)
-SELECT doc_id, coalesce(array_to_string([said, CASE WHEN EXISTS (SELECT 1 FROM x JOIN d o USING (doc_id) WHERE o.digest = d.digest AND o.doc_id < d.doc_id) THEN 'EXACT_DUPLICATE_TARGET' END, CASE WHEN nearest IS NOT NULL THEN 'NEAR_DUPLICATE_TARGET' END], ','), '') AS reasons,
+y AS (SELECT a.doc_id AS l, b.doc_id AS r, count(*) / (any_value(a.n) + any_value(b.n) - count(*)) AS score FROM s a JOIN s b ON a.w = b.w AND a.doc_id < b.doc_id WHERE a.doc_id IN (SELECT doc_id FROM x) GROUP BY a.doc_id, b.doc_id),
+n AS (SELECT r AS doc_id, first(l ORDER BY score DESC, l) AS nearest, max(score) AS score FROM y GROUP BY r)
+SELECT doc_id, coalesce(array_to_string([said, CASE WHEN EXISTS (SELECT 1 FROM x JOIN d o USING (doc_id) WHERE o.digest = d.digest AND o.doc_id < d.doc_id) THEN 'EXACT_DUPLICATE_TARGET' END, CASE WHEN score >= 0.8 THEN 'NEAR_DUPLICATE_TARGET' END], ','), '') AS reasons,
   nearest, round_even(coalesce(score, 0), 4) AS score FROM d LEFT JOIN n USING (doc_id)""")
 def first_version_decisions(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Decisions of the first record version over documents, with labels as reviews, and the nearest accepted rows."""
