@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import code, records, text
-from ..operators import chat, gates, integrity, joins, metrics, ordering
+from ..operators import chat, correlate, gates, integrity, joins, metrics, ordering, runs
 from ..operators import records as rows_of
 from ..operators.components import shared_folder
 from ..sources import jsonl, sinks
@@ -536,3 +536,41 @@ def chat_loader(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = _CHAT.rows(spark, sf_dir).select("doc_id", "sample_id", messages.alias("messages"), F.struct(quality.alias("quality")).alias("metadata"))
     read = jsonl.read_chat_samples(jsonl.read_lines(spark, _written(rows, "chats")))
     return read.select(text.digest(F.get("messages", F.lit(1))["content"]).alias("digest"), F.coalesce("sample_id", F.lit("")).alias("sample_id"), F.regexp_extract("error", r"^.*:\d+: (.*)$", 1).alias("error")).withColumn("error", F.nullif("error", F.lit("")))
+
+
+# --- runs and requests -------------------------------------------------------------------
+
+_OUTPUTS = """SELECT CAST(event_id // 7 AS VARCHAR) AS run_id, event_id % 7 + 1 AS iteration, CASE event_type WHEN 'error' THEN 'error' WHEN 'purchase' THEN 'final' ELSE 'tool_calls' END AS kind,
+  CASE WHEN event_type IN ('view', 'click', 'signup') THEN CAST(floor(value) AS BIGINT) % 11 END AS calls, CASE WHEN user_id % 2 = 0 THEN 'success' ELSE 'failure' END AS status, CASE WHEN user_id % 3 = 0 THEN NULL ELSE props END AS message FROM events"""
+
+
+@query(f"""WITH o AS ({_OUTPUTS}), e AS (SELECT run_id, min(iteration) FILTER (kind <> 'tool_calls' AND iteration <= {runs.ITERATIONS}) AS stop, max(iteration) AS seen FROM o GROUP BY run_id),
+r AS (SELECT run_id, coalesce(stop, least(seen, {runs.ITERATIONS})) AS iterations, stop, seen FROM e),
+b AS (SELECT o.*, coalesce(calls, 0) NOT BETWEEN 1 AND {runs.CALLS} AS refused FROM o JOIN r USING (run_id) WHERE kind = 'tool_calls' AND iteration <= iterations),
+c AS (SELECT run_id, sum(CASE WHEN refused THEN 0 ELSE calls END) AS executed, count(*) FILTER (refused) AS refused, min(iteration) FILTER (refused) AS first, arg_min(coalesce(calls, 0), iteration) FILTER (refused) AS n FROM b GROUP BY run_id)
+SELECT run_id, CASE WHEN kind = 'error' THEN 'failure' WHEN kind = 'final' THEN status WHEN seen >= {runs.ITERATIONS} THEN 'max_iterations' ELSE 'running' END AS status,
+  CASE WHEN kind = 'error' THEN coalesce('{runs.MODEL_ERROR}' || message, 'model error') WHEN kind = 'final' THEN message WHEN seen >= {runs.ITERATIONS} THEN '{runs.STOPPED % runs.ITERATIONS}' END AS message,
+  CAST(iterations AS INT) AS iterations, CAST(coalesce(executed, 0) AS BIGINT) AS executed_calls, coalesce(refused, 0) AS refused_batches, CAST(first AS INT) AS first_refused,
+  CASE WHEN n = 0 THEN '{runs.EMPTY}' WHEN n IS NOT NULL THEN 'model returned ' || n || ' tool calls; limit is {runs.CALLS} per iteration' END AS refusal
+FROM r LEFT JOIN c USING (run_id) LEFT JOIN o ON o.run_id = r.run_id AND o.iteration = r.stop""")
+def agent_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What became of runs of seven events each, with errors, final answers and batches of calls."""
+    kind = F.when(F.col("event_type") == "error", "error").when(F.col("event_type") == "purchase", "final").otherwise("tool_calls")
+    calls = F.when(F.col("event_type").isin("view", "click", "signup"), F.floor("value") % 11).cast("int")
+    outputs = table(spark, sf_dir, "events").select(F.floor(F.col("event_id") / 7).cast("string").alias("run_id"), (F.col("event_id") % 7 + 1).cast("int").alias("iteration"), kind.alias("kind"), calls.alias("calls"), F.when(F.col("user_id") % 2 == 0, "success").otherwise("failure").alias("status"), F.when(F.col("user_id") % 3 != 0, F.col("props")).alias("message"))
+    return runs.outcomes(outputs)
+
+
+#: Seconds an answer may take here.
+_WITHIN = 400
+
+
+@query(f"""WITH q AS (SELECT event_id // 4 AS id, min(ts) AS asked FROM events WHERE event_type IN ('click', 'view') GROUP BY 1), a AS (SELECT event_id // 4 AS id, ts AS told FROM events WHERE event_type IN ('purchase', 'signup')),
+j AS (SELECT coalesce(q.id, a.id) AS id, asked, told, coalesce(told >= asked AND told <= asked + INTERVAL {_WITHIN} SECOND, false) AS good FROM q FULL JOIN a ON q.id = a.id),
+g AS (SELECT id, bool_or(asked IS NOT NULL) AS known, min(told) FILTER (good) AS answered_at, count(*) FILTER (good) AS on_time, count(*) FILTER (told > asked + INTERVAL {_WITHIN} SECOND) AS late, count(*) FILTER (told < asked) AS early FROM j GROUP BY id)
+SELECT id, CASE WHEN NOT known THEN 'unknown' WHEN on_time = 1 THEN 'answered' WHEN on_time > 1 THEN 'repeated' WHEN late > 0 THEN 'late' ELSE 'missing' END AS outcome, CAST(epoch_us(answered_at) AS BIGINT) AS answered_us, on_time, late, early FROM g""")
+def request_outcomes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What became of requests: answered, repeated, late, missing, or answers that nobody asked for."""
+    events = table(spark, sf_dir, "events").select(F.floor(F.col("event_id") / 4).alias("id"), F.col("ts").alias("at"), "event_type")
+    found = correlate.outcomes(events.where(F.col("event_type").isin("click", "view")), events.where(F.col("event_type").isin("purchase", "signup")), _WITHIN)
+    return found.withColumn("answered_us", F.unix_micros(F.col("answered_at").cast("timestamp"))).select("id", "outcome", "answered_us", "on_time", "late", "early")
