@@ -122,3 +122,8 @@ def line_slice(text: Column, start: Column, end: Column) -> Column:
     lines = F.split(F.regexp_replace(text, "\n\\z", ""), "\n")
     inside = (start >= 1) & (end >= start) & (end <= F.size(lines))
     return F.when(inside, F.array_join(F.slice(lines, start.cast("int"), (end - start + 1).cast("int")), "\n"))
+
+
+def by_locale(text: Column) -> Column:
+    """Text to sort by as people do: letters before their case and accents (ICU's root order)."""
+    return F.collate(text, "UNICODE")

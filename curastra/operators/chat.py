@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -70,6 +73,56 @@ def masked(prompt_ids: Column, full_ids: Column, max_length: int) -> Column:
     return F.struct(kept.alias("input_ids"), F.array_repeat(F.lit(1), F.size(kept)).alias("attention_mask"), labels.alias("labels"), error.alias("error"))
 
 
+Encode = Callable[[list[str]], list[list[int]]]
+#: What this worker has loaded, by name.
+_ENCODERS: dict[str, Encode] = {}
+#: Characters that are encoded together (or one text).
+_TOGETHER = 4_000_000
+
+
+def encoded(rows: DataFrame, load: Callable[[], Encode], name: str, **columns: str) -> DataFrame:
+    """Rows with the ids of text columns (new column = text column), by an encoder of the caller's.
+
+    ``load`` gives a function from texts to lists of ids; a worker calls it once and keeps what it
+    gives under ``name``. Texts go to it in groups of bounded size. A null text has null ids.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        if name not in _ENCODERS:
+            _ENCODERS[name] = load()
+        encode = _ENCODERS[name]
+        for batch in batches:
+            more = []
+            for text in columns.values():
+                ids, group, size = [], [], 0
+                texts = batch.column(text).to_pylist()
+                for i, t in enumerate(texts):
+                    if t is not None:
+                        group.append(i)
+                        size += len(t)
+                    if group and (size >= _TOGETHER or i + 1 == len(texts)):
+                        ids += zip(group, encode([texts[k] for k in group]), strict=True)
+                        group, size = [], 0
+                known = dict(ids)
+                more.append(pa.array([known.get(i) for i in range(len(texts))], pa.list_(pa.int32())))
+            yield pa.RecordBatch.from_arrays([*batch.columns, *more], names=[*batch.schema.names, *columns])
+
+    kinds = [f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema] + [f"`{c}` array<int>" for c in columns]
+    return rows.mapInArrow(run, ", ".join(kinds))
+
+
+def tokenized_samples(conversations: DataFrame, load: Callable[[], Encode], name: str, max_length: int) -> DataFrame:
+    """Samples to train on, from (id, messages): (id, input_ids, attention_mask, labels, error).
+
+    The prompt is the first message and the start of a reply; labels cover what follows. The ids
+    of the prompt alone have to begin those of the whole, or the sample has an error.
+    """
+    key = next(c for c in conversations.columns if c != "messages")
+    texts = conversations.select(key, render(F.slice("messages", 1, 1), opened=True).alias("_prompt"), render(F.col("messages")).alias("_whole"))
+    ids = encoded(texts, load, name, _prompt_ids="_prompt", _whole_ids="_whole")
+    return ids.select(key, masked(F.col("_prompt_ids"), F.col("_whole_ids"), max_length).alias("_m")).select(key, "_m.*")
+
+
 def code_points(text: Column) -> Column:
     """A stand-in for a tokenizer: a text's characters as numbers."""
     return F.transform(F.regexp_extract_all(text, F.lit(r"(?s)(.)"), F.lit(1)), lambda c: F.ascii(c))

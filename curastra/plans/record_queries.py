@@ -12,7 +12,7 @@ import uuid
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions import code, records, text
+from ..functions import code, merge, records, text
 from ..operators import chat, correlate, gates, integrity, joins, metrics, ordering, runs
 from ..operators import records as rows_of
 from ..operators.components import shared_folder
@@ -574,3 +574,35 @@ def request_outcomes(spark: SparkSession, sf_dir: str) -> DataFrame:
     events = table(spark, sf_dir, "events").select(F.floor(F.col("event_id") / 4).alias("id"), F.col("ts").alias("at"), "event_type")
     found = correlate.outcomes(events.where(F.col("event_type").isin("click", "view")), events.where(F.col("event_type").isin("purchase", "signup")), _WITHIN)
     return found.withColumn("answered_us", F.unix_micros(F.col("answered_at").cast("timestamp"))).select("id", "outcome", "answered_us", "on_time", "late", "early")
+
+
+# --- merged records, tokenized conversations -----------------------------------------------
+
+
+@query("""SELECT doc_id, CASE WHEN doc_id % 3 = 0 THEN lang ELSE upper(lang) END AS lang, source AS place_source, CASE WHEN doc_id % 3 = 0 THEN n_chars ELSE -n_chars END AS place_n, CASE WHEN doc_id % 5 <> 0 THEN CASE WHEN doc_id % 3 = 0 THEN NULL ELSE 'x' END END AS place_note,
+  CASE WHEN doc_id % 5 = 0 THEN NULL ELSE length(text) END AS size FROM documents""")
+def merged_records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Three records for each document merged: nested keys one by one, the later one wins, missing ones change nothing."""
+    first = F.struct("doc_id", "lang", F.struct("source", F.col("n_chars").cast("long").alias("n")).alias("place"))
+    second = F.when(F.col("doc_id") % 3 != 0, F.struct(F.upper("lang").alias("lang"), F.struct((-F.col("n_chars")).cast("long").alias("n"), F.lit("x").alias("note")).alias("place")))
+    third = F.struct(F.when(F.col("doc_id") % 5 != 0, F.length("text")).alias("size"))
+    out = merge.merge_columns(table(spark, sf_dir, "documents").select(first.alias("a"), second.alias("b"), third.alias("c")), "a", "b", "c")
+    note = F.when(F.col("doc_id") % 5 != 0, F.col("place.note"))
+    return out.select("doc_id", "lang", F.col("place.source").alias("place_source"), F.col("place.n").alias("place_n"), note.alias("place_note"), F.col("size").cast("long").alias("size"))
+
+
+def _byte_bpe():
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    own = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    own.no_truncation()
+    own.no_padding()
+    return lambda texts: [e.ids for e in own.encode_batch(texts, add_special_tokens=False)]
+
+
+@query()
+def token_masks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Conversations as tokens of a public vocabulary, with labels over what follows the prompt."""
+    samples = chat.tokenized_samples(chat.messages_of(table(spark, sf_dir, "conversations")), _byte_bpe, "byte_bpe_50k", 512)
+    return samples.select("conv_id", F.size("input_ids").alias("n_ids"), F.size(F.filter("labels", lambda x: x != chat.IGNORED)).alias("n_labels"), text.digest(F.array_join("input_ids", ",")).alias("ids_digest"), "error")
