@@ -478,6 +478,31 @@ def freeze_mismatches(spark: SparkSession, sf_dir: str) -> DataFrame:
     return freeze.mismatches(docs.select("path", "sha256"), now, {"samples": 3, "audits": 2}, {"samples": 4, "audits": 2})
 
 
+def _chunks(name: str, source: str) -> str:
+    """CTEs with (path, chunk, sha256) of each 256 bytes of a text, as ``name``."""
+    return f"""{name}_h AS (SELECT doc_id::VARCHAR AS path, hex(encode(coalesce(text, ''))) AS h FROM {source}),
+{name}_r AS (SELECT path, h, unnest(range(greatest(CAST(ceil(len(h) / 512) AS BIGINT), 1))) AS chunk FROM {name}_h),
+{name} AS (SELECT path, chunk, sha256(unhex(substring(h, chunk * 512 + 1, 512))) AS sha256 FROM {name}_r)"""
+
+
+@query(f"""WITH RECURSIVE {_chunks("c", "documents")},
+t(path, n, m, i, d) AS (SELECT path, count(*) OVER (PARTITION BY path), count(*) OVER (PARTITION BY path), chunk, sha256 FROM c
+  UNION ALL SELECT path, n, (m + 3) // 4, i // 4, sha256(string_agg(d, chr(10) ORDER BY i)) FROM t WHERE m > 1 GROUP BY path, n, m, i // 4)
+SELECT path, n AS n_chunks, d AS root FROM t WHERE m = 1""")
+def text_trees(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return freeze.tree_digests(freeze.text_chunks(table(spark, sf_dir, "documents"), "doc_id", "text", 256), 4)
+
+
+@query(f"""WITH edited AS (SELECT doc_id, CASE WHEN doc_id % 7 = 0 THEN text || '!' ELSE text END AS text FROM documents WHERE doc_id % 11 <> 3),
+{_chunks("a", "documents")}, {_chunks("b", "edited")}
+SELECT path, chunk, CASE WHEN b.sha256 IS NULL THEN 'missing' WHEN a.sha256 IS NULL THEN 'added' ELSE 'changed' END AS what
+FROM a FULL JOIN b USING (path, chunk) WHERE a.sha256 IS DISTINCT FROM b.sha256""")
+def changed_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    edited = docs.where("doc_id % 11 <> 3").withColumn("text", F.when(F.col("doc_id") % 7 == 0, F.concat("text", F.lit("!"))).otherwise(F.col("text")))
+    return freeze.changed_chunks(*(freeze.text_chunks(d, "doc_id", "text", 256) for d in (docs, edited)))
+
+
 _TOLD = "'In src/a.ts write play so that it moves every card. ' || text || '.'"
 _CODE = r"trim(regexp_replace(regexp_replace(text, '//.*|/\*(.|\n)*?\*/', '', 'g'), '\s+', ' ', 'g'))"
 

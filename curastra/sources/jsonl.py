@@ -51,14 +51,21 @@ def _placed(df: DataFrame) -> tuple[DataFrame, DataFrame]:
     return placed, placed.groupBy("_file", "_split").agg(F.count("*").alias("_n"), F.min("_at").alias("_first"))
 
 
+def _by_part(file: Column) -> Column:
+    """Orders files by their path; those that Spark wrote by the number of the part, however many digits it has."""
+    part = r"^(.*/part-)(\d+)([^/]*)$"
+    number = F.regexp_extract(file, part, 2)
+    return F.when(number != "", F.concat(F.regexp_extract(file, part, 1), F.lpad(number, 20, "0"), F.regexp_extract(file, part, 3))).otherwise(file)
+
+
 def with_seq(df: DataFrame, name: str = "seq") -> DataFrame:
-    """Rows numbered from 0, in order of file, place in the file; others in their present order.
+    """Rows numbered from 0, in order of file (parts by their number), place in the file; others in their present order.
 
     Only the splits' counts (a row for each) are put in one order, not the rows. ``df`` must be
     the reader's own DataFrame, or it is taken as not coming from files.
     """
     placed, splits = _placed(df)
-    before = F.sum("_n").over(Window.orderBy("_file", "_split").rowsBetween(Window.unboundedPreceding, -1))
+    before = F.sum("_n").over(Window.orderBy(_by_part(F.col("_file")), "_split").rowsBetween(Window.unboundedPreceding, -1))
     start = splits.select("_file", "_split", (F.coalesce(before, F.lit(0)) - F.col("_first")).alias("_start"))
     return placed.join(start, ["_file", "_split"]).withColumn(name, F.col("_start") + F.col("_at")).drop("_file", "_split", "_at", "_start")
 

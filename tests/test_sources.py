@@ -17,6 +17,13 @@ def test_rows_are_numbered_in_order_of_files(spark, tmp_path):
     assert rows[0].asDict().keys() == {"v", "seq"}
 
 
+def test_parts_are_numbered_by_their_number(spark, tmp_path):
+    for part in (9, 99_999, 100_000):
+        (tmp_path / f"part-{part:05d}-x.json").write_text(json.dumps({"v": part}) + "\n")
+    rows = jsonl.with_seq(jsonl.read_jsonl(spark, str(tmp_path), "v long")).collect()
+    assert [r.v for r in sorted(rows, key=lambda r: r.seq)] == [9, 99_999, 100_000]
+
+
 def test_lines_are_numbered_over_splits(spark, tmp_path):
     spark.conf.set("spark.sql.files.maxPartitionBytes", "2000")
     try:
