@@ -3,14 +3,15 @@
 1. Count shingles over all documents in one pass; those in many documents come last in the
    global order of shingles, all others are ordered by hash.
 2. Index each set by its prefix in that order: sets over the threshold share a prefix
-   shingle. An index list holds (size, set, position), sorted by size. Equal sets are one.
-3. Walk the lists. At a fixed distance in a list all entries are compared at once; entries
-   for which sizes, or what is left behind the shared position, can't reach the threshold
-   are skipped, and so is the whole rest of a list once sizes differ too much.
+   shingle. An index list holds (size, position, set), sorted so. Equal sets are one.
+3. Walk the lists by blocks of entries. Pairs of blocks whose sizes, or what is left behind
+   their positions, can't reach the threshold are skipped as a whole, and so are the rest of
+   a list once sizes differ too much, blocks of one component, and whole runs of such. Long
+   lists are dealt out to units of parts that meet; those of one component have no unit.
 4. Answers are derived from those of similar sets: lists are first walked only along
    neighbours, then only against the set with the most answers so far. What these linked is
    one component, and the last, complete walk only looks at pairs of different components.
-   So a group of near copies costs a number of pairs linear in its size.
+   So a list of near copies that are one component costs time linear in its length.
 
 Candidates pass a parity sketch, a lower bound of the symmetric difference; whole sets are
 fetched for those that pass only. Links that the sketch makes likely take part in the
@@ -44,6 +45,8 @@ COMMON = 1 / 5000
 COUNTED = 10_000
 #: How far neighbours in an index list are looked at in the first walk.
 REACH = 8
+#: Entries of a block of an index list, and of a list beyond which it is dealt out to several tasks.
+ENTRIES, HOT = 64, 16_384
 #: Bytes of text hashed at a time, index rows walked at a time.
 BLOCK, ROWS = 1_000_000, 100_000
 
@@ -263,7 +266,65 @@ def _need(x, y, percent: int):
     return -(-percent * (x + y) // (100 + percent))
 
 
-def _meetings(mode, every, head, token, n, deg, percent):
+def _blocks(token, n, left, comp):
+    """Lists cut into blocks of up to ``ENTRIES``: (start, end, blocks to the end of the run, mixed), by block.
+
+    A run of a list is a block's length or more of entries of one component; cuts are at its ends, too.
+    """
+    at = np.arange(len(token))
+    first = np.append(True, token[1:] != token[:-1])
+    change = first | np.append(True, comp[1:] != comp[:-1])
+    starts = np.flatnonzero(change)
+    length = np.diff(np.append(starts, len(token)))
+    long = np.repeat(length >= ENTRIES, length)
+    forced = first | (change & (long | np.append(False, long[:-1])))
+    begin = np.maximum.accumulate(np.where(forced, at, 0))
+    start = np.flatnonzero((at - begin) % ENTRIES == 0)
+    end = np.append(start[1:], len(token))
+    mixed = np.maximum.reduceat(comp, start) != np.minimum.reduceat(comp, start)
+    # blocks of a run have one number, others each their own
+    run = np.where(long[start], begin[start], -1 - start)
+    last = np.flatnonzero(np.append(run[1:] != run[:-1], True))
+    skip = np.repeat(last, np.diff(np.append(-1, last))) - np.arange(len(start))
+    return start, end, skip, mixed
+
+
+def _block_pairs(token, n, left, comp, percent):
+    """Places (i, j) of list entries to compare: within blocks, then of pairs of blocks that may hold a link.
+
+    Entries of a list are sorted by size and position. A pair of blocks is skipped if its sizes or
+    what is left behind its positions can't reach the threshold, or if both are of one component;
+    the rest of a list is skipped once sizes differ too much, a run of one component at once.
+    """
+    start, end, skip, mixed = _blocks(token, n, left, comp)
+    block = np.repeat(np.arange(len(start)), end - start)
+    i, k = np.flatnonzero(mixed[block]), 0
+    while len(i):
+        k += 1
+        i = i[i + k < len(token)]
+        i = i[(block[i + k] == block[i]) & (100 * n[i] >= percent * n[i + k])]
+        yield i, i + k
+    low, high, best = n[start], n[end - 1], np.maximum.reduceat(left, start)
+    of, ends = token[start], comp[start]
+    grid = np.arange(ENTRIES)
+    x, k = np.arange(len(start)), 0
+    while len(x):
+        k += 1
+        x = x[x + skip[x] + k < len(start)]
+        y = x + skip[x] + k
+        on = (of[x] == of[y]) & (100 * high[x] >= percent * low[y])
+        x, y = x[on], y[on]
+        ok = 1 + np.minimum(best[x], best[y]) >= _need(low[x], low[y], percent)
+        ok &= mixed[x] | mixed[y] | (ends[x] != ends[y])
+        for c in range(0, int(ok.sum()), ENTRIES):
+            a, b = x[ok][c : c + ENTRIES], y[ok][c : c + ENTRIES]
+            i, j = (start[a][:, None] + grid)[:, :, None], (start[b][:, None] + grid)[:, None, :]
+            i, j = np.broadcast_arrays(i, j)
+            inside = (i < end[a][:, None, None]) & (j < end[b][:, None, None])
+            yield i[inside], j[inside]
+
+
+def _meetings(mode, every, head, token, n, left, comp, deg, percent):
     """Places (i, j) of list entries to compare, many at a time."""
     if mode == "hub":
         by = np.lexsort((-deg, head))
@@ -271,16 +332,45 @@ def _meetings(mode, every, head, token, n, deg, percent):
         i = every[hub != every]
         yield hub[i], i
         return
-    i, k = every, 0
-    while len(i):
-        k += 1
+    if mode == "all":
+        yield from _block_pairs(token, n, left, comp, percent)
+        return
+    i = every
+    for k in range(1, REACH + 1):
         i = i[i + k < len(token)]
         i = i[(token[i + k] == token[i]) & (100 * n[i] >= percent * n[i + k])]  # the list's rest is larger still
         yield i, i + k
-        if mode == "chain" and k == REACH:
-            i = every[head != every]
-            yield head[i], i
-            return
+    i = every[head != every]
+    yield head[i], i
+
+
+def _units(walked: DataFrame, hot: DataFrame, mode: str) -> DataFrame:
+    """Rows of lists, where those of ``hot`` (token, m) lists are dealt out to units of about ``HOT`` entries.
+
+    Neighbours and hubs are looked for within parts of a list, other parts for each shingle. All pairs
+    of a list: its largest component has no pairs of its own, so its parts meet those of the rest
+    only, and parts of the rest meet each other. A list of one component has no unit.
+    """
+    rows = walked.join(hot, "token", "left")
+    if mode != "all":
+        part = F.pmod(F.xxhash64("node", "token"), F.ceil(F.col("m") / HOT))
+        return rows.withColumn("token", F.when(F.col("m").isNull(), F.col("token")).otherwise(F.xxhash64("token", part))).drop("m")
+    by_comp = rows.where("m is not null").groupBy("token", "comp").agg(F.count("*").alias("k"))
+    top = by_comp.groupBy("token").agg(F.max(F.struct("k", "comp")).alias("top"), F.sum("k").alias("of"))
+    top = top.select("token", F.col("top.comp").alias("big"), F.ceil(F.col("top.k") / HOT).alias("cd"), F.ceil((F.col("of") - F.col("top.k")) / HOT).alias("cr"))
+    rows = rows.join(materialize(top, "hot"), "token", "left")
+    own = F.xxhash64("node")
+    zero, none = F.lit(0).cast("long"), F.array().cast("array<bigint>")
+
+    def parts(n):
+        return F.when(F.col(n) > 0, F.sequence(zero, F.col(n) - 1)).otherwise(none)
+
+    large, small = F.pmod(own, F.col("cd")), F.pmod(own, F.greatest("cr", F.lit(1)))  # none is zero
+    across = F.transform(parts("cr"), lambda q: F.xxhash64("token", F.lit("across"), large, q))
+    met = F.transform(parts("cd"), lambda p: F.xxhash64("token", F.lit("across"), p, small))
+    rest = F.transform(parts("cr"), lambda q: F.xxhash64("token", F.lit("rest"), F.least(small, q), F.greatest(small, q)))
+    keys = F.when(F.col("big").isNull(), F.array("token")).when(F.col("comp") == F.col("big"), across).otherwise(F.concat(met, rest))
+    return rows.select(F.explode(keys).alias("token"), *(c for c in walked.columns if c != "token"))
 
 
 def _walk(mode: str, percent: int):
@@ -300,7 +390,7 @@ def _walk(mode: str, percent: int):
             head = np.maximum.accumulate(np.where(np.append(True, token[1:] != token[:-1]), np.arange(len(token)), 0))
             every = np.arange(len(token))
             found, kept = [], 0
-            for i, j in _meetings(mode, every, head, token, n, deg, percent):
+            for i, j in _meetings(mode, every, head, token, n, left, comp, deg, percent):
                 ok = able(i, j)
                 a, b = node[i[ok]], node[j[ok]]
                 found.append((np.minimum(a, b), np.maximum(a, b)))
@@ -419,11 +509,16 @@ def links(docs: DataFrame, words: int, percent: int, id_col: str, text_col: str)
 
     sketch = materialize(described.where("prefix is not null").join(shared.select("node").distinct(), "node", "left_semi").groupBy("node").agg(F.min("ord").alias("ord"), F.first("n").alias("n"), F.first("sketch").alias("sketch"), F.first("mini").alias("mini")), "sketches")
 
+    hot = materialize(shared.groupBy("token").agg(F.count("*").alias("m")).where(F.col("m") > HOT), "hot")
+    any_hot = not hot.isEmpty()
+
     def candidates(mode: str, label: DataFrame) -> DataFrame:
         # distinct pairs of different components within the sketch's bound, with the likely similarity
         walked = shared.join(sketch.select("node", "mini"), "node").join(label, "node", "left")
         walked = walked.select("token", "n", "node", "pos", F.coalesce("comp", "node").alias("comp"), F.coalesce("deg", F.lit(0)).alias("deg"), "mini")
-        pairs = walked.repartition("token").sortWithinPartitions("token", "n", "node").mapInArrow(tidy(_walk(mode, percent)), "a long, b long").distinct()
+        if any_hot:
+            walked = _units(walked, hot, mode)
+        pairs = walked.repartition("token").sortWithinPartitions("token", "n", "pos", "comp", "node").mapInArrow(tidy(_walk(mode, percent)), "a long, b long").distinct()
         both = _pair(_pair(pairs, sketch, {"n": "na", "sketch": "sa"}, "a"), sketch, {"n": "nb", "sketch": "sb"}, "b")
         out = materialize(both.select("a", "b", "na", "nb", "sa", "sb").mapInArrow(_sketched(percent), "a long, b long, likely double"), "pairs")
         release(spark)

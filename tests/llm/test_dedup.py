@@ -138,6 +138,60 @@ def test_star_of_copies_is_one_group(frame):
     assert {x.component_id for x in got} == {0}
 
 
+@pytest.mark.parametrize("hot", [4, 16])
+def test_long_lists_are_dealt_out(frame, monkeypatch, hot):
+    """Two large groups, one of them half linked, and strangers that share common words."""
+    monkeypatch.setattr("curastra.llm.ngram_join.HOT", hot)
+    r = random.Random(hot)
+    one, two = ([f"{c}{k}" for k in range(80)] for c in "ab")
+    rows = [(k, " ".join([*one, f"tail{k}"])) for k in range(90)]
+    for k in range(100, 160):
+        w = list(two)
+        for j in r.sample(range(80), r.randint(0, 9)):
+            w[j] = f"n{k}x{j}"
+        rows.append((k, " ".join(w)))
+    rows += [(200 + k, " ".join(one[:30] + [f"s{k}x{j}" for j in range(r.randint(0, 9))])) for k in range(40)]
+    got = similar_groups(frame(rows), 4, 85).collect()
+    assert sorted((x.doc_id, x.n_shingles, x.component_id) for x in got) == sorted(brute_groups(rows, 4, 85))
+
+
+@pytest.mark.parametrize("seed", range(6))
+def test_blocks_skip_no_pair_that_may_link(seed):
+    from curastra.llm.ngram_join import _block_pairs, _need
+
+    r = np.random.default_rng(seed)
+    size = int(r.integers(1, 1500))
+    token = np.sort(r.integers(0, 1 + seed, size))
+    n = r.integers(10, 40 + 60 * seed, size)
+    pos = r.integers(0, 1 + n * 15 // 100)
+    comp = np.where(r.random(size) < seed / 6, 7, r.integers(10, 14 + 10 * seed, size))
+    order = np.lexsort((comp, pos, n, token))
+    token, n, pos, comp = (x[order] for x in (token, n, pos, comp))
+    left = n - pos - 1
+    met = set()
+    for i, j in _block_pairs(token, n, left, comp, 85):
+        assert (i < j).all() and (token[i] == token[j]).all()
+        new = set(zip(i.tolist(), j.tolist(), strict=True))
+        assert not met & new and len(new) == len(i)
+        met |= new
+    for i in range(size):
+        j = np.arange(i + 1, size)
+        able = (token[j] == token[i]) & (comp[j] != comp[i]) & (100 * n[i] >= 85 * n[j]) & (1 + np.minimum(left[i], left[j]) >= _need(n[i], n[j], 85))
+        assert all((i, int(k)) in met for k in j[able])
+
+
+def test_a_list_of_one_component_has_no_pair():
+    from curastra.llm.ngram_join import _block_pairs
+
+    for size in (1, 64, 65, 4_000, 64_000):
+        token, n = np.zeros(size, dtype=np.int64), np.sort(np.arange(size) % 50 + 400)
+        assert sum(len(i) for i, _ in _block_pairs(token, n, n - 1, token, 85)) == 0
+        # one stranger in it meets the others, who don't meet each other but in its block
+        comp = token.copy()
+        comp[size // 2] = 1
+        assert sum(len(i) for i, _ in _block_pairs(token, n, n - 1, comp, 85)) <= size + 64 * 64
+
+
 @pytest.mark.parametrize("few", [0, 20, 100_000])
 def test_components(spark, monkeypatch, few):
     monkeypatch.setattr("curastra.llm.common.FEW", few)
