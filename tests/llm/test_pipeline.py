@@ -43,5 +43,5 @@ def test_stages_against_brute_force(spark, tmp_path):
 def test_registered(spark):
     assert "pipeline" in entry.queries() and corpus_pipeline.ORACLE_SQL is None
     names = [n for n in entry.queries() if n.startswith("op")]
-    assert sorted(int(n[2:].split("_")[0]) for n in names) == list(range(1, 11))
+    assert sorted(int(n[2:].split("_")[0]) for n in names) == list(range(1, 14))
     assert corpus_pipeline.run(spark, SF).count() > 0
