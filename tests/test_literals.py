@@ -68,3 +68,11 @@ def test_a_failed_behaviour_rejects(spark):
     records = spark.createDataFrame([(i, tuple(GOOD.values())) for i in targets], f"unit_id string, r struct<{', '.join(k.replace(' ', ':', 1) for k in KINDS.split(', '))}>")
     judged = curation.validate_targets(units).select("unit_id", F.struct("target_sha256", "syntax", "symbol", "behavior").alias("v")).join(records, "unit_id")
     assert {x.unit_id: x.why for x in judged.select("unit_id", deterministic_reasons(F.col("r"), F.col("v")).alias("why")).collect()} == {"a": ["DETERMINISTIC_BEHAVIOR_FAILED"], "b": []}
+
+
+@pytest.mark.parametrize(
+    ("code", "want"),
+    [("'at this (new) await; `x`'", '"at this (new) await; `x`"'), ('{"k": "it\'s process", \'(\': [\'a"this"\']}', '{"k":"it\'s process","(":["a\\"this\\""]}'), ("['a', this]", None), ("'a' /* new */", None), ("'a'; 'b'", None), ("('a')", None), ("require('a')", None)],
+)
+def test_words_in_strings_are_no_code(code, want):
+    assert lit.returned_json(f"function f() {{ return {code}; }}", "f") == (("pass", want, None) if want else ("not_eligible", None, None))
