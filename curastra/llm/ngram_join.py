@@ -3,7 +3,8 @@
 1. Count shingles over all documents in one pass; those in many documents come last in the
    global order of shingles, all others are ordered by hash.
 2. Index each set by its prefix in that order: sets over the threshold share a prefix
-   shingle. An index list holds (size, position, set), sorted so. Equal sets are one.
+   shingle. An index list holds (size, position, set), sorted so. Equal sets are one. Of lists
+   that hold the same sets only the first in the order is kept: it has their smallest positions.
 3. Walk the lists by blocks of entries. Pairs of blocks whose sizes, or what is left behind
    their positions, can't reach the threshold are skipped as a whole, and so are the rest of
    a list once sizes differ too much, blocks of one component, and whole runs of such. Long
@@ -11,7 +12,9 @@
 4. Answers are derived from those of similar sets: lists are first walked only along
    neighbours, then only against the set with the most answers so far. What these linked is
    one component, and the last, complete walk only looks at pairs of different components.
-   So a list of near copies that are one component costs time linear in its length.
+   So a list of near copies that are one component costs time linear in its length. The
+   complete walk gives a pair in the first list that holds both, as far as their first
+   lists tell, not in each of them.
 
 Candidates pass a parity sketch, a lower bound of the symmetric difference; whole sets are
 fetched for those that pass only. Links that the sketch makes likely take part in the
@@ -47,6 +50,8 @@ COUNTED = 10_000
 REACH = 8
 #: Entries of a block of an index list, and of a list beyond which it is dealt out to several tasks.
 ENTRIES, HOT = 64, 16_384
+#: Of how many of its first lists a set knows the names.
+FIRST = 8
 #: Bytes of text hashed at a time, index rows walked at a time.
 BLOCK, ROWS = 1_000_000, 100_000
 
@@ -249,7 +254,7 @@ def _lists(batches: Iterator[pa.RecordBatch], names: list[str]) -> Iterator[list
 
 
 def _shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Lists of several sets, each set once."""
+    """Lists of several sets, each set once; at the first of a list what tells its sets (128 bits)."""
     names = ["token", "n", "node", "pos"]
     for token, n, node, pos in _lists(batches, names):
         once = np.ones(len(token), dtype=bool)
@@ -258,7 +263,27 @@ def _shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         same = np.zeros(len(token), dtype=bool)
         same[1:] = token[1:] == token[:-1]
         keep = same | np.append(same[1:], False)
-        yield pa.RecordBatch.from_arrays([pa.array(x[keep]) for x in (token, n, node, pos)], names=names)
+        token, n, node, pos = (x[keep] for x in (token, n, node, pos))
+        if not len(token):
+            continue
+        first = np.append(True, token[1:] != token[:-1])
+        start = np.flatnonzero(first)
+        told = []
+        for m in _M[:2]:
+            total = np.zeros(len(token), dtype=np.int64)
+            total[start] = np.add.reduceat(_mix(node.view(np.uint64) * m + m), start).view(np.int64)
+            told.append(pa.array(total, mask=~first))
+        yield pa.RecordBatch.from_arrays([*(pa.array(x) for x in (token, n, node, pos)), *told], names=[*names, "one", "two"])
+
+
+def _first_lists(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(node, first): the names of a set's first lists, 0 where it has fewer; rows come sorted by set and position."""
+    for node, token in _lists(batches, ["node", "token"]):
+        start = np.flatnonzero(np.append(True, node[1:] != node[:-1]))
+        count = np.diff(np.append(start, len(node)))
+        k = np.arange(FIRST)
+        names = np.where(k < count[:, None], token[np.minimum(start[:, None] + k, len(node) - 1)], 0)
+        yield pa.RecordBatch.from_arrays([pa.array(node[start]), pa.array([x.tobytes() for x in names], pa.binary())], names=["node", "first"])
 
 
 def _need(x, y, percent: int):
@@ -377,15 +402,21 @@ def _walk(mode: str, percent: int):
     """Candidate pairs of the lists: along neighbours, against each list's hub, or all."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for token, n, node, pos, comp, deg, mini in _lists(batches, ["token", "n", "node", "pos", "comp", "deg", "mini"]):
+        for token, name, n, node, pos, comp, deg, mini, first in _lists(batches, ["token", "list", "n", "node", "pos", "comp", "deg", "mini", "first"]):
             left = n - pos - 1
 
-            def able(i, j, n=n, comp=comp, left=left, mini=mini):
+            def able(i, j, name=name, n=n, comp=comp, left=left, mini=mini, first=first):
                 lo, hi = np.minimum(n[i], n[j]), np.maximum(n[i], n[j])
                 need = _need(lo, hi, percent)
                 ok = np.flatnonzero((comp[i] != comp[j]) & (100 * lo >= percent * hi) & (1 + np.minimum(left[i], left[j]) >= need))
                 differ = np.bitwise_count(mini[i[ok]] ^ mini[j[ok]]).sum(axis=1, dtype=np.int64)
-                return ok[lo[ok] + hi[ok] - 2 * need[ok] >= differ]
+                ok = ok[lo[ok] + hi[ok] - 2 * need[ok] >= differ]
+                if mode != "all":  # which looks at some places of each list only
+                    return ok
+                x = first[i[ok]]
+                both = ((x[:, :, None] == first[j[ok]][:, None, :]).any(axis=2)) & (x != 0)
+                known = x[np.arange(len(x)), both.argmax(axis=1)]  # the first list of both, if it is among the first of each
+                return ok[~both.any(axis=1) | (known == name[i[ok]].view(np.uint64))]
 
             head = np.maximum.accumulate(np.where(np.append(True, token[1:] != token[:-1]), np.arange(len(token)), 0))
             every = np.arange(len(token))
@@ -504,18 +535,22 @@ def links(docs: DataFrame, words: int, percent: int, id_col: str, text_col: str)
 
     described = materialize(text.mapInArrow(tidy(_describe(words, percent, common)), "ord long, node long, n long, prefix binary, sketch binary, mini binary"), "sets")
     index = described.where("prefix is not null").select("node", "n", "prefix").mapInArrow(tidy(_postings), "token long, n long, node long, pos long")
-    shared = materialize(index.repartition("token").sortWithinPartitions("token", "n", "node").mapInArrow(tidy(_shared), "token long, n long, node long, pos long"), "index")
+    every = materialize(index.repartition("token").sortWithinPartitions("token", "n", "node").mapInArrow(tidy(_shared), "token long, n long, node long, pos long, one long, two long"), "lists")
+    last = F.lit(-(2**63))  # tokens are ordered as unsigned numbers
+    other = every.where("one is not null").groupBy("one", "two").agg(F.min(F.col("token").bitwiseXOR(last)).bitwiseXOR(last).alias("token"))
+    shared = materialize(every.select("token", "n", "node", "pos").join(other.select("token"), "token", "left_semi"), "index")
     release(spark)
 
-    sketch = materialize(described.where("prefix is not null").join(shared.select("node").distinct(), "node", "left_semi").groupBy("node").agg(F.min("ord").alias("ord"), F.first("n").alias("n"), F.first("sketch").alias("sketch"), F.first("mini").alias("mini")), "sketches")
+    first = shared.select("node", "pos", "token").repartition("node").sortWithinPartitions("node", "pos").mapInArrow(tidy(_first_lists), "node long, first binary")
+    sketch = materialize(described.where("prefix is not null").groupBy("node").agg(F.min("ord").alias("ord"), F.first("n").alias("n"), F.first("sketch").alias("sketch"), F.first("mini").alias("mini")).join(first, "node"), "sketches")
 
     hot = materialize(shared.groupBy("token").agg(F.count("*").alias("m")).where(F.col("m") > HOT), "hot")
     any_hot = not hot.isEmpty()
 
     def candidates(mode: str, label: DataFrame) -> DataFrame:
         # distinct pairs of different components within the sketch's bound, with the likely similarity
-        walked = shared.join(sketch.select("node", "mini"), "node").join(label, "node", "left")
-        walked = walked.select("token", "n", "node", "pos", F.coalesce("comp", "node").alias("comp"), F.coalesce("deg", F.lit(0)).alias("deg"), "mini")
+        walked = shared.join(sketch.select("node", "mini", "first"), "node").join(label, "node", "left")
+        walked = walked.select("token", F.col("token").alias("list"), "n", "node", "pos", F.coalesce("comp", "node").alias("comp"), F.coalesce("deg", F.lit(0)).alias("deg"), "mini", "first")
         if any_hot:
             walked = _units(walked, hot, mode)
         pairs = walked.repartition("token").sortWithinPartitions("token", "n", "pos", "comp", "node").mapInArrow(tidy(_walk(mode, percent)), "a long, b long").distinct()
@@ -532,7 +567,7 @@ def links(docs: DataFrame, words: int, percent: int, id_col: str, text_col: str)
 
     def spanning(pairs: DataFrame) -> DataFrame:
         # a forest of each task's pairs, then of those that meet by component
-        return pairs.mapInPandas(_thin, _ACROSS).repartition(F.least("ca", "cb")).mapInPandas(_thin, _ACROSS).select("a", "b")
+        return pairs.mapInPandas(_thin, _ACROSS).repartition(F.least("ca", "cb"), F.greatest("ca", "cb")).mapInPandas(_thin, _ACROSS).select("a", "b")
 
     def labelled(edges: DataFrame) -> DataFrame:
         degree = edges.select(F.explode(F.array("a", "b")).alias("node")).groupBy("node").agg(F.count("*").alias("deg"))
