@@ -4,7 +4,9 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -76,36 +78,41 @@ def masked(prompt_ids: Column, full_ids: Column, max_length: int) -> Column:
 Encode = Callable[[list[str]], list[list[int]]]
 #: What this worker has loaded, by name.
 _ENCODERS: dict[str, Encode] = {}
-#: Characters that are encoded together (or one text).
-_TOGETHER = 4_000_000
+#: Bytes of a row's texts that are encoded together (or one row): ids, and what an encoder keeps
+#: beside them, are many times that. Rows of a batch that comes from Spark.
+_TOGETHER, _ROWS = 500_000, 2_000
+
+
+def _parts(batch: pa.RecordBatch, texts: list[str]) -> Iterator[pa.RecordBatch]:
+    """The batch in parts of about ``_TOGETHER`` bytes of the columns; nothing is copied."""
+    size = sum(pc.binary_length(batch.column(t)).fill_null(0).to_numpy().astype(np.int64) for t in texts)
+    at = np.cumsum(size) // _TOGETHER
+    bounds = [0, *(np.flatnonzero(at[1:] != at[:-1]) + 1).tolist(), batch.num_rows]
+    yield from (batch.slice(a, b - a) for a, b in zip(bounds[:-1], bounds[1:], strict=True) if b > a)
 
 
 def encoded(rows: DataFrame, load: Callable[[], Encode], name: str, **columns: str) -> DataFrame:
     """Rows with the ids of text columns (new column = text column), by an encoder of the caller's.
 
     ``load`` gives a function from texts to lists of ids; a worker calls it once and keeps what it
-    gives under ``name``. Texts go to it in groups of bounded size. A null text has null ids.
+    gives under ``name``. Texts go to it in parts of bounded size, and each part's ids leave the
+    worker before the next ones are made. A null text has null ids.
     """
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(rows.sparkSession.conf.get(key)) <= _ROWS:
+        rows.sparkSession.conf.set(key, str(_ROWS))  # changes memory, not results
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         if name not in _ENCODERS:
             _ENCODERS[name] = load()
         encode = _ENCODERS[name]
-        for batch in batches:
+        for part in (p for batch in batches for p in _parts(batch, list(columns.values()))):
             more = []
             for text in columns.values():
-                ids, group, size = [], [], 0
-                texts = batch.column(text).to_pylist()
-                for i, t in enumerate(texts):
-                    if t is not None:
-                        group.append(i)
-                        size += len(t)
-                    if group and (size >= _TOGETHER or i + 1 == len(texts)):
-                        ids += zip(group, encode([texts[k] for k in group]), strict=True)
-                        group, size = [], 0
-                known = dict(ids)
-                more.append(pa.array([known.get(i) for i in range(len(texts))], pa.list_(pa.int32())))
-            yield pa.RecordBatch.from_arrays([*batch.columns, *more], names=[*batch.schema.names, *columns])
+                texts = part.column(text).to_pylist()
+                ids = iter(encode([t for t in texts if t is not None]))
+                more.append(pa.array([None if t is None else next(ids) for t in texts], pa.list_(pa.int32())))
+            yield pa.RecordBatch.from_arrays([*part.columns, *more], names=[*part.schema.names, *columns])
 
     kinds = [f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema] + [f"`{c}` array<int>" for c in columns]
     return rows.mapInArrow(run, ", ".join(kinds))

@@ -7,6 +7,7 @@ expressed twice, by the library's functions and in SQL.
 
 from __future__ import annotations
 
+import os
 import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -595,6 +596,7 @@ def _byte_bpe():
     import public_tokenizers
     from tokenizers import Tokenizer
 
+    os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark's tasks have a core each
     own = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
     own.no_truncation()
     own.no_padding()

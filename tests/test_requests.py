@@ -97,3 +97,18 @@ def test_order_by_locale(spark):
     random.Random(1).shuffle(paths)
     df = spark.createDataFrame([(p,) for p in paths], "p string")
     assert [r.p for r in df.orderBy(by_locale(F.col("p"))).collect()] == ["src/_.ts", "src/a.ts", "src/A.ts", "src/á.ts", "src/ä/x.ts", "src/b.ts", "src/B.ts", "src/Z.ts"]
+
+
+def test_texts_are_encoded_in_parts(spark, tmp_path):
+    def load():
+        def encode(texts):
+            (tmp_path / str(random.random())).write_text(str(sum(map(len, texts))))
+            return [[len(t), len(t) + 1] for t in texts]
+
+        return encode
+
+    rows = spark.createDataFrame([(i, None if i % 7 == 0 else "a" * (i * 97 % 20_000), "é" * (i % 50)) for i in range(600)], "i int, t string, u string").coalesce(1)
+    got = {r.i: (r.x, r.y) for r in chat.encoded(rows, load, "in parts", x="t", y="u").collect()}
+    assert got == {i: (None if i % 7 == 0 else [i * 97 % 20_000, i * 97 % 20_000 + 1], [i % 50, i % 50 + 1]) for i in range(600)}
+    sizes = [int(f.read_text()) for f in tmp_path.iterdir()]
+    assert sum(sizes) > 3_000_000 and max(sizes) <= 600_000
