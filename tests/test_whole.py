@@ -67,3 +67,13 @@ def test_instructions_have_the_whole_text(spark, tmp_path, monkeypatch):
     monkeypatch.setattr(queries.curation, "finalize", lambda units, told, *a: given.extend(r.instruction for r in told.collect()) or whole(units, told, *a))
     queries.curated_samples(spark, str(tmp_path))
     assert sorted(x.endswith(f"end{i}.") for i, x in enumerate(sorted(given))) == [True, True]
+
+
+def test_records_of_instructions_carry_no_target(spark, tmp_path, monkeypatch):
+    docs = [(i, "It moves. " * 60 + f"end{i}", "en", "s", 604) for i in range(2)]
+    spark.createDataFrame(docs, "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(0, 1, 0), (1, 1, 0)], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    records, whole = [], queries.curation.with_evidence
+    monkeypatch.setattr(queries.curation, "with_evidence", lambda *a, **k: records.append(k["i"].schema["record"].dataType.names) or whole(*a, **k))
+    queries.curated_samples(spark, str(tmp_path))
+    assert all("target" not in names and "instruction" in names for names in records) and records  # texts were shuffled twice for it
