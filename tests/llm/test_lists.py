@@ -37,3 +37,15 @@ def test_names_of_first_lists():
     batch = pa.RecordBatch.from_arrays([pa.array(node), pa.array(token)], names=["node", "token"])
     got = {r["node"]: np.frombuffer(r["first"], dtype=np.int64).tolist() for b in ngram_join._first_lists(iter([batch])) for r in b.to_pylist()}
     assert got == {-5: [1, 2, 3, 0, 0, 0, 0, 0], 7: list(range(4, 12)), 9: [16, 0, 0, 0, 0, 0, 0, 0]}
+
+
+def test_two_components_have_one_likeliest_pair_of_a_list():
+    near, far = bytes(64), bytes([255] + [0] * 63)
+    first = np.zeros(ngram_join.FIRST, dtype=np.int64).tobytes()
+    rows = [{"token": 1, "list": 1, "n": 200, "node": k, "pos": k // 50, "comp": k % 2, "deg": 0, "mini": near if k in (30, 71) else far if k % 2 else bytes([0] * 63 + [255]), "first": first} for k in range(100)]
+    found = {}
+    for mode in ("best", "all"):
+        found[mode] = [(a, b) for x in ngram_join._walk(mode, 80)(iter([pa.RecordBatch.from_pylist(rows)])) for a, b in zip(x.column("a").to_pylist(), x.column("b").to_pylist(), strict=True)]
+    assert len(found["all"]) == 50 * 50  # was listed before what the likeliest pairs link was known
+    assert (30, 71) in found["best"] and set(found["best"]) <= set(found["all"])
+    assert len(found["best"]) <= 2 * ngram_join.ENTRIES  # one for each step of the walk
