@@ -153,3 +153,18 @@ def test_tool_calls(spark):
     bad = ['{"tool":"read_file","path":" "}', '{"tool":"read_file","path":"a","x":1}', '{"tool":"write_file","path":"a","content":1}', '{"tool":"run_command","command":"n","args":[1]}', '{"tool":"run_command","command":"n","args":["a"],"timeoutMs":0}', '{"tool":"run_command","command":"n","args":["a"],"timeoutMs":"5"}', '{"tool":"rm"}', "[]", "no", None]
     assert _column(spark, good + bad, records.valid_tool_call) == [True] * len(good) + [False] * len(bad)
     assert _column(spark, ["a/b", "/a", "../a", "a/../b", "C:\\a"], records.inside_workspace) == [True, False, False, False, False]
+
+
+def test_strip_takes_all_blanks_of_the_pattern(spark):
+    points = [chr(c) for c in [*range(1, 0xD800), *range(0xE000, 0x11000)]]
+    texts = [c + "a" + c + "b" + c + c for c in points] + ["", " \t\n", "　 \x85", "a", None]
+    df = spark.createDataFrame([(t,) for t in texts], "t string")
+    old = F.regexp_replace("t", r"(?U)^\s+|\s+\z", "")
+    assert df.where(~text.strip(F.col("t")).eqNullSafe(old)).count() == 0
+    assert text.BLANKS and df.where(F.col("t").rlike(r"(?U)^\s")).select(F.countDistinct(F.left("t", F.lit(1)))).first()[0] == len(text.BLANKS)
+
+
+def test_tokens_of_code_without_comments_need_no_squeezing(spark):
+    texts = ["a  b // c\n d/* x\ny */e", "İ　x1 2٣ //", "/* */", "  KK ΣσΣ q", ""]
+    df = spark.createDataFrame([(t,) for t in texts], "t string")
+    assert df.where(text.tokens(text.uncommented(F.col("t"))) != text.tokens(text.normalize_code(F.col("t")))).count() == 0

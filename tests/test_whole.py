@@ -77,3 +77,24 @@ def test_records_of_instructions_carry_no_target(spark, tmp_path, monkeypatch):
     monkeypatch.setattr(queries.curation, "with_evidence", lambda *a, **k: records.append(k["i"].schema["record"].dataType.names) or whole(*a, **k))
     queries.curated_samples(spark, str(tmp_path))
     assert all("target" not in names and "instruction" in names for names in records) and records  # texts were shuffled twice for it
+
+
+def test_samples_shuffle_no_texts_that_nobody_reads(spark, tmp_path):
+    docs = [(i, "It moves. " * 60 + f"end{i}", "en", "s", 604) for i in range(3)]
+    spark.createDataFrame(docs, "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(0, 1, 0), (1, 1, 0)], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    plan = queries.curated_samples(spark, str(tmp_path))._jdf.queryExecution().executedPlan().toString()
+    assert "max_by" not in plan  # the evidence was joined again, with its texts
+    assert plan.count("labels.parquet") == 0 and plan.count("documents.parquet") <= 2
+
+
+def test_gates_with_columns_at_hand_say_the_same(spark):
+    gates, functions = queries.gates, queries.text
+    says = ["", "Write play.", "The WHOLE game. " * 50, "complete Project", "complete  game", "Complete game!", "G1 code unit guidelines?", "as Described above", "ſpecified requirements", "PROVIDED GUIDELINES", "fuK all files all files", "Above implementation of Repository. İ", None]
+    scope = "struct<target_file: string, target_symbol: string, expected_behavior: array<string>, constraints: array<string>, required_context: array<string>>"
+    record = f"struct<instruction: string, generation: struct<pipeline_version: string, response_completed: boolean>, scope: {scope}, source_path: string, symbol: string, provided_symbols: array<string>, target_sha256: string, granularity: string>"
+    rows = [((t, ("quality-v2", True), ("a", "Play", ["write play", "the game"], ["whole guidelines"], ["c"]), "a", "Play", ["c"], "s", "G1"), ("s", "pass", "pass", "pass")) for t in says]
+    df = spark.createDataFrame(rows, f"r {record}, v struct<target_sha256: string, syntax: string, symbol: string, behavior: string>")
+    df = df.withColumns({"low": F.lower("r.instruction"), "held": functions.tokens(F.col("r.instruction"))})
+    both = df.select(gates.deterministic_reasons(F.col("r"), F.col("v")).alias("a"), gates.deterministic_reasons(F.col("r"), F.col("v"), F.col("low"), F.col("held")).alias("b")).collect()
+    assert all(x.a == x.b for x in both) and any("GRANULARITY_MISMATCH" in x.a for x in both) and any("UNDERSPECIFIED_REFERENCE" in x.a for x in both)
